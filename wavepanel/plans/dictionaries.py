@@ -18,10 +18,16 @@ def _variants(entry) -> list[Mapping]:
 
 
 def recode_frame(spark: SparkSession, answers: Mapping[str, object]) -> DataFrame:
-    """(question, variant, old, new) rows from the nested answer dictionary."""
+    """(question, variant, old, new) rows from the nested answer dictionary.
+
+    A variant without a map still gets one (question, variant, null, null)
+    row, so it exists as a variant; a null ``old`` never matches an answer.
+    """
     rows = []
     for q, entry in answers.items():
         for v, e in enumerate(_variants(entry)):
+            if not e.get("map"):
+                rows.append((q, v, None, None))
             seen = set()
             for new, olds in (e.get("map") or {}).items():
                 for old in olds:
