@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.answers import both_yes, lookup
+from ..plans.dictionaries import bounded
 from ..plans.survey import CATEGORY_ORDER, CATEGORY_PREFIX, NA, NO, YES
 
 VARIANT = "variant"
@@ -31,11 +32,11 @@ def recode_answers(df: DataFrame, recode: DataFrame | None, variant: int | None
     """
     if recode is None:
         return df.withColumn(VARIANT, F.lit(variant or 0))
-    entries = recode.select(S.QUESTION, VARIANT, F.col("old").alias(answer), F.col("new"))
+    entries = bounded(recode, recode.select(S.QUESTION, VARIANT, F.col("old").alias(answer), F.col("new")))
     if variant is not None:
         out = df.withColumn(VARIANT, F.lit(variant))
     else:
-        variants = recode.select(S.QUESTION, VARIANT).distinct()
+        variants = bounded(recode, recode.select(S.QUESTION, VARIANT).distinct())
         out = (df.join(variants, S.QUESTION, "left")
                .withColumn(VARIANT, F.coalesce(F.col(VARIANT), F.lit(0))))
     out = out.join(entries, [S.QUESTION, VARIANT, answer], "left")
@@ -64,8 +65,8 @@ def answer_order(df: DataFrame, order: DataFrame | None, keep_unknown: bool = Tr
         declared_rank = F.lit(None).cast("int")
         out = df.withColumn("_declared", F.lit(False))
     else:
-        ranks = order.select(S.QUESTION, VARIANT, F.col(S.ANSWER), F.col(RANK).alias("_rank"))
-        declared = order.select(S.QUESTION, VARIANT).distinct().withColumn("_declared", F.lit(True))
+        ranks = bounded(order, order.select(S.QUESTION, VARIANT, F.col(S.ANSWER), F.col(RANK).alias("_rank")))
+        declared = bounded(order, order.select(S.QUESTION, VARIANT).distinct().withColumn("_declared", F.lit(True)))
         out = (df.join(ranks, [S.QUESTION, VARIANT, S.ANSWER], "left")
                .join(declared, [S.QUESTION, VARIANT], "left"))
         declared_rank = F.col("_rank")
@@ -85,7 +86,7 @@ def unrecoded_report(df: DataFrame, order: DataFrame, recode: DataFrame | None =
     """Answers (with counts) that a declared order does not list, i.e.
     what ``filter_by_order`` would drop, per (question, variant, time, answer)."""
     ranked = answer_order(recode_answers(df, recode, variant), order, keep_unknown=True)
-    declared = order.select(S.QUESTION, VARIANT).distinct()
+    declared = bounded(order, order.select(S.QUESTION, VARIANT).distinct())
     return (ranked.join(declared, [S.QUESTION, VARIANT], "left_semi")
             .filter(F.col(RANK).isNull())
             .groupBy(S.QUESTION, VARIANT, S.TIME, S.ANSWER).agg(F.count(F.lit(1)).alias("n")))

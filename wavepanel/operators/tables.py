@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.answers import collapse, percent
+from ..plans.dictionaries import bounded
 from ..plans.survey import MULTI_ANSWER_QUESTIONS, NA, NA_THRESHOLD, NO, YES
 from .recode import VARIANT, answer_order, recode_answers
 
@@ -73,12 +74,13 @@ def missing_table(panel: DataFrame, questions: DataFrame | None = None,
     last = F.col(S.TIME) == F.lit(S.LAST)
     df = panel
     if questions is not None:
-        df = df.join(questions.select(S.QUESTION), S.QUESTION, "left_semi")
+        df = df.join(bounded(questions, questions.select(S.QUESTION)), S.QUESTION, "left_semi")
     agg = df.groupBy(S.QUESTION).agg(
         _one(first & is_na).alias("count_first"), _one(first).alias("rows_first"),
         _one(last & is_na).alias("count_last"), _one(last).alias("rows_last"))
     if questions is not None:
-        agg = agg.join(questions.select(S.QUESTION).distinct(), S.QUESTION, "right")
+        listed = questions.select(S.QUESTION).distinct()
+        agg = listed.join(agg, S.QUESTION, "left")
     out = agg.select(
         S.QUESTION,
         F.coalesce(F.col("count_first"), F.lit(0).cast("long")).alias("count_first"),
@@ -88,7 +90,7 @@ def missing_table(panel: DataFrame, questions: DataFrame | None = None,
     out = out.withColumn("over_threshold", (F.col("pct_first") > F.lit(float(threshold)))
                          | (F.col("pct_last") > F.lit(float(threshold))))
     if labels is not None:
-        out = out.join(labels.select(S.QUESTION, "label"), S.QUESTION, "left")
+        out = out.join(bounded(labels, labels.select(S.QUESTION, "label")), S.QUESTION, "left")
     else:
         out = out.withColumn("label", F.lit(None).cast("string"))
     return out.select(S.QUESTION, "label", "count_first", "pct_first", "count_last", "pct_last",
@@ -153,8 +155,10 @@ def assertion_counts(panel: DataFrame, assertions: DataFrame,
     time) of a listed question gets one row per polarity, zero when nothing
     of that polarity was ticked (conditional aggregation, no spine join).
     """
-    marked = (panel.join(assertions.select(S.QUESTION).distinct(), S.QUESTION, "left_semi")
-              .join(assertions.select(S.QUESTION, S.ANSWER, "polarity"), [S.QUESTION, S.ANSWER], "left"))
+    listed = bounded(assertions, assertions.select(S.QUESTION).distinct())
+    ticks = bounded(assertions, assertions.select(S.QUESTION, S.ANSWER, "polarity"))
+    marked = (panel.join(listed, S.QUESTION, "left_semi")
+              .join(ticks, [S.QUESTION, S.ANSWER], "left"))
     counts = marked.groupBy(S.FAMILY, S.QUESTION, S.TIME).agg(
         *[_one(F.col("polarity") == F.lit(p)).alias(f"_n_{i}") for i, p in enumerate(polarities)])
     rows = F.array(*[F.struct(F.lit(p).alias("polarity"), F.col(f"_n_{i}").alias("n"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.answers import as_number, collapse, percent
+from ..plans.dictionaries import bounded
 from ..plans.survey import NA
 from .recode import RANK, VARIANT, recode_answers
 
@@ -52,8 +53,8 @@ def transition_pairs(panel: DataFrame, questions: Sequence[str] | None = None,
                   _n_at(S.FIRST).alias("n_first"), _n_at(S.LAST).alias("n_last"))
              .filter(F.col("n_first") > 0))
     if order is not None:
-        listed = (order.filter(F.col(VARIANT) == F.lit(variant))
-                  .select(S.QUESTION, F.col(S.ANSWER).alias("last_answer")).distinct())
+        listed = bounded(order, order.filter(F.col(VARIANT) == F.lit(variant))
+                         .select(S.QUESTION, F.col(S.ANSWER).alias("last_answer")).distinct())
         pairs = pairs.join(listed, [S.QUESTION, "last_answer"], "inner")
     return pairs.select(S.FAMILY, S.QUESTION, *dims, "first_answer", "last_answer", "n_first", "n_last")
 

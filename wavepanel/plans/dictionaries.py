@@ -2,8 +2,11 @@
 
 The nested-dict form is the one analysts write: for each question either
 ``{"map": {new: [old, ...]}, "order": [...]}`` or a list of such entries (one
-per variant).  The frames are LocalRelations, so Spark knows their exact size
-and broadcasts them under the broadcast threshold.
+per variant).  Their row count is known when they are built, so a frame within
+``MAX_BROADCAST_ROWS`` is marked for broadcast (its join never shuffles the
+survey data); a larger dictionary is left to a normal shuffle join.  A
+frame created from a Python list carries no size statistics of its own, so
+without this bound Spark would shuffle the survey side to join it.
 """
 
 from __future__ import annotations
@@ -11,6 +14,32 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows x (a few short strings) stays well under a few MB per executor.
+MAX_BROADCAST_ROWS = 100_000
+
+
+def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A config frame, broadcast when its (known) row count is within bound."""
+    df = spark.createDataFrame(rows, schema)
+    if len(rows) > MAX_BROADCAST_ROWS:
+        return df
+    out = F.broadcast(df)
+    out._row_bound = len(rows)
+    return out
+
+
+def bounded(source: DataFrame, derived: DataFrame) -> DataFrame:
+    """``derived`` (a projection, filter or distinct of ``source``) keeps the
+    source's proven row bound and thus its broadcast; frames of unknown size
+    are returned as they are and left to AQE's size-checked join choice."""
+    n = getattr(source, "_row_bound", None)
+    if n is None:
+        return derived
+    out = F.broadcast(derived)
+    out._row_bound = n
+    return out
 
 
 def _variants(entry) -> list[Mapping]:
@@ -35,7 +64,7 @@ def recode_frame(spark: SparkSession, answers: Mapping[str, object]) -> DataFram
                         raise ValueError(f"{q} variant {v}: {old!r} mapped twice")
                     seen.add(old)
                     rows.append((q, v, old, new))
-    return spark.createDataFrame(rows, "question string, variant int, old string, new string")
+    return small_frame(spark, rows, "question string, variant int, old string, new string")
 
 
 def order_frame(spark: SparkSession, answers: Mapping[str, object]) -> DataFrame:
@@ -45,18 +74,18 @@ def order_frame(spark: SparkSession, answers: Mapping[str, object]) -> DataFrame
         for v, e in enumerate(_variants(entry)):
             for rank, a in enumerate(e.get("order") or []):
                 rows.append((q, v, a, rank))
-    return spark.createDataFrame(rows, "question string, variant int, answer string, rank int")
+    return small_frame(spark, rows, "question string, variant int, answer string, rank int")
 
 
 def labels_frame(spark: SparkSession, labels: Mapping[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(labels.items()), "question string, label string")
+    return small_frame(spark, list(labels.items()), "question string, label string")
 
 
 def questions_frame(spark: SparkSession, questions: Iterable[str]) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in questions], "question string")
+    return small_frame(spark, [(q,) for q in questions], "question string")
 
 
 def assertions_frame(spark: SparkSession, polarity: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
     """(question, answer, polarity) from {polarity: {question: [answers]}}."""
     rows = [(q, a, p) for p, per_q in polarity.items() for q, answers in per_q.items() for a in answers]
-    return spark.createDataFrame(rows, "question string, answer string, polarity string")
+    return small_frame(spark, rows, "question string, answer string, polarity string")
