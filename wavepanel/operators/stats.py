@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.answers import as_number, is_answered, percent, replace_values
 from ..plans.survey import MAYBE_AS_YES, NA
+from ..plans.lineage import cut_lineage
 from .quantiles import exact_quantiles
 
 
@@ -150,13 +151,19 @@ def income_per_capita(long: DataFrame, panel: DataFrame, income_q: str, size_q:
 STATISTICS = ["count", "null_count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
-def group_describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def group_describe(df: DataFrame, value: str, by: Sequence[str] = (), materialize: bool = False) -> DataFrame:
     """Count, null_count, mean, std, min, quartiles, max of ``value`` per group.
 
     Long layout (by..., statistic, value).  Quartiles are exact with linear
-    interpolation (``exact_quantiles``, which splits hot groups).
+    interpolation (``exact_quantiles``, which splits hot groups).  The
+    (group, value) input feeds several branches; with ``materialize`` (for
+    an expensive derived input) it is written once to the shared checkpoint
+    folder and the branches read it back.
     """
-    v = F.col(value).cast("double")
+    df = df.select(*by, F.col(value).cast("double").alias(value))
+    if materialize:
+        df = cut_lineage(df)
+    v = F.col(value)
     base = df.groupBy(*by).agg(
         F.count(v).cast("double").alias("count"),
         F.sum(F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0))).cast("double").alias("null_count"),

@@ -200,7 +200,7 @@ def q_group_describe(spark, sf):
 def q_income_describe(spark, sf):
     df = R.composite_flags(per_capita(spark, sf), "both_ab", "flag_a", "flag_b")
     return finish(ST.group_describe(df.filter(F.col("both_ab").isNotNull()), "per_capita",
-                                    by=[S.TIME, "both_ab"]))
+                                    by=[S.TIME, "both_ab"], materialize=True))
 
 
 def q_frequency_by_flag(spark, sf):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.reshape import build_column_map
 from ..sources import tpch_panel
 from . import dictionaries as D
+from .lineage import reuse
 from .pipeline import SurveySpec, long_table, panel_from_export, periods_from_export
 from .survey import NA, NONE_LABEL, YES_NO_CATEGORIES
 
@@ -54,19 +55,19 @@ MULTI_QUESTIONS = ["Items"]
 
 
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tpch_panel.panel_export(spark, sf_dir)
+    return reuse(spark, ("export", sf_dir), lambda: tpch_panel.panel_export(spark, sf_dir))
 
 
 def long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_table(export(spark, sf_dir), SPEC)
+    return reuse(spark, ("long", sf_dir), lambda: long_table(export(spark, sf_dir), SPEC))
 
 
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return periods_from_export(export(spark, sf_dir), SPEC)
+    return reuse(spark, ("periods", sf_dir), lambda: periods_from_export(export(spark, sf_dir), SPEC))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel_from_export(export(spark, sf_dir), SPEC)
+    return reuse(spark, ("panel", sf_dir), lambda: panel_from_export(export(spark, sf_dir), SPEC))
 
 
 def recode(spark: SparkSession) -> DataFrame:

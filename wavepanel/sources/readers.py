@@ -13,8 +13,12 @@ from .. import schema as S
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables (``<sf_dir>/<name>.parquet``)."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One of the driver's tables (``<sf_dir>/<name>.parquet``); the file
+    listing and footer schema are read once per session."""
+    from ..plans.lineage import reuse
+
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    return reuse(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
 def read_export_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",") -> DataFrame:
