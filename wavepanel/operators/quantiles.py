@@ -31,11 +31,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
                                    F.count(F.lit(1)).alias("_n"))
     if by:
         vb = vc.join(sketch.select(*by, "_s"), by, "inner")
-        splits = F.col("_s")
-    else:
-        vb = vc
-        splits = sketch.select("_s").scalar()
-    vb = vb.withColumn("_b", F.size(F.filter(splits, lambda s: s < F.col("_x")))).select(*by, "_b", "_x", "_c")
+    else:  # one global sketch: a scalar subquery, projected before the lambda reads it
+        vb = vc.withColumn("_s", sketch.select("_s").scalar())
+    vb = (vb.withColumn("_b", F.size(F.filter(F.col("_s"), lambda s: s < F.col("_x"))))
+          .select(*by, "_b", "_x", "_c"))
 
     per_bucket = vb.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
     before = per_bucket.select(

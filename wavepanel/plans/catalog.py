@@ -238,6 +238,19 @@ def q_unrecoded_report(spark, sf):
     return R.unrecoded_report(fx.long(spark, sf), fx.order(spark), recode=None)
 
 
+def q_streaming_long_ingest(spark, sf):
+    """The export written as files, ingested by the streaming job, read back."""
+    from ..streaming.ingest import start_long_ingest
+
+    base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    wide = fx.export(spark, sf)
+    wide.write.parquet(os.path.join(base, "exports"))
+    query = start_long_ingest(spark, os.path.join(base, "exports"), wide.schema, fx.SPEC,
+                              os.path.join(base, "long"), os.path.join(base, "progress"))
+    query.awaitTermination()
+    return readers.read_long(spark, os.path.join(base, "long"))
+
+
 QUERIES = {
     "load_wide_join": q_load_wide_join,
     "to_long": q_to_long,
@@ -245,6 +258,7 @@ QUERIES = {
     "normalize_values": q_normalize_values,
     "explode_assertions": q_explode_assertions,
     "long_parquet_roundtrip": q_long_parquet_roundtrip,
+    "streaming_long_ingest": q_streaming_long_ingest,
     "recode_answers": q_recode_answers,
     "ordered_answers": q_ordered_answers,
     "first_last_wave": q_first_last_wave,

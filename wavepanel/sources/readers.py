@@ -52,8 +52,13 @@ def duplicate_keys(wide: DataFrame, key: str) -> DataFrame:
 def write_long(long: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist the tidy table as Parquet partitioned by question, so a
     question filter prunes whole directories, sorted by family inside each
-    file for tight row-group statistics."""
-    (long.repartition(S.QUESTION).sortWithinPartitions(S.FAMILY)
+    file for tight row-group statistics.
+
+    ``rebalance`` (not ``repartition``) groups rows by question for the
+    writer while letting AQE split a question that holds a large share of
+    the rows over several tasks and merge the small ones.
+    """
+    (long.hint("rebalance", S.QUESTION).sortWithinPartitions(S.QUESTION, S.FAMILY)
      .write.mode(mode).partitionBy(S.QUESTION).parquet(path))
 
 
