@@ -99,6 +99,19 @@ def _association() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _association_flags() -> str:
+    base = "(SELECT DISTINCT family, flag_a, flag_b, flag_c, flag_d FROM periods)"
+    cols = ["flag_a", "flag_b", "flag_c", "flag_d"]
+    parts = []
+    for a in cols:
+        for b in cols:
+            if a != b:
+                parts.append(f"SELECT * FROM {cramers_sql(base, a, b, a, b)}")
+        parts.append(f"SELECT '{a}' AS var1, '{a}' AS var2, CAST(count(*) AS BIGINT) AS n, 1.0 AS cramers_v "
+                     f"FROM {base} WHERE {a} IS NOT NULL AND {a} <> 'NA'")
+    return q("\n" + "\nUNION ALL\n".join(parts))
+
+
 def _hist_equal_width(bins: int = 10) -> str:
     return f"""
 WITH v AS (SELECT CAST(o_totalprice AS DOUBLE) AS v FROM orders WHERE o_totalprice IS NOT NULL AND NOT isnan(o_totalprice)),
@@ -184,6 +197,7 @@ FROM cells"""),
     "explode_assertions": q("SELECT * FROM lx"),
     "long_parquet_roundtrip": q("SELECT * FROM lx"),
     "streaming_long_ingest": q("SELECT * FROM lx"),
+    "csv_export_roundtrip": q("SELECT * FROM cells"),
     "recode_answers": q(f"""
 SELECT family, time, question, 0 AS variant, {RECODE_V0} AS answer FROM lx
 UNION ALL
@@ -205,6 +219,11 @@ d AS (SELECT time_first, time_last, count(DISTINCT family) AS count FROM periods
 SELECT time_first, time_last, count, {r6(f"round({pct('count', '(SELECT sum(count) FROM d)')}, 2)")} AS percentage
 FROM d"""),
     "respondents_by_territory": q("SELECT territory, count(DISTINCT family) AS n_families FROM panel GROUP BY territory"),
+    "respondents_by_territory_wave": q(
+        "SELECT territory, time, count(DISTINCT family) AS n_families FROM panel GROUP BY territory, time"),
+    "frequency_compare_by": q(f""",
+rp AS (SELECT * REPLACE ({RECODE_V0} AS answer) FROM panel WHERE question = 'Priority')""" + freq(
+        "rp", extra=["segment"], multi="'Items'")),
     "frequency_all_questions": q(f""",
 rp AS (SELECT * REPLACE ({RECODE_V0} AS answer) FROM panel)""" + freq("rp", multi="'Items'")),
     "frequency_by_territory": q(f""",
@@ -248,6 +267,7 @@ FROM ps"""),
     "cramers_v_pair": "SELECT * FROM " + cramers_sql("lineitem", "l_returnflag", "l_linestatus",
                                                      "l_returnflag", "l_linestatus"),
     "association_matrix": _association(),
+    "association_flags": _association_flags(),
     "hist_equal_width": _hist_equal_width(10),
     "hist_fixed_width": _hist_fixed("events", "value", 50.0, 0.0, 500.0, ["event_type"]),
     "hist_fixed_width_orders": _hist_fixed("orders", "o_totalprice", 50000.0, 0.0, 500000.0, []),

@@ -3,7 +3,10 @@
 1. values are reduced to distinct (group, value, count) rows (partial
    aggregation: a value repeated a billion times becomes one row);
 2. an approximate sketch per group gives ``buckets`` - 1 split points; they
-   only decide how the ordered values are cut into ranges, never the result;
+   only decide how the ordered values are cut into ranges, never the result.
+   A sketch's merge order (hence its splits) may differ if it is recomputed
+   after a lost executor, so the small (groups x buckets) sketch is
+   checkpointed once and every task reads the same splits;
 3. rows before each range come from the (group, range) totals (<= buckets
    rows per group), the position inside a range from a window over that
    range only - so a hot group is sorted as ``buckets`` independent tasks;
@@ -18,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage
+
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                     buckets: int = 64, accuracy: int = 10000) -> DataFrame:
@@ -27,8 +32,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     vals = df.select(*by, v.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     vc = vals.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
     cuts = [i / buckets for i in range(1, buckets)]
-    sketch = vals.groupBy(*by).agg(F.percentile_approx("_x", cuts, accuracy).alias("_s"),
-                                   F.count(F.lit(1)).alias("_n"))
+    sketch = cut_lineage(vals.groupBy(*by).agg(F.percentile_approx("_x", cuts, accuracy).alias("_s"),
+                                               F.count(F.lit(1)).alias("_n")))
     if by:
         vb = vc.join(sketch.select(*by, "_s"), by, "inner")
     else:  # one global sketch: a scalar subquery, projected before the lambda reads it

@@ -238,6 +238,28 @@ def q_unrecoded_report(spark, sf):
     return R.unrecoded_report(fx.long(spark, sf), fx.order(spark), recode=None)
 
 
+def q_csv_export_roundtrip(spark, sf):
+    """The export written and read back as CSV (explicit all-string schema), then unpivoted."""
+    wide = fx.export(spark, sf)
+    path = os.path.join(checkpoint_dir(spark), f"export-csv-{uuid.uuid4().hex}")
+    readers.write_export_csv(wide, path)
+    back = readers.read_export_csv(spark, path, wide.columns)
+    return _cells(back, fx.SPEC)
+
+
+def q_respondents_by_territory_wave(spark, sf):
+    return P.respondents_by_territory(fx.panel(spark, sf), by=[S.TERRITORY, S.TIME])
+
+
+def q_frequency_compare_by(spark, sf):
+    return finish(T.frequency_table(fx.panel(spark, sf), questions=["Priority"], compare_by="segment",
+                                    recode=fx.recode(spark), multi_questions=fx.MULTI_QUESTIONS))
+
+
+def q_association_flags(spark, sf):
+    return finish(ST.association_matrix(fx.periods(spark, sf), fx.FLAGS, S.FAMILY))
+
+
 def q_streaming_long_ingest(spark, sf):
     """The export written as files, ingested by the streaming job, read back."""
     from ..streaming.ingest import start_long_ingest
@@ -259,6 +281,7 @@ QUERIES = {
     "explode_assertions": q_explode_assertions,
     "long_parquet_roundtrip": q_long_parquet_roundtrip,
     "streaming_long_ingest": q_streaming_long_ingest,
+    "csv_export_roundtrip": q_csv_export_roundtrip,
     "recode_answers": q_recode_answers,
     "ordered_answers": q_ordered_answers,
     "first_last_wave": q_first_last_wave,
@@ -267,8 +290,10 @@ QUERIES = {
     "panel_from_long": q_panel_from_long,
     "period_distribution": q_period_distribution,
     "respondents_by_territory": q_respondents_by_territory,
+    "respondents_by_territory_wave": q_respondents_by_territory_wave,
     "frequency_all_questions": q_frequency_all_questions,
     "frequency_by_territory": q_frequency_by_territory,
+    "frequency_compare_by": q_frequency_compare_by,
     "frequency_item_variants": q_frequency_item_variants,
     "frequency_lineitem_flags": q_frequency_lineitem_flags,
     "missing_table": q_missing_table,
@@ -278,6 +303,7 @@ QUERIES = {
     "paired_scores_summary": q_paired_scores_summary,
     "cramers_v_pair": q_cramers_v_pair,
     "association_matrix": q_association_matrix,
+    "association_flags": q_association_flags,
     "hist_equal_width": q_hist_equal_width,
     "hist_fixed_width": q_hist_fixed_width,
     "hist_fixed_width_orders": q_hist_fixed_width_orders,

@@ -9,7 +9,9 @@ PAIR_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
 def physical_plan(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan of a fresh copy (an executed adaptive plan would also
+    print its initial plan)."""
+    return df.select("*")._jdf.queryExecution().executedPlan().toString()
 
 
 def problems(df: DataFrame) -> list[str]:

@@ -10,6 +10,8 @@ not a recomputation from the raw tables.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,10 @@ def reuse(spark: SparkSession, key: Hashable, build: Callable[[], DataFrame]) ->
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read
+    it back (one job; an eager ``checkpoint()`` would compute the input twice
+    unless it were cached).  Never a machine-local folder."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -64,3 +64,8 @@ def write_long(long: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_long(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_export_csv(wide: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A wide export as CSV with a header (empty cell = null), as analysts exchange it."""
+    wide.write.mode(mode).option("header", True).option("nullValue", "").csv(path)
