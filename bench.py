@@ -22,8 +22,12 @@ def main() -> None:
     from wavepanel.session import get_session
     from wavepanel.plans.catalog import QUERIES
 
+    # Small-SF tuning: let AQE keep ~1 post-shuffle partition per core even
+    # when a stage's shuffle output is only a few MB (the default minimum of
+    # 1 MB per partition would leave most cores idle in the generate steps).
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus,
-                        extra={"spark.driver.memory": "16g"})
+                        extra={"spark.driver.memory": "16g",
+                               "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB"})
     QUERIES["frequency_all_questions"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times = {}

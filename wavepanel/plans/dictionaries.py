@@ -15,14 +15,31 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 # Rows x (a few short strings) stays well under a few MB per executor.
 MAX_BROADCAST_ROWS = 100_000
 
 
+# Up to this many rows a dictionary is a literal table evaluated in the JVM
+# (no Python worker, no RDD); larger ones go through createDataFrame.
+MAX_LITERAL_ROWS = 5_000
+
+
+def _literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    fields = _parse_datatype_string(schema).fields
+    if not rows:
+        return spark.createDataFrame([], schema)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A config frame, broadcast when its (known) row count is within bound."""
-    df = spark.createDataFrame(rows, schema)
+    if len(rows) <= MAX_LITERAL_ROWS:
+        df = _literal_table(spark, rows, schema)
+    else:
+        df = spark.createDataFrame(rows, schema)
     if len(rows) > MAX_BROADCAST_ROWS:
         return df
     out = F.broadcast(df)
