@@ -94,7 +94,7 @@ def _association() -> str:
         for b in cols:
             if a != b:
                 parts.append(f"SELECT * FROM {cramers_sql(base, a, b, a, b)}")
-        parts.append(f"SELECT '{a}' AS var1, '{a}' AS var2, CAST(count(*) AS BIGINT) AS n, 1.0 AS cramers_v "
+        parts.append(f"SELECT '{a}' AS var1, '{a}' AS var2, CAST(count(*) AS BIGINT) AS n, CAST(1.0 AS DOUBLE) AS cramers_v "
                      f"FROM {base} WHERE {a} IS NOT NULL AND {a} <> 'NA'")
     return "\nUNION ALL\n".join(parts)
 
@@ -107,7 +107,7 @@ def _association_flags() -> str:
         for b in cols:
             if a != b:
                 parts.append(f"SELECT * FROM {cramers_sql(base, a, b, a, b)}")
-        parts.append(f"SELECT '{a}' AS var1, '{a}' AS var2, CAST(count(*) AS BIGINT) AS n, 1.0 AS cramers_v "
+        parts.append(f"SELECT '{a}' AS var1, '{a}' AS var2, CAST(count(*) AS BIGINT) AS n, CAST(1.0 AS DOUBLE) AS cramers_v "
                      f"FROM {base} WHERE {a} IS NOT NULL AND {a} <> 'NA'")
     return q("\n" + "\nUNION ALL\n".join(parts))
 
@@ -234,6 +234,19 @@ iv AS (SELECT question, 0 AS variant, time, answer FROM panel
        UNION ALL
        SELECT question, 1 AS variant, time, CASE WHEN answer IN ('F', 'O', 'P') THEN 'Some' ELSE answer END AS answer
        FROM panel WHERE question = 'Items')""" + freq("iv", multi="'Items'", variant="variant")),
+    "frequency_family_share": q(f""",
+c AS (SELECT question, 0 AS variant, time, answer, count(*) AS n, count(DISTINCT family) AS n_families
+      FROM panel WHERE question = 'Items' GROUP BY ALL),
+t AS (SELECT question, variant, time, sum(n) AS tot, sum(CASE WHEN answer <> 'NA' THEN n END) AS totv
+      FROM c GROUP BY ALL),
+f AS (SELECT question, time, count(DISTINCT family) AS fams FROM panel WHERE question = 'Items' GROUP BY ALL)
+SELECT c.question, c.variant, c.time, c.answer, c.n,
+       {r6(pct('c.n', 't.tot'))} AS pct,
+       CASE WHEN c.answer <> 'NA' THEN {r6(pct('c.n', 't.totv'))} END AS pct_valid,
+       c.answer <> 'NA' AS included, 'responses' AS unit,
+       c.n_families, {r6(pct('c.n_families', 'f.fams'))} AS pct_families
+FROM c JOIN t ON t.question = c.question AND t.variant = c.variant AND t.time = c.time
+JOIN f ON f.question = c.question AND f.time = c.time"""),
     "frequency_lineitem_flags": q(""",
 lf AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS time, 'returnflag' AS question, l_returnflag AS answer FROM lineitem
        UNION ALL

@@ -24,9 +24,20 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut_lineage
 
 
+INTERPOLATIONS = ("linear", "lower", "higher", "nearest", "midpoint")
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    buckets: int = 64, accuracy: int = 10000) -> DataFrame:
-    """(by..., p, q): the exact p-quantile of ``value`` per group (nulls/NaN ignored)."""
+                    buckets: int = 64, accuracy: int = 10000, interpolation: str = "linear") -> DataFrame:
+    """(by..., p, q): the exact p-quantile of ``value`` per group (nulls/NaN ignored).
+
+    With h = p (n - 1) and x_lo, x_hi the values at positions floor(h),
+    ceil(h): linear = x_lo + (h - floor(h)) (x_hi - x_lo) (SQL quantile_cont),
+    lower = x_lo, higher = x_hi, nearest = the value at round(h) (halves
+    away from zero), midpoint = (x_lo + x_hi) / 2.
+    """
+    if interpolation not in INTERPOLATIONS:
+        raise ValueError(f"interpolation must be one of {INTERPOLATIONS}")
     by = list(by)
     v = F.col(value).cast("double")
     vals = df.select(*by, v.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
@@ -66,5 +77,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
               .groupBy(*by, "p").agg(F.max(F.when(lo_hit, F.col("_x"))).alias("_xl"),
                                      F.max(F.when(hi_hit, F.col("_x"))).alias("_xh"),
                                      F.max("_h").alias("_h"), F.max("_lo").alias("_lo")))
-    q = F.col("_xl") + (F.col("_h") - F.col("_lo")) * (F.col("_xh") - F.col("_xl"))
+    xl, xh, frac = F.col("_xl"), F.col("_xh"), F.col("_h") - F.col("_lo")
+    q = {"linear": xl + frac * (xh - xl),
+         "lower": xl,
+         "higher": xh,
+         "nearest": F.when(frac >= F.lit(0.5), xh).otherwise(xl),
+         "midpoint": (xl + xh) / F.lit(2.0)}[interpolation]
     return picked.select(*by, "p", q.alias("q"))

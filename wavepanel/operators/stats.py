@@ -151,7 +151,8 @@ def income_per_capita(long: DataFrame, panel: DataFrame, income_q: str, size_q:
 STATISTICS = ["count", "null_count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
-def group_describe(df: DataFrame, value: str, by: Sequence[str] = (), materialize: bool = False) -> DataFrame:
+def group_describe(df: DataFrame, value: str, by: Sequence[str] = (), materialize: bool = False,
+                   interpolation: str = "linear") -> DataFrame:
     """Count, null_count, mean, std, min, quartiles, max of ``value`` per group.
 
     Long layout (by..., statistic, value).  Quartiles are exact with linear
@@ -169,7 +170,8 @@ def group_describe(df: DataFrame, value: str, by: Sequence[str] = (), materializ
         F.sum(F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0))).cast("double").alias("null_count"),
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"))
-    q = exact_quantiles(df.select(*by, v.alias("_v")), by, "_v", [0.25, 0.5, 0.75])
+    q = exact_quantiles(df.select(*by, v.alias("_v")), by, "_v", [0.25, 0.5, 0.75],
+                        interpolation=interpolation)
     qlong = q.select(*by, F.concat(F.format_number(F.col("p") * 100, 0), F.lit("%")).alias("statistic"),
                      F.col("q").alias("value"))
     stats = ["count", "null_count", "mean", "std", "min", "max"]

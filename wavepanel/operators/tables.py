@@ -29,13 +29,17 @@ def frequency_table(panel: DataFrame, questions: Sequence[str] | None = None,
                     variant: int | None = 0, filter_by_order: bool = False,
                     denominator: Sequence[str] = (S.TIME,),
                     multi_questions: Sequence[str] = MULTI_ANSWER_QUESTIONS,
-                    na: str = NA) -> DataFrame:
+                    family_share: bool = False, na: str = NA) -> DataFrame:
     """N and shares of each answer per (question, variant, time[, by][, compare_by]).
 
     ``pct`` is the share of all rows of the denominator group ((question,
     variant) + ``denominator``, by default the wave, not the territory);
     ``pct_valid`` the share among answered rows (null and ``included=False``
     for 'NA').  ``unit`` says whether rows are families or ticked assertions.
+    With ``family_share`` two columns are added for multi-answer questions,
+    where a row is an assertion: ``n_families`` (families that gave the
+    answer) and ``pct_families`` (their share of the families in the
+    denominator group).
     """
     df = panel
     if questions is not None:
@@ -45,18 +49,27 @@ def frequency_table(panel: DataFrame, questions: Sequence[str] | None = None,
         df = answer_order(df, order, keep_unknown=False)
     extra = list(by) + ([compare_by] if compare_by else [])
     keys = [S.QUESTION, VARIANT, S.TIME] + extra + [S.ANSWER]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if family_share:
+        aggs.append(F.countDistinct(S.FAMILY).alias("n_families"))
+    counts = df.groupBy(*keys).agg(*aggs)
     w = Window.partitionBy(S.QUESTION, VARIANT, *denominator)
     answered = F.col(S.ANSWER) != F.lit(na)
     total = F.sum("n").over(w)
     total_valid = F.sum(F.when(answered, F.col("n"))).over(w)
     unit = F.when(F.col(S.QUESTION).isin(list(multi_questions)), F.lit("responses")).otherwise(F.lit("families"))
+    extra_cols = []
+    if family_share:
+        group = [S.QUESTION, VARIANT, *denominator]
+        families = df.groupBy(*group).agg(F.countDistinct(S.FAMILY).alias("_families"))
+        counts = counts.join(families, group, "left")
+        extra_cols = ["n_families", percent(F.col("n_families"), F.col("_families")).alias("pct_families")]
     return counts.select(
         *keys, "n",
         percent(F.col("n"), total).alias("pct"),
         F.when(answered, percent(F.col("n"), total_valid)).alias("pct_valid"),
         answered.alias("included"),
-        unit.alias("unit"))
+        unit.alias("unit"), *extra_cols)
 
 
 def missing_table(panel: DataFrame, questions: DataFrame | None = None,

@@ -115,6 +115,11 @@ def q_frequency_item_variants(spark, sf):
                                     multi_questions=fx.MULTI_QUESTIONS))
 
 
+def q_frequency_family_share(spark, sf):
+    return finish(T.frequency_table(fx.panel(spark, sf), questions=["Items"], recode=fx.recode(spark),
+                                    multi_questions=fx.MULTI_QUESTIONS, family_share=True))
+
+
 def lineitem_flags(spark, sf):
     li = readers.table(spark, sf, "lineitem")
     return li.select(
@@ -295,6 +300,7 @@ QUERIES = {
     "frequency_by_territory": q_frequency_by_territory,
     "frequency_compare_by": q_frequency_compare_by,
     "frequency_item_variants": q_frequency_item_variants,
+    "frequency_family_share": q_frequency_family_share,
     "frequency_lineitem_flags": q_frequency_lineitem_flags,
     "missing_table": q_missing_table,
     "transition_matrix": q_transition_matrix,
