@@ -36,3 +36,21 @@ def test_scan_prunes_columns(spark):
 
     plan = physical_plan(QUERIES["association_matrix"](spark, SF))
     assert "documents" in plan and "text:" not in plan  # the document text is never read
+
+
+def test_size_for_cluster_sets_partitioning(spark):
+    from wavepanel.session import size_for_cluster
+
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    try:
+        got = size_for_cluster(spark, total_cores=8000, scan_bytes=100 * 10**12)
+        assert int(got["spark.sql.shuffle.partitions"]) == 372530
+        small = size_for_cluster(spark, total_cores=8, scan_bytes=10**6)
+        assert int(small["spark.sql.shuffle.partitions"]) == 24
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+        for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                  "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                  "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"):
+            spark.conf.unset(k)

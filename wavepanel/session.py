@@ -8,6 +8,7 @@ private scratch folder is chosen only when it is unset (local tests).
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -55,3 +56,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def size_for_cluster(spark: SparkSession, total_cores: int, scan_bytes: int,
+                     task_bytes: int = 256 << 20) -> dict:
+    """Partition sizing for a run over ``scan_bytes`` of input on ``total_cores``.
+
+    Scans are split into ~``task_bytes`` tasks; shuffles start with enough
+    partitions for the largest shuffle (the un-aggregated input, at most
+    ``scan_bytes``) and never fewer than 3 waves of tasks per core, and AQE
+    coalesces them towards ``task_bytes`` after each map stage.  With 256 MB
+    per task a task's sort/aggregation buffer fits an executor core's share
+    of memory and spills gracefully beyond it.  Returns the settings applied.
+    """
+    shuffle = max(3 * total_cores, math.ceil(scan_bytes / task_bytes))
+    settings = {
+        "spark.sql.files.maxPartitionBytes": str(task_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * task_bytes),
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return settings
