@@ -97,3 +97,51 @@ MIN_GAP = 2
 
 # FIXED VALUES: missing-answer share above which a question is flagged.
 NA_THRESHOLD = 50
+
+# FIXED VALUES: the index questions of the study (the default question list
+# of the frequency and missing-answer tables).
+INDEX_QUESTIONS = [
+    "Access",
+    "BankAccount",
+    "Bathroom",
+    "CEP",
+    "CommFacilities",
+    "CulturalEvent",
+    "Documents",
+    "Eletricity",
+    "Floor",
+    "FoodManytimes",
+    "Garbage",
+    "HealthGenKidsNames",
+    "HealthGenNames",
+    "HousingProblems",
+    "Income",
+    "IncomeWorkS3",
+    "Internet",
+    "Roof",
+    "SchoolCurrent",
+    "SchoolLast",
+    "SchoolLiteracy",
+    "SchoolMathLit",
+    "Sewer",
+    "Walls",
+    "Water",
+    "WaterFrequency",
+]
+
+# FIXED VALUES: the index dimensions; each exists as a category question
+# ("Categoria" + name) and as an average score question ("Average" + name).
+INDEX_DIMENSIONS = [
+    "IGF",
+    "Income",
+    "Citizenship",
+    "Culture",
+    "FirstInfancy",
+    "Health",
+    "Housing",
+    "Schooling",
+    "WomanAutonomy",
+    "Environment",
+]
+CATEGORY_QUESTIONS = [CATEGORY_PREFIX + d for d in INDEX_DIMENSIONS]
+AVERAGE_QUESTIONS = ["Average" + d for d in INDEX_DIMENSIONS]
