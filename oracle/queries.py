@@ -188,6 +188,9 @@ SELECT m.*, {r6(pct('n', f'sum(n) OVER (PARTITION BY question{dgrp}, first_answe
 
 ORACLE = {
     "load_wide_join": _load_wide(),
+    "duplicate_keys": """
+SELECT CAST(c_custkey AS VARCHAR) AS id_family, count(*) AS count FROM customer
+GROUP BY c_custkey HAVING count(*) > 1""",
     "to_long": q("SELECT * FROM cells"),
     "profile_map": q("SELECT family AS id_family, flag_a, flag_b, flag_c, flag_d FROM fam"),
     "normalize_values": q("""
@@ -281,6 +284,9 @@ FROM ps"""),
                                                      "l_returnflag", "l_linestatus"),
     "association_matrix": _association(),
     "association_flags": _association_flags(),
+    "profile_conflicts": q("""
+SELECT family, count(DISTINCT (segment, flag_a, flag_b, flag_c, flag_d)) AS n_profiles FROM lx
+GROUP BY family HAVING count(DISTINCT (segment, flag_a, flag_b, flag_c, flag_d)) > 1"""),
     "hist_equal_width": _hist_equal_width(10),
     "hist_fixed_width": _hist_fixed("events", "value", 50.0, 0.0, 500.0, ["event_type"]),
     "hist_fixed_width_orders": _hist_fixed("orders", "o_totalprice", 50000.0, 0.0, 500000.0, []),

@@ -64,3 +64,13 @@ def test_one_answer_per_family_conflicts(spark):
     rows, conflicts = one_answer_per_family(df)
     assert sorted((r.family, r.answer, r.n_answers) for r in rows.collect()) == [("1", "a", 2), ("2", "c", 1)]
     assert [r.family for r in conflicts.collect()] == ["1"]
+
+
+def test_profile_conflicts_and_duplicate_keys(spark):
+    from wavepanel.operators.panel import profile_conflicts
+    from wavepanel.sources.readers import duplicate_keys
+
+    df = spark.createDataFrame([("1", "Sim", "x"), ("1", "Sim", "y"), ("1", "Não", "z"), ("2", "Sim", "x")],
+                               "family string, flag string, other string")
+    assert [(r.family, r.n_profiles) for r in profile_conflicts(df, "family", ["flag"]).collect()] == [("1", 2)]
+    assert [(r.family, r["count"]) for r in duplicate_keys(df, "family").collect()] == [("1", 3)]

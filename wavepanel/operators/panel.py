@@ -101,3 +101,12 @@ def one_answer_per_family(panel: DataFrame, order_col: str = S.ANSWER) -> tuple[
                  F.countDistinct(S.ANSWER).alias("n_answers")))
     conflicts = rows.filter(F.col("n_answers") > 1)
     return rows, conflicts
+
+
+def profile_conflicts(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """Keys whose profile columns take more than one combination of values
+    (each would count once per combination in a per-family distinct).
+    One aggregate; returns (key, n_profiles)."""
+    profile = F.struct(*[F.col(c) for c in cols])
+    return (df.groupBy(key).agg(F.countDistinct(profile).alias("n_profiles"))
+            .filter(F.col("n_profiles") > 1))

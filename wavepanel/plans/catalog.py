@@ -265,6 +265,14 @@ def q_association_flags(spark, sf):
     return finish(ST.association_matrix(fx.periods(spark, sf), fx.FLAGS, S.FAMILY))
 
 
+def q_duplicate_keys(spark, sf):
+    return readers.duplicate_keys(fx.export(spark, sf), tpch_panel.KEY)
+
+
+def q_profile_conflicts(spark, sf):
+    return P.profile_conflicts(fx.long(spark, sf), S.FAMILY, ["segment", *fx.FLAGS])
+
+
 def q_streaming_long_ingest(spark, sf):
     """The export written as files, ingested by the streaming job, read back."""
     from ..streaming.ingest import start_long_ingest
@@ -280,6 +288,7 @@ def q_streaming_long_ingest(spark, sf):
 
 QUERIES = {
     "load_wide_join": q_load_wide_join,
+    "duplicate_keys": q_duplicate_keys,
     "to_long": q_to_long,
     "profile_map": q_profile_map,
     "normalize_values": q_normalize_values,
@@ -310,6 +319,7 @@ QUERIES = {
     "cramers_v_pair": q_cramers_v_pair,
     "association_matrix": q_association_matrix,
     "association_flags": q_association_flags,
+    "profile_conflicts": q_profile_conflicts,
     "hist_equal_width": q_hist_equal_width,
     "hist_fixed_width": q_hist_fixed_width,
     "hist_fixed_width_orders": q_hist_fixed_width_orders,
