@@ -74,3 +74,16 @@ def test_group_describe(spark):
     assert got[("a", "count")] == 3 and got[("a", "null_count")] == 1
     assert got[("a", "50%")] == 2.0 and got[("a", "25%")] == 1.5 and got[("a", "max")] == 4.0
     assert got[("b", "std")] is None and got[("b", "75%")] == 3.0
+
+
+def test_count_below_binary_search(spark):
+    from pyspark.sql import functions as F
+
+    from wavepanel.operators.quantiles import count_below, ranges_for
+
+    splits = [1.0, 2.0, 2.0, 5.0, 9.0]
+    xs = [0.5, 1.0, 1.5, 2.0, 3.0, 9.0, 10.0]
+    df = spark.createDataFrame([(splits, x) for x in xs], "s array<double>, x double")
+    got = [r.b for r in df.select(count_below(F.col("s"), F.col("x"), len(splits)).alias("b")).collect()]
+    assert got == [sum(1 for s in splits if s < x) for x in xs]
+    assert ranges_for(0) == 16 and ranges_for(10**11) == 1 << 16 and ranges_for(40_000_000) == 64

@@ -4,6 +4,11 @@
    aggregation: a value repeated a billion times becomes one row);
 2. an approximate sketch per group gives ``buckets`` - 1 split points; they
    only decide how the ordered values are cut into ranges, never the result.
+   By default ``buckets`` grows with the largest group (about
+   ``ROWS_PER_RANGE`` values per range, one number read on the driver) and a
+   value finds its range by binary search over the split points
+   (``aggregate`` over log2(buckets) steps), so a hot group of any size is
+   cut into ranges of bounded size.
    A sketch's merge order (hence its splits) may differ if it is recomputed
    after a lost executor, so the small (groups x buckets) sketch is
    checkpointed once and every task reads the same splits;
@@ -16,6 +21,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -25,10 +31,36 @@ from ..plans.lineage import cut_lineage
 
 
 INTERPOLATIONS = ("linear", "lower", "higher", "nearest", "midpoint")
+ROWS_PER_RANGE = 1_000_000
+MIN_RANGES, MAX_RANGES = 16, 1 << 16
+
+
+def ranges_for(largest_group: int) -> int:
+    """Power-of-two number of ranges giving ~ROWS_PER_RANGE rows per range."""
+    want = max(1, math.ceil(largest_group / ROWS_PER_RANGE))
+    return min(MAX_RANGES, max(MIN_RANGES, 1 << (want - 1).bit_length()))
+
+
+def count_below(splits: F.Column, x: F.Column, size: int) -> F.Column:
+    """Number of entries of the ascending array ``splits`` that are < x
+    (lower bound by binary search: ceil(log2(size + 1)) halving steps)."""
+    steps = max(1, (size + 1).bit_length())
+
+    def step(acc, _):
+        lo, hi = acc.getField("lo"), acc.getField("hi")
+        mid = F.shiftright(lo + hi, 1)
+        below = F.try_element_at(splits, mid + F.lit(1)) < x
+        moved = F.when(below, F.struct((mid + F.lit(1)).alias("lo"), hi.alias("hi"))).otherwise(
+            F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, moved).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).getField("lo")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    buckets: int = 64, accuracy: int = 10000, interpolation: str = "linear") -> DataFrame:
+                    buckets: int | None = None, accuracy: int = 10000,
+                    interpolation: str = "linear") -> DataFrame:
     """(by..., p, q): the exact p-quantile of ``value`` per group (nulls/NaN ignored).
 
     With h = p (n - 1) and x_lo, x_hi the values at positions floor(h),
@@ -42,14 +74,19 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     v = F.col(value).cast("double")
     vals = df.select(*by, v.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     vc = vals.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    if buckets is None:
+        sizes = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else vals.agg(
+            F.count(F.lit(1)).alias("_n"))
+        buckets = ranges_for(sizes.agg(F.max("_n")).first()[0] or 0)
     cuts = [i / buckets for i in range(1, buckets)]
+    accuracy = max(accuracy, 4 * buckets)
     sketch = cut_lineage(vals.groupBy(*by).agg(F.percentile_approx("_x", cuts, accuracy).alias("_s"),
                                                F.count(F.lit(1)).alias("_n")))
     if by:
         vb = vc.join(sketch.select(*by, "_s"), by, "inner")
     else:  # one global sketch: a scalar subquery, projected before the lambda reads it
         vb = vc.withColumn("_s", sketch.select("_s").scalar())
-    vb = (vb.withColumn("_b", F.size(F.filter(F.col("_s"), lambda s: s < F.col("_x"))))
+    vb = (vb.withColumn("_b", count_below(F.col("_s"), F.col("_x"), len(cuts)))
           .select(*by, "_b", "_x", "_c"))
 
     per_bucket = vb.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
