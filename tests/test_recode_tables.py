@@ -86,3 +86,15 @@ def test_assertion_counts_zero_filled(spark):
                  for r in assertion_counts(spark.createDataFrame(rows, PANEL), ass).collect())
     assert got == [("1", "FIRST", "negative", 2), ("1", "FIRST", "positive", 1),
                    ("2", "LAST", "negative", 0), ("2", "LAST", "positive", 0)]
+
+
+def test_collapse_keeps_or_absorbs_missing(spark):
+    from wavepanel.functions.answers import collapse
+    from wavepanel.plans.survey import RACE_COLLAPSE, RACE_COLLAPSE_OTHER
+
+    df = spark.createDataFrame([("Parda",), ("Branca",), ("NA",), (None,)], "race string")
+    kept = [r.g for r in df.select(collapse("race", RACE_COLLAPSE, RACE_COLLAPSE_OTHER).alias("g")).collect()]
+    assert kept == ["Negros e indígenas", "Brancos e amarelos", "NA", None]
+    compat = [r.g for r in df.select(collapse("race", RACE_COLLAPSE, RACE_COLLAPSE_OTHER,
+                                              keep_missing=False).alias("g")).collect()]
+    assert compat == ["Negros e indígenas"] + ["Brancos e amarelos"] * 3

@@ -135,13 +135,13 @@ def frequency_by_flag(panel: DataFrame, question: str, flags: Sequence[str],
 def descriptive_table(panel: DataFrame, question: str, describe_by: str,
                       recode: DataFrame | None = None, variant: int = 0,
                       groups: Mapping[str, Sequence[str]] | None = None,
-                      other: str | None = None, na: str = NA) -> DataFrame:
+                      other: str | None = None, keep_missing: bool = True, na: str = NA) -> DataFrame:
     """Per (answer, group) counts, group totals and shares at FIRST and
     LAST, with the deltas.  Answers are recoded before counting, so a label
     occupies one row; shares are fractions of the group's answered rows."""
     df = recode_answers(panel.filter(F.col(S.QUESTION) == F.lit(question)), recode, variant)
     if groups:
-        df = df.withColumn(describe_by, collapse(describe_by, groups, other))
+        df = df.withColumn(describe_by, collapse(describe_by, groups, other, keep_missing=keep_missing))
     df = df.filter((F.col(describe_by) != F.lit(na)) & (F.col(S.ANSWER) != F.lit(na)))
     first = F.col(S.TIME) == F.lit(S.FIRST)
     last = F.col(S.TIME) == F.lit(S.LAST)

@@ -71,16 +71,19 @@ def transition_matrix(pairs: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
 def grouped_transitions(panel: DataFrame, question: str, dimension: str,
                         recode: DataFrame | None = None, order: DataFrame | None = None,
                         groups: Mapping[str, Sequence[str]] | None = None, other: str | None = None,
-                        exclude: Sequence[str] | None = None, variant: int = 0) -> DataFrame:
+                        exclude: Sequence[str] | None = None, variant: int = 0,
+                        keep_missing: bool = True) -> DataFrame:
     """B16 of one question split by a profile dimension.
 
     Answers are recoded first; the dimension may be collapsed into groups
     ({group: [values]}, the rest -> ``other``), and ``exclude`` removes
     values (a null dimension is removed too, as ``NOT IN`` is null on null).
+    ``keep_missing=False`` lets ``other`` also absorb null and 'NA' (the
+    original notebooks' behaviour).
     """
     df = panel.filter(F.col(S.QUESTION) == F.lit(question))
     if groups:
-        df = df.withColumn(dimension, collapse(dimension, groups, other))
+        df = df.withColumn(dimension, collapse(dimension, groups, other, keep_missing=keep_missing))
     if exclude:
         df = df.filter(~F.col(dimension).isin(list(exclude)))
     pairs = transition_pairs(df, recode=recode, order=order, dims=[dimension], variant=variant)
