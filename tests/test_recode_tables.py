@@ -1,6 +1,5 @@
 """Recode/order (B8, B9, B24, B30, B31) and tables."""
 
-from pyspark.sql import functions as F
 
 from wavepanel.operators.recode import (answer_order, composite_flags, find_values, recode_answers,
                                         unrecoded_report)

@@ -19,7 +19,7 @@ from .. import schema as S
 from ..functions.answers import as_number, collapse, percent
 from ..plans.dictionaries import bounded
 from ..plans.survey import NA
-from .recode import RANK, VARIANT, recode_answers
+from .recode import VARIANT, recode_answers
 
 
 def _at(tag: str, value: F.Column) -> F.Column:
@@ -118,4 +118,4 @@ def paired_scores_summary(scores: DataFrame) -> DataFrame:
 
 
 __all__ = ["transition_pairs", "transition_matrix", "grouped_transitions", "paired_scores",
-           "paired_scores_summary", "RANK"]
+           "paired_scores_summary"]

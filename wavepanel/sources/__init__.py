@@ -1,0 +1,7 @@
+"""Readers and writers, and the panel export derived from the order tables."""
+
+from .readers import (duplicate_keys, load_wide, read_export_csv, read_long, table, write_export_csv,
+                      write_long)
+
+__all__ = ["table", "read_export_csv", "write_export_csv", "load_wide", "duplicate_keys", "write_long",
+           "read_long"]
