@@ -20,6 +20,14 @@ def test_plan_is_jvm_side_and_pair_free(spark, name):
     assert problems(QUERIES[name](spark, SF)) == []
 
 
+@pytest.mark.parametrize("name", _queries())
+def test_no_single_partition_exchange_over_raw_rows(spark, name):
+    from wavepanel.plans.catalog import QUERIES
+    from wavepanel.plans.inspect import single_partition_over_raw_rows
+
+    assert single_partition_over_raw_rows(QUERIES[name](spark, SF)) == []
+
+
 def test_panel_from_export_has_one_shuffle_only(spark):
     """The panel is map-only after the single aggregate of orders per customer."""
     from wavepanel.plans import fixture as fx
@@ -54,3 +62,17 @@ def test_size_for_cluster_sets_partitioning(spark):
                   "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
                   "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"):
             spark.conf.unset(k)
+
+
+def test_single_partition_check_flags_raw_rows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from wavepanel.plans.inspect import single_partition_over_raw_rows
+    from wavepanel.sources.readers import table
+
+    orders = table(spark, SF, "orders")
+    bad = orders.withColumn("share", F.col("o_totalprice") / F.sum("o_totalprice").over(Window.partitionBy()))
+    assert single_partition_over_raw_rows(bad) != []
+    good = orders.groupBy("o_orderstatus").count().withColumn("t", F.sum("count").over(Window.partitionBy()))
+    assert single_partition_over_raw_rows(good) == []

@@ -24,3 +24,49 @@ def problems(df: DataFrame) -> list[str]:
         if "Scan ExistingRDD" in line and i > 0 and "Exchange hashpartitioning" in lines[i - 1]:
             out.append("shuffled dictionary")
     return out
+
+
+AGGREGATES = ("HashAggregateExec", "ObjectHashAggregateExec", "SortAggregateExec")
+SCANS = ("FileSourceScanExec", "BatchScanExec", "RowDataSourceScanExec")
+
+
+def _children(node):
+    kids = node.children()
+    return [kids.apply(i) for i in range(kids.size())]
+
+
+def _subplans(node):
+    """Children plus the plans of subquery expressions (scalar subqueries)."""
+    out = _children(node)
+    subs = node.subqueries()
+    out += [subs.apply(i) for i in range(subs.size())]
+    return out
+
+
+def single_partition_over_raw_rows(df: DataFrame) -> list[str]:
+    """Single-partition exchanges with a path down to a file scan that meets
+    no aggregate first (i.e. raw rows gathered into one task)."""
+    root = df.select("*")._jdf.queryExecution().executedPlan()
+    found = []
+
+    def unreduced(node) -> bool:
+        name = node.getClass().getSimpleName()
+        if name in AGGREGATES:
+            return False
+        if name in SCANS:
+            return True
+        return any(unreduced(c) for c in _subplans(node))
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec" and "SinglePartition" in node.outputPartitioning().toString():
+            if any(unreduced(c) for c in _children(node)):
+                found.append(node.simpleString(200))
+        if name == "AdaptiveSparkPlanExec":
+            walk(node.initialPlan())
+            return
+        for c in _subplans(node):
+            walk(c)
+
+    walk(root)
+    return found
