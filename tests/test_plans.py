@@ -76,3 +76,15 @@ def test_single_partition_check_flags_raw_rows(spark):
     assert single_partition_over_raw_rows(bad) != []
     good = orders.groupBy("o_orderstatus").count().withColumn("t", F.sum("count").over(Window.partitionBy()))
     assert single_partition_over_raw_rows(good) == []
+
+
+def test_gathering_aggregates_are_flagged(spark):
+    from pyspark.sql import functions as F
+
+    from wavepanel.plans.inspect import problems
+    from wavepanel.sources.readers import table
+
+    orders = table(spark, SF, "orders")
+    assert "collect_list" in problems(orders.groupBy("o_orderstatus").agg(F.collect_list("o_orderkey")))
+    assert "percentile" in problems(orders.groupBy("o_orderstatus").agg(F.percentile("o_totalprice", 0.5)))
+    assert problems(orders.groupBy("o_orderstatus").agg(F.percentile_approx("o_totalprice", 0.5))) == []

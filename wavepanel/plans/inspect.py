@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 PAIR_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
+# aggregates whose buffer holds a whole group (or all its distinct values)
+GATHERING = ("collect_list(", "collect_set(", "array_agg(", " percentile(", "(percentile(", "median(")
 
 
 def physical_plan(df: DataFrame) -> str:
@@ -19,6 +21,7 @@ def problems(df: DataFrame) -> list[str]:
     shuffled into a join (a dictionary that lost its broadcast)."""
     plan = physical_plan(df)
     out = [n for n in PYTHON_NODES + PAIR_NODES if n in plan]
+    out += [g.strip(" (") for g in GATHERING if g in plan]
     lines = plan.splitlines()
     for i, line in enumerate(lines):
         if "Scan ExistingRDD" in line and i > 0 and "Exchange hashpartitioning" in lines[i - 1]:
