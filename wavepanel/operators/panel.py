@@ -29,11 +29,22 @@ def family_waves(long: DataFrame, anchor: str, min_gap: int = MIN_GAP, na: str =
 def first_last_wave(long: DataFrame, anchor: str, min_gap: int = MIN_GAP, na: str = NA) -> DataFrame:
     """Long rows of the kept families, with ``time_first``/``time_last``.
 
-    The per-family bounds are small next to the long table; the join is an
-    equi-join on family that AQE turns into a broadcast when the bounds fit
-    the broadcast threshold and otherwise runs as a (skew-split) sort-merge.
+    The per-family bounds are small next to the long table: AQE broadcasts
+    them when they fit its (runtime-measured) threshold.  Otherwise the join
+    is a sort-merge join, and a family holding a large share of the rows must
+    not land in one task.  AQE splits such a skewed partition only when both
+    join inputs arrive through their own shuffle; the bounds, already
+    partitioned by family by their aggregate, would be joined as they are.
+    So the join key is ``family || '\\0'`` - equal exactly when the families
+    are equal, but not the aggregate's key - and both sides are shuffled on
+    it (the bounds side is one row per family), which lets AQE split the
+    hot family's rows over several tasks and replicate its single bounds row.
     """
-    return long.join(family_waves(long, anchor, min_gap, na), S.FAMILY, "inner")
+    key = "_family_key"
+    joined_on = F.concat(F.col(S.FAMILY).cast("string"), F.lit("\u0000"))
+    bounds = family_waves(long, anchor, min_gap, na).select(
+        joined_on.alias(key), S.TIME_FIRST, S.TIME_LAST)
+    return long.withColumn(key, joined_on).join(bounds, key, "inner").drop(key)
 
 
 def waves_from_wide(wide: DataFrame, column_map: Sequence[ColumnSpec], anchor: str,
