@@ -282,6 +282,12 @@ SELECT count(*) AS n, {r6('avg(answer_first)')} AS mean_first, {r6('avg(answer_l
 FROM ps"""),
     "cramers_v_pair": "SELECT * FROM " + cramers_sql("lineitem", "l_returnflag", "l_linestatus",
                                                      "l_returnflag", "l_linestatus"),
+    "contingency_table": """
+SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS "F",
+       count(*) FILTER (WHERE l_linestatus = 'O') AS "O"
+FROM lineitem
+WHERE l_returnflag IS NOT NULL AND l_returnflag <> 'NA' AND l_linestatus IS NOT NULL AND l_linestatus <> 'NA'
+GROUP BY l_returnflag""",
     "association_matrix": _association(),
     "association_flags": _association_flags(),
     "profile_conflicts": q("""

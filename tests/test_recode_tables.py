@@ -97,3 +97,19 @@ def test_collapse_keeps_or_absorbs_missing(spark):
     compat = [r.g for r in df.select(collapse("race", RACE_COLLAPSE, RACE_COLLAPSE_OTHER,
                                               keep_missing=False).alias("g")).collect()]
     assert compat == ["Negros e indígenas"] + ["Brancos e amarelos"] * 3
+
+
+def test_in_category_order(spark):
+    from wavepanel.operators.recode import in_category_order
+
+    order = D.order_frame(spark, {"Q": {"order": ["NA", "lo", "mid", "hi"]}})
+    df = spark.createDataFrame([("1", "Q", "FIRST", a, "g") for a in ["hi", "zz", "lo", "NA", "mid", "aa"]], PANEL)
+    assert [r.answer for r in in_category_order(df, order).collect()] == ["NA", "lo", "mid", "hi", "aa", "zz"]
+
+
+def test_contingency_table(spark):
+    from wavepanel.operators.stats import contingency_table
+
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("NA", "x"), (None, "y")], "r string, c string")
+    got = {r.r: (r.x, r.y) for r in contingency_table(df, "r", "c").collect()}
+    assert got == {"a": (1, 1), "b": (1, 0)}

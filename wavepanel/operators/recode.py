@@ -81,6 +81,14 @@ def answer_order(df: DataFrame, order: DataFrame | None, keep_unknown: bool = Tr
     return out.drop("_rank", "_declared")
 
 
+def in_category_order(df: DataFrame, order: DataFrame | None, keys: tuple[str, ...] = (S.QUESTION, S.TIME)) -> DataFrame:
+    """Rows sorted by ``keys`` and then by each answer's declared rank
+    (unranked answers last, alphabetically) - the presentation order of the
+    tables.  A global sort: use it on aggregated tables, not raw rows."""
+    ranked = answer_order(df, order)
+    return ranked.orderBy(*keys, F.col(RANK).asc_nulls_last(), F.col(S.ANSWER))
+
+
 def unrecoded_report(df: DataFrame, order: DataFrame, recode: DataFrame | None = None,
                      variant: int | None = 0) -> DataFrame:
     """Answers (with counts) that a declared order does not list, i.e.

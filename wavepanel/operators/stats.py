@@ -56,6 +56,21 @@ def cramers_v(df: DataFrame, col1: str, col2: str, na: str = NA) -> DataFrame:
                                            "n", "cramers_v")
 
 
+def contingency_table(df: DataFrame, row: str, col: str, values: Sequence[str] | None = None,
+                      na: str = NA) -> DataFrame:
+    """Counts of (row, col) as a table with one column per category of ``col``
+    (for export; the statistics above never pivot).  Empty cells are 0 and
+    rows with null/'NA' in either column are ignored, as in ``cramers_v``.
+    Without ``values`` Spark first finds the categories (a distinct of one
+    column, capped by ``spark.sql.pivotMaxValues``)."""
+    r = F.col(row).cast("string")
+    c = F.col(col).cast("string")
+    clean = df.filter(is_answered(r, na) & is_answered(c, na)).select(r.alias(row), c.alias(col))
+    table = clean.groupBy(row).pivot(col, list(values) if values is not None else None).count()
+    counts = [x for x in table.columns if x != row]
+    return table.fillna(0, subset=counts)
+
+
 def association_matrix(df: DataFrame, cols: Sequence[str], key: str,
                        recode: Mapping[str, str] | None = MAYBE_AS_YES, na: str = NA) -> DataFrame:
     """Cramér's V for every ordered pair of ``cols`` (1.0 on the diagonal).

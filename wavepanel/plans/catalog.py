@@ -160,6 +160,10 @@ def q_cramers_v_pair(spark, sf):
     return finish(ST.cramers_v(readers.table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus"))
 
 
+def q_contingency_table(spark, sf):
+    return ST.contingency_table(readers.table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+
+
 def documents_labels(spark, sf):
     docs = readers.table(spark, sf, "documents").select("doc_id", "lang", "source")
     labels = readers.table(spark, sf, "labels").select("doc_id", "quality", "toxic")
@@ -317,6 +321,7 @@ QUERIES = {
     "paired_scores": q_paired_scores,
     "paired_scores_summary": q_paired_scores_summary,
     "cramers_v_pair": q_cramers_v_pair,
+    "contingency_table": q_contingency_table,
     "association_matrix": q_association_matrix,
     "association_flags": q_association_flags,
     "profile_conflicts": q_profile_conflicts,
