@@ -88,3 +88,16 @@ def test_gathering_aggregates_are_flagged(spark):
     assert "collect_list" in problems(orders.groupBy("o_orderstatus").agg(F.collect_list("o_orderkey")))
     assert "percentile" in problems(orders.groupBy("o_orderstatus").agg(F.percentile("o_totalprice", 0.5)))
     assert problems(orders.groupBy("o_orderstatus").agg(F.percentile_approx("o_totalprice", 0.5))) == []
+
+
+def test_panel_generates_stay_in_codegen(spark):
+    """Unpivot, explode and FIRST/LAST tagging run inside whole-stage codegen
+    (no lambda functions, which would fall back to interpreted evaluation)."""
+    from wavepanel.plans import fixture as fx
+
+    df = fx.panel(spark, SF).select("*")
+    df.write.format("noop").mode("overwrite").save()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    generates = [line for line in final.splitlines() if "Generate " in line]
+    assert len(generates) == 3
+    assert all("*(" in line for line in generates), generates

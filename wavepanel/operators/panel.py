@@ -74,9 +74,11 @@ def panel_first_last(periods: DataFrame) -> DataFrame:
     One pass; the wave number is kept as ``wave``.  A row whose first and last
     wave coincide (only possible with min_gap 0) appears under both tags.
     """
-    tags = F.filter(F.array(
-        F.when(F.col(S.TIME) == F.col(S.TIME_FIRST), F.lit(S.FIRST)),
-        F.when(F.col(S.TIME) == F.col(S.TIME_LAST), F.lit(S.LAST))), lambda x: x.isNotNull())
+    at_first = F.col(S.TIME) == F.col(S.TIME_FIRST)
+    at_last = F.col(S.TIME) == F.col(S.TIME_LAST)
+    tags = (F.when(at_first & at_last, F.array(F.lit(S.FIRST), F.lit(S.LAST)))
+            .when(at_first, F.array(F.lit(S.FIRST)))
+            .when(at_last, F.array(F.lit(S.LAST))))  # literal arrays, no lambda: stays in codegen
     cols = [F.col(c) for c in periods.columns if c != S.TIME]
     return (periods.filter((F.col(S.TIME) == F.col(S.TIME_FIRST)) | (F.col(S.TIME) == F.col(S.TIME_LAST)))
             .select(*cols, F.col(S.TIME).alias(S.WAVE), F.explode(tags).alias(S.TIME)))
