@@ -66,3 +66,38 @@ def test_golden_numbers(spark):
           .groupBy("time").agg({"per_capita": "avg", "*": "count"}).collect()}
     assert pc["FIRST"]["count(1)"] == 1400 and pc["LAST"]["count(1)"] == 1357
     assert pc["FIRST"]["avg(per_capita)"] == pytest.approx(247574.334716, abs=1e-5)
+
+
+def test_more_golden_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from wavepanel.operators.stats import group_describe
+    from wavepanel.plans import fixture as fx
+    from wavepanel.plans.catalog import QUERIES
+    from wavepanel.sources.readers import table
+
+    pc = {r.time: (r.n, r.mean) for r in QUERIES["income_per_capita"](spark, SF_GOLDEN)
+          .groupBy("time").agg(F.count(F.lit(1)).alias("n"), F.avg("per_capita").alias("mean")).collect()}
+    assert pc["LAST"][0] == 1357 and pc["LAST"][1] == pytest.approx(228848.330023, abs=1e-5)
+
+    wide = fx.export(spark, SF_GOLDEN)
+    flags = {(f, r[f]): r["count"] for f in ["flag_a", "flag_b", "flag_c", "flag_d"]
+             for r in wide.groupBy(f).count().collect()}
+    assert flags[("flag_a", "NA")] == 89 and flags[("flag_a", "nao")] == 459
+    assert flags[("flag_a", "sim")] == 843 and flags[("flag_a", "talvez")] == 109
+    assert (flags[("flag_b", "NA")], flags[("flag_b", "nao")], flags[("flag_b", "sim")]) == (79, 734, 687)
+    assert (flags[("flag_c", "nao")], flags[("flag_c", "sim")]) == (1016, 484)
+    assert (flags[("flag_d", "nao")], flags[("flag_d", "sim")]) == (1378, 122)
+
+    miss = {r.question: (r.count_first, r.count_last, r.pct_first, r.pct_last)
+            for r in QUERIES["missing_table"](spark, SF_GOLDEN).collect()}
+    assert miss["Items"] == (63, 63, pytest.approx(3.234086, abs=1e-6), pytest.approx(3.767943, abs=1e-6))
+    assert miss["Priority"][2:] == (pytest.approx(9.046625, abs=1e-6), pytest.approx(9.394572, abs=1e-6))
+    assert miss["HowMany"] == (0, 0, 0.0, 0.0) and miss["Status"] == (0, 0, 0.0, 0.0)
+
+    d = {r.statistic: r.value for r in group_describe(table(spark, SF_GOLDEN, "orders"), "o_totalprice").collect()}
+    assert d["count"] == 15000 and d["min"] == 1013.7 and d["max"] == 499978.59
+    assert d["mean"] == pytest.approx(250562.641337, abs=1e-6)
+    assert d["std"] == pytest.approx(143990.004194, abs=1e-6)
+    assert (d["25%"], d["50%"], d["75%"]) == (pytest.approx(125475.5), pytest.approx(251485.485),
+                                              pytest.approx(374367.44))
