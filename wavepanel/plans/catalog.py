@@ -252,7 +252,7 @@ def q_csv_export_roundtrip(spark, sf):
     wide = fx.export(spark, sf)
     path = os.path.join(checkpoint_dir(spark), f"export-csv-{uuid.uuid4().hex}")
     readers.write_export_csv(wide, path)
-    back = readers.read_export_csv(spark, path, wide.columns)
+    back = readers.read_export_csv(spark, path)
     return _cells(back, fx.SPEC)
 
 

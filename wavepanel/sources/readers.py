@@ -21,16 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reuse(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
-def read_export_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",") -> DataFrame:
+def read_export_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+                    sep: str = ",") -> DataFrame:
     """A questionnaire export as CSV with every column read as a string.
 
-    The schema is explicit (no inference pass over the data); answers stay
-    strings so the unpivot needs no common type and numbers are never
-    re-printed (1e7 would come back as '1.0E7').
+    There is never an inference pass over the data: with ``columns`` the
+    schema is given, without it the names come from the header line and
+    every column is a string.  Answers stay strings, so the unpivot needs no
+    common type and numbers are never re-printed (1e7 would come back as
+    '1.0E7').  An empty cell is null.
     """
+    reader = spark.read.option("header", True).option("sep", sep).option("nullValue", "")
+    if columns is None:
+        return reader.option("inferSchema", False).csv(path)
     schema = StructType([StructField(c, StringType(), True) for c in columns])
-    return (spark.read.schema(schema).option("header", True).option("sep", sep)
-            .option("nullValue", "").option("enforceSchema", False).csv(path))
+    return reader.schema(schema).option("enforceSchema", False).csv(path)
 
 
 def load_wide(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
