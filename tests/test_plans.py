@@ -101,3 +101,23 @@ def test_panel_generates_stay_in_codegen(spark):
     generates = [line for line in final.splitlines() if "Generate " in line]
     assert len(generates) == 3
     assert all("*(" in line for line in generates), generates
+
+
+def test_question_filter_prunes_stored_long_table(spark):
+    import os
+    import uuid
+
+    from wavepanel.operators.tables import frequency_table
+    from wavepanel.plans import fixture as fx
+    from wavepanel.plans.inspect import physical_plan
+    from wavepanel.session import checkpoint_dir
+    from wavepanel.sources.readers import read_long, write_long
+
+    path = os.path.join(checkpoint_dir(spark), f"pruning-{uuid.uuid4().hex}")
+    write_long(fx.panel(spark, SF), path)
+    table = frequency_table(read_long(spark, path), questions=["Status"], recode=fx.recode(spark))
+    plan = physical_plan(table)
+    scan = [line for line in plan.splitlines() if "FileScan parquet" in line][0]
+    assert "PartitionFilters: [isnotnull(question" in scan and "(question" in scan and "Status" in scan
+    assert "family" not in scan.split("ReadSchema:")[1]  # only the columns the table needs are read
+    assert {r.question for r in table.collect()} == {"Status"}
