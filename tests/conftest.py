@@ -12,6 +12,6 @@ if ROOT not in sys.path:
 def spark():
     from wavepanel.session import get_session
 
-    s = get_session("local[4]", shuffle_partitions=4)
+    s = get_session("local[*]", shuffle_partitions=8)
     yield s
     s.stop()
