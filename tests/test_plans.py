@@ -121,3 +121,10 @@ def test_question_filter_prunes_stored_long_table(spark):
     assert "PartitionFilters: [isnotnull(question" in scan and "(question" in scan and "Status" in scan
     assert "family" not in scan.split("ReadSchema:")[1]  # only the columns the table needs are read
     assert {r.question for r in table.collect()} == {"Status"}
+
+
+def test_every_query_has_a_description_and_an_oracle():
+    import __spark_entry__ as E
+    from wavepanel.plans.catalog import DESCRIPTIONS, QUERIES
+
+    assert set(DESCRIPTIONS) == set(QUERIES) == set(E.oracle_sql()) == set(E.queries())

@@ -341,3 +341,55 @@ QUERIES = {
     "find_columns": q_find_columns,
     "unrecoded_report": q_unrecoded_report,
 }
+
+DESCRIPTIONS = {
+    "load_wide_join": "B1 merge a new and an old export of the same families (new wins on shared columns)",
+    "duplicate_keys": "T26 data check: family keys occurring more than once in the export",
+    "to_long": "B2/B3 unpivot the mapped question columns into one row per (family, cell)",
+    "profile_map": "B4 normalise the yes/no/maybe profile flags by dictionary lookup",
+    "normalize_values": "B5 separator replacement for listed questions and territory renames",
+    "explode_assertions": "B6 the tidy long table: one row per ticked assertion",
+    "long_parquet_roundtrip": "B7 long table written partitioned by question and read back",
+    "streaming_long_ingest": "ingest run as a stream: export files -> long table (checkpointed)",
+    "csv_export_roundtrip": "S1/S2 export written and read back as CSV, then unpivoted",
+    "recode_answers": "B8 many-to-one recode of answers, every variant of every question",
+    "ordered_answers": "B9 ordinal rank of each answer within its question's declared order",
+    "first_last_wave": "B10 first/last answered anchor wave per family, from the long table",
+    "periods_from_export": "B10 same, computed on the export rows without a shuffle",
+    "panel_rows": "B11 rows at each family's first and last wave, tagged FIRST/LAST",
+    "panel_from_long": "B11 the panel derived from the long table",
+    "period_distribution": "B12 families per (first wave, last wave) and their share",
+    "respondents_by_territory": "B13 distinct families per territory",
+    "respondents_by_territory_wave": "B13 distinct families per territory and FIRST/LAST",
+    "frequency_all_questions": "B14 answer counts and shares for every question at FIRST and LAST",
+    "frequency_by_territory": "B14 same, split by territory (shares of the whole wave)",
+    "frequency_compare_by": "B14 one question compared across customer segments",
+    "frequency_item_variants": "B14 both recode variants of a multi-answer question, filtered by order",
+    "frequency_family_share": "B14/T14 assertion counts with the share of families per answer",
+    "frequency_lineitem_flags": "B14 on raw lineitem: return flag and line status per ship year",
+    "missing_table": "B15 count and share of 'NA' per question at FIRST and LAST",
+    "transition_matrix": "B16 first -> last answer flows with row shares",
+    "transitions_by_group": "B17 recoded first -> last flows split by a collapsed segment",
+    "paired_scores": "B18 numeric first and last value per family",
+    "paired_scores_summary": "B18 n, means at FIRST/LAST, mean change, non-numeric pairs",
+    "cramers_v_pair": "B19 Cramér's V of two lineitem flags",
+    "contingency_table": "R2 contingency table of two lineitem flags (pivot, for export)",
+    "association_matrix": "B20 Cramér's V for every pair of document attributes and labels",
+    "association_flags": "B20 Cramér's V matrix of the families' profile flags",
+    "profile_conflicts": "T25 data check: families with more than one profile",
+    "hist_equal_width": "B21 equal-width histogram of order totals with cumulative shares",
+    "hist_fixed_width": "B22 fixed-width histogram of event values per event type",
+    "hist_fixed_width_orders": "B22 fixed-width histogram of order totals",
+    "income_per_capita": "B23 answered totals at FIRST/LAST divided by the wave-0 order count",
+    "composite_flags": "B24 'both yes' flag from two profile flags",
+    "group_describe": "B25 count, mean, std, min, exact quartiles, max of order totals by priority",
+    "income_describe": "B25 the same statistics of per-capita values by wave and composite flag",
+    "frequency_by_flag": "B26 one question's frequencies within each flag level and flag pair",
+    "descriptive_table": "B27 counts, group totals, shares and deltas by segment",
+    "one_answer_per_family": "B28 one deterministic answer per (family, question, wave)",
+    "answer_conflicts": "B28 (family, question, wave) groups with several answers",
+    "assertion_counts": "B29 ticked positive/negative assertions per family and wave",
+    "find_values": "B30 distinct part names containing a term",
+    "find_columns": "B30 distinct export columns containing a term",
+    "unrecoded_report": "B31 answers outside their question's declared order, with counts",
+}
