@@ -95,8 +95,8 @@ class RollupStore:
         paths += [f"{self.path}/{base}"] if base else []
         if not paths:
             return self.spark.createDataFrame([], _DELTA)
-        return self.spark.read.schema(_DELTA).option("basePath", self.path).parquet(*paths).select(
-            *[c.split()[0] for c in _DELTA.split(", ")])
+        # the folders' names are no columns
+        return self.spark.read.schema(_DELTA).option("recursiveFileLookup", True).parquet(*paths)
 
     def present(self) -> DataFrame:
         """The documents that the store holds, with their counts."""
