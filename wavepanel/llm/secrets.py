@@ -9,8 +9,8 @@ per character reaches ``THRESHOLD``; it is added where it meets no base span.
 
 Training: labelled samples are a table (text, random).  The default table has
 random strings of the usual kinds (hexadecimal, base64, upper case and
-digits), made from hashes of row numbers, and words of ``TRAIN_DOCS``
-documents, taken by a hash, ``TRAIN_WORDS`` words of each; words with a digit
+digits), made from hashes of row numbers, and words of about
+``TRAIN_DOCS`` documents, taken by a hash, ``TRAIN_WORDS`` words of each; words with a digit
 are left out of these, as they may be secrets.  Counting pairs of characters
 is one aggregate; the model is one array of log-ratios (alphabet squared),
 put into the scan as a scalar.
@@ -42,7 +42,7 @@ TRAIN_WORDS = 300
 TRAIN_RANDOM = 3000
 
 
-def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
+def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The default (text, random) samples."""
     spark = docs.sparkSession
     n = F.col("id").cast("string")
@@ -51,10 +51,12 @@ def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
         F.concat(F.lit("AK"), F.upper(F.translate(F.substring(F.base64(F.unhex(F.sha1(n))), 1, 20), "+/=", ""))),
         F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat(n, F.lit("x")), 384))), "+/", "-_"), 1, 40),
     )).alias("text"), F.lit(True).alias("random"))
-    sample = (docs.select(F.col(text).alias("text")).filter("text is not null")
-              .select(F.xxhash64("text").alias("h"), F.slice(F.regexp_extract_all(
-                  F.substring("text", 1, 20 * TRAIN_WORDS), F.lit(r"[A-Za-z_-]{3,}"), F.lit(0)), 1, TRAIN_WORDS).alias("w"))
-              .orderBy("h", "w").limit(TRAIN_DOCS))
+    # about TRAIN_DOCS rows by a hash; nothing is sorted or gathered for it
+    rows = docs.agg(F.count(F.lit(1)).alias("n")).select(F.greatest("n", F.lit(1)).alias("n")).scalar()
+    place = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = docs.filter(F.col(text).isNotNull() & (place < F.lit(float(TRAIN_DOCS)) / rows)).select(F.slice(
+        F.regexp_extract_all(F.substring(F.col(text), 1, 20 * TRAIN_WORDS), F.lit(r"[A-Za-z_-]{3,}"), F.lit(0)),
+        1, TRAIN_WORDS).alias("w"))
     return made.unionByName(sample.select(F.explode("w").alias("text"), F.lit(False).alias("random")))
 
 
@@ -130,4 +132,4 @@ def digest(found: DataFrame) -> DataFrame:
 
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the default samples and scan."""
-    return scan(docs, log_ratios(labelled_samples(docs, text)), doc_id, text)
+    return scan(docs, log_ratios(labelled_samples(docs, doc_id, text)), doc_id, text)
