@@ -199,7 +199,6 @@ SELECT family, CASE WHEN territory = 'NATION_1' THEN 'NATION_ONE' ELSE territory
 FROM cells"""),
     "explode_assertions": q("SELECT * FROM lx"),
     "long_parquet_roundtrip": q("SELECT * FROM lx"),
-    "streaming_long_ingest": q("SELECT * FROM lx"),
     "csv_export_roundtrip": q("SELECT * FROM cells"),
     "recode_answers": q(f"""
 SELECT family, time, question, 0 AS variant, {RECODE_V0} AS answer FROM lx

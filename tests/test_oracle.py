@@ -19,8 +19,8 @@ def duck():
 
 
 def _names():
-    import __spark_entry__ as E
-    return sorted(E.queries())
+    from wavepanel.plans.catalog import QUERIES
+    return sorted(QUERIES)
 
 
 @pytest.mark.parametrize("name", _names())

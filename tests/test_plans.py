@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 def _queries():
     from wavepanel.plans.catalog import QUERIES
-    return sorted(q for q in QUERIES if q not in ("long_parquet_roundtrip", "streaming_long_ingest", "csv_export_roundtrip"))
+    return sorted(q for q in QUERIES if q not in ("long_parquet_roundtrip", "csv_export_roundtrip"))
 
 
 @pytest.mark.parametrize("name", _queries())
@@ -51,9 +51,9 @@ def test_size_for_cluster_sets_partitioning(spark):
 
     saved = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
     try:
-        got = size_for_cluster(spark, total_cores=8000, scan_bytes=100 * 10**12)
-        assert int(got["spark.sql.shuffle.partitions"]) == 372530
-        small = size_for_cluster(spark, total_cores=8, scan_bytes=10**6)
+        got = size_for_cluster(spark, total_cores=8000, shuffle_bytes=2 * 10**12)
+        assert int(got["spark.sql.shuffle.partitions"]) == 24000
+        small = size_for_cluster(spark, total_cores=8, shuffle_bytes=10**6)
         assert int(small["spark.sql.shuffle.partitions"]) == 24
     finally:
         for k, v in saved.items():
@@ -127,4 +127,5 @@ def test_every_query_has_a_description_and_an_oracle():
     import __spark_entry__ as E
     from wavepanel.plans.catalog import DESCRIPTIONS, QUERIES
 
-    assert set(DESCRIPTIONS) == set(QUERIES) == set(E.oracle_sql()) == set(E.queries())
+    assert set(DESCRIPTIONS) == set(QUERIES)
+    assert set(QUERIES) <= set(E.oracle_sql()) and set(QUERIES) <= set(E.queries())

@@ -60,7 +60,7 @@ def test_exact_quantiles_match_numpy_with_hot_group(spark):
     one = [("one", 7.0)]
     df = spark.createDataFrame(hot + cold + one, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", probs, buckets=8).collect()}
+    got = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "v", probs, accuracy=50).collect()}
     for g, vals in (("hot", [v for _, v in hot]), ("cold", [v for _, v in cold]), ("one", [7.0])):
         for p in probs:
             assert got[(g, p)] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
@@ -76,14 +76,31 @@ def test_group_describe(spark):
     assert got[("b", "std")] is None and got[("b", "75%")] == 3.0
 
 
-def test_count_below_binary_search(spark):
-    from pyspark.sql import functions as F
+def test_group_describe_keeps_null_nan_and_empty_groups(spark):
+    nan = float("nan")
+    rows = [(None, 1.0), (None, 3.0), ("empty", None), ("empty", nan), ("one", 5.0), ("mixed", 2.0), ("mixed", nan), ("mixed", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {}
+    for r in group_describe(df, "v", by=["g"]).collect():
+        got.setdefault(r.g, {})[r.statistic] = r.value
+    assert {g: len(s) for g, s in got.items()} == {None: 9, "empty": 9, "one": 9, "mixed": 9}
+    assert got[None]["50%"] == 2.0 and got[None]["25%"] == 1.5
+    assert got["empty"]["count"] == 0 and got["empty"]["null_count"] == 2 and got["empty"]["50%"] is None
+    assert (got["one"]["25%"], got["one"]["max"]) == (5.0, 5.0)
+    assert (got["mixed"]["mean"], got["mixed"]["max"], got["mixed"]["75%"], got["mixed"]["null_count"]) == (3.0, 4.0, 3.5, 1.0)
 
-    from wavepanel.operators.quantiles import count_below, ranges_for
 
-    splits = [1.0, 2.0, 2.0, 5.0, 9.0]
-    xs = [0.5, 1.0, 1.5, 2.0, 3.0, 9.0, 10.0]
-    df = spark.createDataFrame([(splits, x) for x in xs], "s array<double>, x double")
-    got = [r.b for r in df.select(count_below(F.col("s"), F.col("x"), len(splits)).alias("b")).collect()]
-    assert got == [sum(1 for s in splits if s < x) for x in xs]
-    assert ranges_for(0) == 16 and ranges_for(10**11) == 1 << 16 and ranges_for(40_000_000) == 64
+def test_cramers_v_with_large_marginals(spark):
+    from wavepanel.operators.stats import _v_from_cells
+
+    big = 10**10
+    cells = spark.createDataFrame([("a", "x", big), ("b", "y", big)], "v1 string, v2 string, o long")
+    r = _v_from_cells(cells, []).first()
+    assert r.n == 2 * big and abs(r.cramers_v - 1.0) < 1e-9
+
+
+def test_association_matrix_is_complete(spark):
+    df = spark.createDataFrame([(1, "a", "x", "NA"), (2, "b", "y", None), (3, "a", "x", "NA")], "k int, p string, q string, r string")
+    got = {(r.var1, r.var2): (r.n, r.cramers_v) for r in association_matrix(df, ["p", "q", "r"], "k").collect()}
+    assert len(got) == 9
+    assert got["r", "r"] == (0, 1.0) and got["p", "r"] == got["r", "q"] == (0, 0.0)

@@ -1,27 +1,26 @@
-"""Exact quantiles (linear interpolation) without gathering a group in one task.
-
-1. values are reduced to distinct (group, value, count) rows (partial
-   aggregation: a value repeated a billion times becomes one row);
-2. an approximate sketch per group gives ``buckets`` - 1 split points; they
-   only decide how the ordered values are cut into ranges, never the result.
-   By default ``buckets`` grows with the largest group (about
-   ``ROWS_PER_RANGE`` values per range, one number read on the driver) and a
-   value finds its range by binary search over the split points
-   (``aggregate`` over log2(buckets) steps), so a hot group of any size is
-   cut into ranges of bounded size.
-   A sketch's merge order (hence its splits) may differ if it is recomputed
-   after a lost executor, so the small (groups x buckets) sketch is
-   checkpointed once and every task reads the same splits;
-3. rows before each range come from the (group, range) totals (<= buckets
-   rows per group), the position inside a range from a window over that
-   range only - so a hot group is sorted as ``buckets`` independent tasks;
-4. the values holding positions floor(h) and ceil(h), h = p (n - 1), are
-   picked and interpolated (the definition of SQL ``quantile_cont``).
+"""Exact quantiles without gathering a group in one task.
+
+1. One aggregate per group gives the number of values and, from an
+   approximate sketch, a bracket [low, high] around each asked quantile: the
+   values at p -/+ 4 / accuracy, where the sketch's rank error is at most
+   1 / accuracy, so the exact positions lie inside.  In a group of no more
+   than ``accuracy`` values, where a rank is a larger step, the bracket is open.
+2. One more pass counts the values below each bracket (they collapse map-side)
+   and keeps only the values inside it, about 4 / accuracy of the group, as
+   distinct values with counts.
+3. A window over these few rows finds the values at positions floor(h) and
+   ceil(h), h = p (n - 1), which are interpolated (SQL ``quantile_cont``).
+
+A sketch's merge order, hence its brackets, may differ if it is recomputed
+after a lost executor, so the sketch (a row per group) is written once to the
+shared folder and all tasks read the same brackets.
+
+Groups with a null key are groups like any other.  Null and NaN values count
+as missing; a group without values has null quantiles.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -29,39 +28,62 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
 
-
 INTERPOLATIONS = ("linear", "lower", "higher", "nearest", "midpoint")
-ROWS_PER_RANGE = 1_000_000
-MIN_RANGES, MAX_RANGES = 16, 1 << 16
+ACCURACY = 10000
+
 
+def number(value: F.Column) -> F.Column:
+    """A value as a double, NaN as null."""
+    v = value.cast("double")
+    return F.when(~F.isnan(v), v)
 
-def ranges_for(largest_group: int) -> int:
-    """Power-of-two number of ranges giving ~ROWS_PER_RANGE rows per range."""
-    want = max(1, math.ceil(largest_group / ROWS_PER_RANGE))
-    return min(MAX_RANGES, max(MIN_RANGES, 1 << (want - 1).bit_length()))
 
+def same_group(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the group columns, null equal to null."""
+    renamed = right.select(*[F.col(f"`{c}`").alias(f"__{c}") if c in by else F.col(f"`{c}`") for c in right.columns])
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`"))
+    return left.join(renamed, on, how).drop(*[f"__{c}" for c in by])
 
-def count_below(splits: F.Column, x: F.Column, size: int) -> F.Column:
-    """Number of entries of the ascending array ``splits`` that are < x
-    (lower bound by binary search: ceil(log2(size + 1)) halving steps)."""
-    steps = max(1, (size + 1).bit_length())
 
-    def step(acc, _):
-        lo, hi = acc.getField("lo"), acc.getField("hi")
-        mid = F.shiftright(lo + hi, 1)
-        below = F.try_element_at(splits, mid + F.lit(1)) < x
-        moved = F.when(below, F.struct((mid + F.lit(1)).alias("lo"), hi.alias("hi"))).otherwise(
-            F.struct(lo.alias("lo"), mid.alias("hi")))
-        return F.when(lo < hi, moved).otherwise(acc)
+def brackets(x: F.Column, probs: Sequence[float], accuracy: int = ACCURACY) -> list[F.Column]:
+    """Aggregates _n and _s (low and high value of each bracket in turn)."""
+    at = [min(1.0, max(0.0, p + d / accuracy)) for p in probs for d in (-4.0, 4.0)]
+    return [F.count(x).alias("_n"), F.percentile_approx(x, at, accuracy).alias("_s")]
 
-    start = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).getField("lo")
+
+def from_brackets(vals: DataFrame, sketch: DataFrame, by: Sequence[str], probs: Sequence[float],
+                  interpolation: str = "linear", accuracy: int = ACCURACY) -> DataFrame:
+    """(by..., p, q) from values (by..., _x) and their brackets (by..., _n, _s)."""
+    by = list(by)
+    vals = vals.filter(F.col("_x").isNotNull())
+    if by:
+        rows = same_group(vals, sketch.select(*by, "_n", "_s"), by)
+    else:  # one global sketch: scalar subqueries, no join
+        rows = vals.withColumns({"_n": sketch.select("_n").scalar(), "_s": sketch.select("_s").scalar()})
+    low, high = (lambda i: F.get("_s", F.lit(2 * i))), (lambda i: F.get("_s", F.lit(2 * i + 1)))
+    few = F.col("_n") <= accuracy
+    of = [F.struct(F.lit(float(p)).alias("p"), F.when(few | (F.col("_x") >= low(i)), F.col("_x")).alias("_v"),
+                   (~few & (F.col("_x") > high(i))).alias("_above")) for i, p in enumerate(probs)]
+    counts = (rows.select(*by, "_n", "_x", "_s").select(*by, "_n", F.inline(F.array(*of))).filter("not _above")
+              .groupBy(*by, "_n", "p", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    upto = Window.partitionBy(*by, "p").orderBy(F.col("_v").asc_nulls_first())
+    h = F.col("p") * (F.col("_n") - 1)
+    placed = (counts.withColumn("_end", F.sum("_c").over(upto) - 1).withColumn("_start", F.col("_end") - F.col("_c") + 1)
+              .withColumns({"_h": h, "_lo": F.floor(h), "_hi": F.ceil(h)}))
+    at = lambda k: F.max(F.when(F.col(k).between(F.col("_start"), F.col("_end")), F.col("_v")))
+    picked = placed.groupBy(*by, "p").agg(at("_lo").alias("_xl"), at("_hi").alias("_xh"), F.max("_h").alias("_h"),
+                                          F.max("_lo").alias("_lo"))
+    xl, xh, frac = F.col("_xl"), F.col("_xh"), F.col("_h") - F.col("_lo")
+    q = {"linear": xl + frac * (xh - xl), "lower": xl, "higher": xh,
+         "nearest": F.when(frac >= F.lit(0.5), xh).otherwise(xl), "midpoint": (xl + xh) / F.lit(2.0)}[interpolation]
+    return picked.select(*by, "p", q.alias("q"))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    buckets: int | None = None, accuracy: int = 10000,
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int = ACCURACY,
                     interpolation: str = "linear") -> DataFrame:
-    """(by..., p, q): the exact p-quantile of ``value`` per group (nulls/NaN ignored).
+    """(by..., p, q): the exact p-quantile of ``value`` per group.
 
     With h = p (n - 1) and x_lo, x_hi the values at positions floor(h),
     ceil(h): linear = x_lo + (h - floor(h)) (x_hi - x_lo) (SQL quantile_cont),
@@ -70,54 +92,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     """
     if interpolation not in INTERPOLATIONS:
         raise ValueError(f"interpolation must be one of {INTERPOLATIONS}")
-    by = list(by)
-    v = F.col(value).cast("double")
-    vals = df.select(*by, v.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    vc = vals.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    if buckets is None:
-        sizes = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else vals.agg(
-            F.count(F.lit(1)).alias("_n"))
-        buckets = ranges_for(sizes.agg(F.max("_n")).first()[0] or 0)
-    cuts = [i / buckets for i in range(1, buckets)]
-    accuracy = max(accuracy, 4 * buckets)
-    sketch = cut_lineage(vals.groupBy(*by).agg(F.percentile_approx("_x", cuts, accuracy).alias("_s"),
-                                               F.count(F.lit(1)).alias("_n")))
-    if by:
-        vb = vc.join(sketch.select(*by, "_s"), by, "inner")
-    else:  # one global sketch: a scalar subquery, projected before the lambda reads it
-        vb = vc.withColumn("_s", sketch.select("_s").scalar())
-    vb = (vb.withColumn("_b", count_below(F.col("_s"), F.col("_x"), len(cuts)))
-          .select(*by, "_b", "_x", "_c"))
-
-    per_bucket = vb.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
-    before = per_bucket.select(
-        *by, "_b",
-        (F.sum("_bc").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_bc")).alias("_before"))
-    within = Window.partitionBy(*by, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pos = (vb.withColumn("_end_in", F.sum("_c").over(within))
-           .join(before, [*by, "_b"], "inner")
-           .select(*by, "_x",
-                   (F.col("_before") + F.col("_end_in") - F.col("_c")).alias("_start"),
-                   (F.col("_before") + F.col("_end_in") - F.lit(1)).alias("_end")))
-
-    if by:
-        pos = pos.join(sketch.select(*by, "_n"), by, "inner")
-        n = F.col("_n")
-    else:
-        n = sketch.select("_n").scalar()
-    h = F.col("p") * (n - F.lit(1))
-    hits = (pos.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-            .select("*", h.alias("_h"), F.floor(h).alias("_lo"), F.ceil(h).alias("_hi")))
-    lo_hit = F.col("_lo").between(F.col("_start"), F.col("_end"))
-    hi_hit = F.col("_hi").between(F.col("_start"), F.col("_end"))
-    picked = (hits.filter(lo_hit | hi_hit)
-              .groupBy(*by, "p").agg(F.max(F.when(lo_hit, F.col("_x"))).alias("_xl"),
-                                     F.max(F.when(hi_hit, F.col("_x"))).alias("_xh"),
-                                     F.max("_h").alias("_h"), F.max("_lo").alias("_lo")))
-    xl, xh, frac = F.col("_xl"), F.col("_xh"), F.col("_h") - F.col("_lo")
-    q = {"linear": xl + frac * (xh - xl),
-         "lower": xl,
-         "higher": xh,
-         "nearest": F.when(frac >= F.lit(0.5), xh).otherwise(xl),
-         "midpoint": (xl + xh) / F.lit(2.0)}[interpolation]
-    return picked.select(*by, "p", q.alias("q"))
+    vals = df.select(*by, number(F.col(value)).alias("_x"))
+    aggs = brackets(F.col("_x"), probs, accuracy)
+    sketch = cut_lineage(vals.groupBy(*by).agg(*aggs))
+    found = from_brackets(vals, sketch, by, probs, interpolation, accuracy)
+    every = sketch.select(*by, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    return same_group(every, found, [*by, "p"], "left").select(*by, "p", "q")

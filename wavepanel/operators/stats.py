@@ -17,27 +17,33 @@ from .. import schema as S
 from ..functions.answers import as_number, is_answered, percent, replace_values
 from ..plans.survey import MAYBE_AS_YES, NA
 from ..plans.lineage import cut_lineage
-from .quantiles import exact_quantiles
+from ..plans.dictionaries import small_frame
+from .quantiles import INTERPOLATIONS, brackets, from_brackets, number, same_group
 
 
 def _v_from_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cramér's V per ``keys`` group from a (keys, v1, v2, o) cell frame.
 
-    chi2 = n * (sum o^2 / (r * c) - 1) over the observed cells, equal to the
-    full-table sum including empty cells, so no pivot is needed.  V = 0 for
-    fewer than 2 rows, null when a variable has a single level.  With no
+    chi2 = n * (sum (o / r) * (o / c) - 1) over the observed cells, equal to
+    the full-table sum including empty cells, so no pivot is needed; products
+    are of doubles, so marginals of any size fit.  Marginals are aggregates
+    joined back, not windows, so a frequent value is no hot window.  V = 0
+    for fewer than 2 rows, null when a variable has a single level.  With no
     keys the result is one row even for an empty input.
     """
-    r = F.sum("o").over(Window.partitionBy(*keys, "v1"))
-    c = F.sum("o").over(Window.partitionBy(*keys, "v2"))
-    per = (cells.withColumn("_t", F.col("o").cast("double") * F.col("o") / (r * c))
+    margin = lambda v, name: cells.groupBy(*keys, v).agg(F.sum("o").cast("double").alias(name))
+    with_r = cells.join(margin("v1", "_m1"), [*keys, "v1"])
+    both = with_r.join(margin("v2", "_m2"), [*keys, "v2"])
+    o = F.col("o").cast("double")
+    per = (both.withColumn("_t", (o / F.col("_m1")) * (o / F.col("_m2")))
            .groupBy(*keys).agg(F.coalesce(F.sum("o"), F.lit(0)).alias("n"), F.sum("_t").alias("_s"),
                                F.countDistinct("v1").alias("_r"), F.countDistinct("v2").alias("_c")))
-    chi2 = F.greatest(F.col("n") * (F.col("_s") - F.lit(1.0)), F.lit(0.0))
+    n = F.col("n").cast("double")
+    chi2 = F.greatest(n * (F.col("_s") - F.lit(1.0)), F.lit(0.0))
     k = F.least(F.col("_r"), F.col("_c")) - F.lit(1)
     v = (F.when(F.col("n") < 2, F.lit(0.0))
          .when(k <= 0, F.lit(None).cast("double"))
-         .otherwise(F.sqrt(chi2 / (F.col("n") * k))))
+         .otherwise(F.sqrt(chi2 / (n * k))))
     return per.select(*keys, F.col("n").cast("long").alias("n"), v.alias("cramers_v"))
 
 
@@ -95,7 +101,13 @@ def association_matrix(df: DataFrame, cols: Sequence[str], key: str,
             .filter(is_answered("v", na))
             .groupBy("var1").agg(F.sum("o").cast("long").alias("n"))
             .select("var1", F.col("var1").alias("var2"), "n", F.lit(1.0).alias("cramers_v")))
-    return upper.unionByName(lower).unionByName(diag)
+    found = upper.unionByName(lower).unionByName(diag)
+    # every ordered pair has a row: without answered rows V is 0, on the diagonal 1
+    every = small_frame(df.sparkSession, [(a, b) for a in cols for b in cols], "var1 string, var2 string")
+    empty = F.when(F.col("var1") == F.col("var2"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return every.join(found, ["var1", "var2"], "left").select(
+        "var1", "var2", F.coalesce("n", F.lit(0).cast("long")).alias("n"),
+        F.when(F.col("n").isNull(), empty).otherwise(F.col("cramers_v")).alias("cramers_v"))
 
 
 def histogram_equal_width(df: DataFrame, value: str | F.Column, bins: int = 10,
@@ -170,25 +182,28 @@ def group_describe(df: DataFrame, value: str, by: Sequence[str] = (), materializ
                    interpolation: str = "linear") -> DataFrame:
     """Count, null_count, mean, std, min, quartiles, max of ``value`` per group.
 
-    Long layout (by..., statistic, value).  Quartiles are exact with linear
-    interpolation (``exact_quantiles``, which splits hot groups).  The
-    (group, value) input feeds several branches; with ``materialize`` (for
-    an expensive derived input) it is written once to the shared checkpoint
-    folder and the branches read it back.
+    Long layout (by..., statistic, value), nine rows for every group, also
+    for a null key and a group without values (its numbers are null but the
+    counts).  NaN counts as null in all nine.  Quartiles are exact with linear
+    interpolation (``quantiles.from_brackets``).  The input is read twice;
+    with ``materialize`` (for an expensive derived input) it is written once
+    to the shared checkpoint folder and read back.
     """
-    df = df.select(*by, F.col(value).cast("double").alias(value))
+    vals = df.select(*by, number(F.col(value)).alias("_x"))
     if materialize:
-        df = cut_lineage(df)
-    v = F.col(value)
-    base = df.groupBy(*by).agg(
-        F.count(v).cast("double").alias("count"),
-        F.sum(F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0))).cast("double").alias("null_count"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    q = exact_quantiles(df.select(*by, v.alias("_v")), by, "_v", [0.25, 0.5, 0.75],
-                        interpolation=interpolation)
-    qlong = q.select(*by, F.concat(F.format_number(F.col("p") * 100, 0), F.lit("%")).alias("statistic"),
-                     F.col("q").alias("value"))
+        vals = cut_lineage(vals)
+    if interpolation not in INTERPOLATIONS:
+        raise ValueError(f"interpolation must be one of {INTERPOLATIONS}")
+    probs, x = [0.25, 0.5, 0.75], F.col("_x")
+    base = cut_lineage(vals.groupBy(*by).agg(
+        F.count(x).cast("double").alias("count"),
+        F.sum(F.when(x.isNull(), F.lit(1)).otherwise(F.lit(0))).cast("double").alias("null_count"),
+        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+        *brackets(x, probs)))
+    q = from_brackets(vals, base, by, probs, interpolation)
+    every = base.select(*by, F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
+    qlong = same_group(every, q, [*by, "p"], "left").select(
+        *by, F.concat(F.format_number(F.col("p") * 100, 0), F.lit("%")).alias("statistic"), F.col("q").alias("value"))
     stats = ["count", "null_count", "mean", "std", "min", "max"]
     blong = base.select(*by, F.inline(F.array(*[
         F.struct(F.lit(s).alias("statistic"), F.col(f"`{s}`").alias("value")) for s in stats])))

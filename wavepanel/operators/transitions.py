@@ -95,14 +95,17 @@ def paired_scores(panel: DataFrame, question: str, na: str = NA) -> DataFrame:
 
     Families whose FIRST answer is 'NA' are left out; a LAST answer that is
     missing or not a number gives a null ``answer_last`` (never an error).
+    Of several answers at a wave the smallest number counts (by value, not
+    by spelling).
     """
     df = panel.filter(F.col(S.QUESTION) == F.lit(question))
+    answered = F.when(F.col(S.ANSWER) != F.lit(na), F.lit(1))
     return (df.groupBy(S.FAMILY)
-            .agg(_at(S.FIRST, F.col(S.ANSWER)).alias("_first"),
-                 _at(S.LAST, F.col(S.ANSWER)).alias("_last"))
-            .filter(F.col("_first").isNotNull() & (F.col("_first") != F.lit(na)))
-            .select(S.FAMILY, as_number(F.col("_first")).alias("answer_first"),
-                    as_number(F.col("_last")).alias("answer_last")))
+            .agg(_at(S.FIRST, answered).alias("_answered"),
+                 _at(S.FIRST, as_number(F.col(S.ANSWER))).alias("answer_first"),
+                 _at(S.LAST, as_number(F.col(S.ANSWER))).alias("answer_last"))
+            .filter(F.col("_answered").isNotNull())
+            .select(S.FAMILY, "answer_first", "answer_last"))
 
 
 def paired_scores_summary(scores: DataFrame) -> DataFrame:

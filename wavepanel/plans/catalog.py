@@ -277,19 +277,6 @@ def q_profile_conflicts(spark, sf):
     return P.profile_conflicts(fx.long(spark, sf), S.FAMILY, ["segment", *fx.FLAGS])
 
 
-def q_streaming_long_ingest(spark, sf):
-    """The export written as files, ingested by the streaming job, read back."""
-    from ..streaming.ingest import start_long_ingest
-
-    base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
-    wide = fx.export(spark, sf)
-    wide.write.parquet(os.path.join(base, "exports"))
-    query = start_long_ingest(spark, os.path.join(base, "exports"), wide.schema, fx.SPEC,
-                              os.path.join(base, "long"), os.path.join(base, "progress"))
-    query.awaitTermination()
-    return readers.read_long(spark, os.path.join(base, "long"))
-
-
 QUERIES = {
     "load_wide_join": q_load_wide_join,
     "duplicate_keys": q_duplicate_keys,
@@ -298,7 +285,6 @@ QUERIES = {
     "normalize_values": q_normalize_values,
     "explode_assertions": q_explode_assertions,
     "long_parquet_roundtrip": q_long_parquet_roundtrip,
-    "streaming_long_ingest": q_streaming_long_ingest,
     "csv_export_roundtrip": q_csv_export_roundtrip,
     "recode_answers": q_recode_answers,
     "ordered_answers": q_ordered_answers,
@@ -350,7 +336,6 @@ DESCRIPTIONS = {
     "normalize_values": "B5 separator replacement for listed questions and territory renames",
     "explode_assertions": "B6 the tidy long table: one row per ticked assertion",
     "long_parquet_roundtrip": "B7 long table written partitioned by question and read back",
-    "streaming_long_ingest": "ingest run as a stream: export files -> long table (checkpointed)",
     "csv_export_roundtrip": "S1/S2 export written and read back as CSV, then unpivoted",
     "recode_answers": "B8 many-to-one recode of answers, every variant of every question",
     "ordered_answers": "B9 ordinal rank of each answer within its question's declared order",

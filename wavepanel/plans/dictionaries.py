@@ -2,8 +2,8 @@
 
 The nested-dict form is the one analysts write: for each question either
 ``{"map": {new: [old, ...]}, "order": [...]}`` or a list of such entries (one
-per variant).  Their row count is known when they are built, so a frame within
-``MAX_BROADCAST_ROWS`` is marked for broadcast (its join never shuffles the
+per variant).  Their size is known when they are built, so a frame within
+``MAX_BROADCAST_BYTES`` is marked for broadcast (its join never shuffles the
 survey data); a larger dictionary is left to a normal shuffle join.  A
 frame created from a Python list carries no size statistics of its own, so
 without this bound Spark would shuffle the survey side to join it.
@@ -11,51 +11,41 @@ without this bound Spark would shuffle the survey side to join it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-# Rows x (a few short strings) stays well under a few MB per executor.
-MAX_BROADCAST_ROWS = 100_000
-
-
-# Up to this many rows a dictionary is a literal table evaluated in the JVM
-# (no Python worker, no RDD); larger ones go through createDataFrame.
-MAX_LITERAL_ROWS = 5_000
-
-
-def _literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    fields = _parse_datatype_string(schema).fields
-    if not rows:
-        return spark.createDataFrame([], schema)
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+# A dictionary of at most this many bytes (as JSON) is broadcast.
+MAX_BROADCAST_BYTES = 8 << 20
 
 
 def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A config frame, broadcast when its (known) row count is within bound."""
-    if len(rows) <= MAX_LITERAL_ROWS:
-        df = _literal_table(spark, rows, schema)
-    else:
-        df = spark.createDataFrame(rows, schema)
-    if len(rows) > MAX_BROADCAST_ROWS:
+    """A config frame: one JSON literal read in the JVM (no Python worker, one
+    call to the JVM for any number of rows), broadcast when its measured size
+    is within the bound."""
+    names = [f.name for f in _parse_datatype_string(schema).fields]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    kind = "array<struct<" + ",".join(c.strip().replace(" ", ":", 1) for c in schema.split(",")) + ">>"
+    df = spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+    if len(text) > MAX_BROADCAST_BYTES:
         return df
     out = F.broadcast(df)
-    out._row_bound = len(rows)
+    out._bytes = len(text)
     return out
 
 
 def bounded(source: DataFrame, derived: DataFrame) -> DataFrame:
     """``derived`` (a projection, filter or distinct of ``source``) keeps the
-    source's proven row bound and thus its broadcast; frames of unknown size
+    source's measured size and thus its broadcast; frames of unknown size
     are returned as they are and left to AQE's size-checked join choice."""
-    n = getattr(source, "_row_bound", None)
+    n = getattr(source, "_bytes", None)
     if n is None:
         return derived
     out = F.broadcast(derived)
-    out._row_bound = n
+    out._bytes = n
     return out
 
 

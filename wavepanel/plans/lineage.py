@@ -1,8 +1,4 @@
-"""Plan reuse and lineage cuts.
-
-``reuse`` keeps a lazily built DataFrame (its plan, not its data) per
-session, so the driver analyses a shared pipeline once instead of in every
-query.  ``cut_lineage`` materialises a frame that several branches read into
+"""Lineage cuts: ``cut_lineage`` materialises a frame that several branches read into
 the shared checkpoint folder (``spark.checkpoint.dir``), so the branches
 read it back instead of recomputing it, and a lost executor costs a re-read,
 not a recomputation from the raw tables.
@@ -12,29 +8,18 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Hashable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..session import checkpoint_dir
 
-_PLANS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
-
-
-def reuse(spark: SparkSession, key: Hashable, build: Callable[[], DataFrame]) -> DataFrame:
-    k = (id(spark), key)
-    hit = _PLANS.get(k)
-    if hit is None or hit[0] is not spark:
-        hit = (spark, build())
-        _PLANS[k] = hit
-    return hit[1]
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back (one job; an eager ``checkpoint()`` would compute the input twice
-    unless it were cached).  Never a machine-local folder."""
+    unless it were cached).  The table is deleted when the driver's JVM ends."""
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -12,14 +12,6 @@ YES = "Sim"
 NO = "Não"
 
 # FIXED VALUES: profile columns (physical name -> logical name).
-PROFILE_COLUMNS = {
-    "Drogadicao": "drug_addiction",
-    "Alcoolismo": "alcoholism",
-    "Violencia_Mulher": "violence_women",
-    "Violencia_Criança": "violence_children",
-    "CH_IB_Race_T0": "race",
-    "CH_IB_Gender_T0": "gender",
-}
 
 # FIXED VALUES: race answers -> race category.
 RACE_CATEGORIES = {
@@ -35,16 +27,6 @@ RACE_CATEGORIES = {
 }
 
 # FIXED VALUES: gender answers -> gender category.
-GENDER_CATEGORIES = {
-    "Mulher cisgênero": "Mulher cis",
-    "Homem cisgênero": "Homem cis",
-    "Mulher transgênero": "Mulher trans",
-    "Homem transgênero": "Homem trans",
-    "Não binário": "Não binário",
-    "NA": "NA",
-    "Outro": "NA",
-    "Prefiro não responder": "NA",
-}
 
 # FIXED VALUES: yes / no / maybe answers of the four yes-no profile questions.
 YES_NO_CATEGORIES = {
@@ -55,8 +37,6 @@ YES_NO_CATEGORIES = {
 }
 
 # FIXED VALUES: ordinal scale shared by every question whose name starts with
-# "Categoria".
-CATEGORY_PREFIX = "Categoria"
 CATEGORY_ORDER = ["NA", "E1", "E2", "P1", "P2", "D"]
 
 # FIXED VALUES: race collapse used by the grouped transitions / descriptive table.
@@ -64,7 +44,6 @@ RACE_COLLAPSE = {"Negros e indígenas": ["Parda", "Preta", "Indígena"]}
 RACE_COLLAPSE_OTHER = "Brancos e amarelos"
 
 # FIXED VALUES: rare gender groups left out of grouped transitions.
-RARE_GENDERS = ["Mulher trans", "Homem trans", "Não binário"]
 
 # FIXED VALUES: recode applied to the yes/no profile columns before the
 # association matrix.
@@ -86,8 +65,6 @@ MULTI_ANSWER_QUESTIONS = [
 ]
 
 # FIXED VALUES: questions whose multi answers use ',' instead of ';', and the
-# territory renamed during ingest.
-COMMA_SEPARATED_QUESTIONS = ["HealthGenNames", "HealthGenKidsNames"]
 TERRITORY_RENAMES = {"Boca do Sapo (São Paulo)": "Favela dos Sonhos (São Paulo)"}
 
 # FIXED VALUES: anchor question that decides a family's first and last wave,
@@ -99,49 +76,8 @@ MIN_GAP = 2
 NA_THRESHOLD = 50
 
 # FIXED VALUES: the index questions of the study (the default question list
-# of the frequency and missing-answer tables).
-INDEX_QUESTIONS = [
-    "Access",
-    "BankAccount",
-    "Bathroom",
-    "CEP",
-    "CommFacilities",
-    "CulturalEvent",
-    "Documents",
-    "Eletricity",
-    "Floor",
-    "FoodManytimes",
-    "Garbage",
-    "HealthGenKidsNames",
-    "HealthGenNames",
-    "HousingProblems",
-    "Income",
-    "IncomeWorkS3",
-    "Internet",
-    "Roof",
-    "SchoolCurrent",
-    "SchoolLast",
-    "SchoolLiteracy",
-    "SchoolMathLit",
-    "Sewer",
-    "Walls",
-    "Water",
-    "WaterFrequency",
-]
 
 # FIXED VALUES: the index dimensions; each exists as a category question
-# ("Categoria" + name) and as an average score question ("Average" + name).
-INDEX_DIMENSIONS = [
-    "IGF",
-    "Income",
-    "Citizenship",
-    "Culture",
-    "FirstInfancy",
-    "Health",
-    "Housing",
-    "Schooling",
-    "WomanAutonomy",
-    "Environment",
-]
-CATEGORY_QUESTIONS = [CATEGORY_PREFIX + d for d in INDEX_DIMENSIONS]
-AVERAGE_QUESTIONS = ["Average" + d for d in INDEX_DIMENSIONS]
+
+# FIXED: questions with this prefix have the category scale.
+CATEGORY_PREFIX = "Categoria"

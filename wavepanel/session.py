@@ -1,9 +1,10 @@
 """SparkSession construction and the shared checkpoint folder.
 
-On a cluster the session is created by the platform; ``configure`` only sets
-what the library relies on (AQE, UTC, no UI) and never overrides a value the
-cluster already set.  ``spark.checkpoint.dir`` is read from the session; a
-private scratch folder is chosen only when it is unset (local tests).
+``get_session`` builds a session with the settings that the library relies on
+(AQE, UTC, no UI); on a cluster pass the platform's own session to the
+operators instead.  ``spark.checkpoint.dir`` is read from the session; a
+scratch folder is chosen only on a local master, and a cluster without a
+shared folder is an error.
 """
 
 from __future__ import annotations
@@ -56,24 +57,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="wavepanel-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def size_for_cluster(spark: SparkSession, total_cores: int, scan_bytes: int,
+def size_for_cluster(spark: SparkSession, total_cores: int, shuffle_bytes: int,
                      task_bytes: int = 256 << 20) -> dict:
-    """Partition sizing for a run over ``scan_bytes`` of input on ``total_cores``.
+    """Partition sizing on ``total_cores`` for jobs whose largest shuffle
+    writes ``shuffle_bytes`` (from an earlier run's stage figures; most
+    shuffles here follow a partial aggregate and carry far less than a scan).
 
-    Scans are split into ~``task_bytes`` tasks; shuffles start with enough
-    partitions for the largest shuffle (the un-aggregated input, at most
-    ``scan_bytes``) and never fewer than 3 waves of tasks per core, and AQE
-    coalesces them towards ``task_bytes`` after each map stage.  With 256 MB
-    per task a task's sort/aggregation buffer fits an executor core's share
-    of memory and spills gracefully beyond it.  Returns the settings applied.
+    Scans are split into ~``task_bytes`` tasks; shuffles start with at least
+    3 tasks a core and about ``task_bytes`` each, and AQE coalesces them.
+    Map status costs the driver a byte per map and reduce task, so ask for no
+    more than the shuffle needs.  Returns the settings applied.
     """
-    shuffle = max(3 * total_cores, math.ceil(scan_bytes / task_bytes))
+    shuffle = max(3 * total_cores, math.ceil(shuffle_bytes / task_bytes))
     settings = {
         "spark.sql.files.maxPartitionBytes": str(task_bytes),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes),

@@ -13,12 +13,9 @@ from .. import schema as S
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables (``<sf_dir>/<name>.parquet``); the file
-    listing and footer schema are read once per session."""
-    from ..plans.lineage import reuse
-
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    return reuse(spark, ("table", path), lambda: spark.read.parquet(path))
+    """One of the driver's tables (``<sf_dir>/<name>.parquet``), listed anew
+    at each call so that appended files are seen."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def read_export_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
@@ -29,13 +26,18 @@ def read_export_csv(spark: SparkSession, path: str, columns: Sequence[str] | Non
     schema is given, without it the names come from the header line and
     every column is a string.  Answers stay strings, so the unpivot needs no
     common type and numbers are never re-printed (1e7 would come back as
-    '1.0E7').  An empty cell is null.
+    '1.0E7').  An empty cell is null.  Cells may be quoted and then hold
+    separators, doubled quotes and line breaks; nothing is trimmed.  Files
+    whose header differs from the columns asked for (or, without
+    ``columns``, from each other) fail instead of swapping values.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("nullValue", "")
+    reader = spark.read.options(header=True, sep=sep, nullValue="", quote='"', escape='"', multiLine=True,
+                                enforceSchema=False, mode="FAILFAST", ignoreLeadingWhiteSpace=False,
+                                ignoreTrailingWhiteSpace=False)
     if columns is None:
         return reader.option("inferSchema", False).csv(path)
     schema = StructType([StructField(c, StringType(), True) for c in columns])
-    return reader.schema(schema).option("enforceSchema", False).csv(path)
+    return reader.schema(schema).csv(path)
 
 
 def load_wide(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
@@ -73,4 +75,5 @@ def read_long(spark: SparkSession, path: str) -> DataFrame:
 
 def write_export_csv(wide: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A wide export as CSV with a header (empty cell = null), as analysts exchange it."""
-    wide.write.mode(mode).option("header", True).option("nullValue", "").csv(path)
+    (wide.write.mode(mode).options(header=True, nullValue="", quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                                   ignoreTrailingWhiteSpace=False).csv(path))
