@@ -38,6 +38,17 @@ def ship_package(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """A Python worker serves one operator after the other; what an earlier
+    one remembers (words, tables) is released when another begins."""
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    _HELD[name] = release
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir``.
 

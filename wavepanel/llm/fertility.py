@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import hold, ship_package
 
 #: Words that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -224,6 +224,7 @@ def judge(docs: DataFrame, piece_path: str, multi_path: str, multi_pattern: str,
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _RESULT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("fertility", _METERS.clear)
         if key not in _METERS:
             _METERS[key] = Meter(*key)
         meter = _METERS[key]

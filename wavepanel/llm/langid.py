@@ -34,12 +34,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import hold, ship_package
 
 TRAIN_DOCS = 800
 TRAIN_WORDS = 60
 MAX_BYTES = 40
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -303,6 +303,7 @@ _NETWORKS: dict[bytes, Network] = {}
 def _worker_network(net: Network) -> Network:
     """The same network object for all tasks of a worker process, so that its
     memory of words lasts."""
+    hold("langid", _NETWORKS.clear)
     key = b"".join(net.weights[k].tobytes() for k in sorted(net.weights))
     if key not in _NETWORKS:
         _NETWORKS.clear()

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship_package
+from .common import cut, hold, ship_package
 
 SHINGLE = 5
 #: Links: 100 * intersection >= THRESHOLD * union.
@@ -56,7 +56,7 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: Agreeing hashes of a candidate, of HASHES.
 AGREE = 57
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,6 +120,7 @@ _SIGNED = "doc_id long, n_shingles long, set_key binary, sig binary, bands array
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("near_dup", _HASHES_OF.clear)
     for batch in batches:
         for start in range(0, len(batch), 2000):
             part = batch.slice(start, 2000)
@@ -164,6 +165,7 @@ CLASSES = 64
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Key, histogram and set (as bytes and as numbers) of texts."""
+    hold("near_dup", _HASHES_OF.clear)
     for batch in batches:
         for start in range(0, len(batch), 1000):
             part = batch.slice(start, 1000)

@@ -19,8 +19,10 @@ import re
 import sys
 from array import array
 
+from .common import hold
+
 #: Entries kept in the cache of a worker process.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 #: Chunks longer than this are not kept.
 CACHE_CHARS = 48
 #: Characters that normalisation changes by more than case, or that are beyond the Latin blocks.
@@ -37,6 +39,7 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 
 def encoder(path: str) -> "WordEncoder":
     """One encoder for each vocabulary and worker process."""
+    hold("word_ids", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
