@@ -34,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, let, n_words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -115,26 +115,37 @@ def hypergeometric(good: Column, bad: Column, draws: Column, uniform: Column) ->
     lo, hi = F.greatest(F.lit(0), draws - bad), F.least(good, draws)
     mode = F.least(hi, F.greatest(lo, F.floor((draws + 1) * ((good + 1) / (whole + 2))).cast("long")))
     spread = (F.ceil(10 * F.sqrt(draws * (good / whole) * (bad / whole) + 1)) + 10).cast("long")
-
-    def weights(steps, ratio):
-        """Masses relative to the mode's, outwards."""
-        return F.transform(F.aggregate(
-            steps, F.array(F.struct(F.lit(1.0).alias("p"))),
-            lambda acc, k: F.array_append(acc, F.struct((F.element_at(acc, -1)["p"] * ratio(k)).alias("p")))),
-            lambda x: x["p"])
-
     none = F.array().cast("array<bigint>")
-    top, low = F.least(hi, mode + spread), F.greatest(lo, mode - spread)
-    up = F.when(top > mode, F.sequence(mode, top - 1)).otherwise(none)
-    down = F.when(low < mode, F.sequence(mode, low + 1, F.lit(-1).cast("long"))).otherwise(none)
-    ups = weights(up, lambda k: (good - k) * (draws - k) / ((k + 1.0) * (bad - draws + k + 1)))
-    downs = F.slice(weights(down, lambda k: k * (bad - draws + k) / ((good - k + 1.0) * (draws - k + 1))), 2, 1 << 30)
-    masses = F.concat(F.reverse(downs), ups)
-    total = F.aggregate(masses, F.lit(0.0), lambda a, p: a + p)
-    walked = F.aggregate(masses, F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")), lambda a, p: F.struct(
-        (a["sum"] + p).alias("sum"), (a["n"] + F.when(a["sum"] + p <= uniform * total, 1).otherwise(0)).alias("n")))
-    drawn = F.least(hi, mode - F.size(downs) + walked["n"])
-    return F.when((whole <= 0) | (draws <= 0), F.lit(0).cast("long")).otherwise(drawn.cast("long"))
+
+    def drawn(v: Column) -> Column:
+        up = F.when(v["top"] > v["mode"], F.sequence(v["mode"] + 1, v["top"])).otherwise(none)
+        down = F.when(v["low"] < v["mode"], F.sequence(v["mode"] - 1, v["low"], F.lit(-1).cast("long"))).otherwise(none)
+        # masses relative to the mode's: that of k from its inner neighbour's
+        rise = lambda k: (good - k + 1) * (draws - k + 1) / (k * (bad - draws + k + 0.0))
+        fall = lambda k: (k + 1) * (bad - draws + k + 1) / ((good - k) * (draws - k + 0.0))
+
+        def side(start: Column, steps: Column, ratio) -> Column:
+            """Sums of masses outwards from the mode."""
+            return F.aggregate(steps, F.struct(F.lit(1.0).alias("p"), start.alias("sum")), lambda a, k: F.struct(
+                (a["p"] * ratio(k)).alias("p"), (a["sum"] + a["p"] * ratio(k)).alias("sum")))["sum"]
+
+        def pick(start: Column, steps: Column, ratio, at: Column) -> Column:
+            """The place where the running sum first exceeds ``at``."""
+            return F.aggregate(steps, start, lambda a, k: F.struct(
+                (a["p"] * ratio(k)).alias("p"), (a["sum"] + a["p"] * ratio(k)).alias("sum"),
+                F.when((a["hit"] < 0) & (a["sum"] + a["p"] * ratio(k) > at), k).otherwise(a["hit"]).alias("hit")))
+
+        def choose(at: Column) -> Column:
+            begin = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("sum"),
+                             F.when(at < 1.0, v["mode"]).otherwise(F.lit(-1).cast("long")).alias("hit"))
+            return let(pick(begin, up, rise, at), lambda r: let(
+                pick(F.struct(F.lit(1.0).alias("p"), r["sum"].alias("sum"), r["hit"].alias("hit")), down, fall, at),
+                lambda s: F.when(s["hit"] >= 0, s["hit"]).otherwise(v["mode"])))
+
+        return let(uniform * side(side(F.lit(1.0), up, rise), down, fall), choose)
+
+    ends = F.struct(mode.alias("mode"), F.least(hi, mode + spread).alias("top"), F.greatest(lo, mode - spread).alias("low"))
+    return F.when((whole <= 0) | (draws <= 0), F.lit(0).cast("long")).otherwise(let(ends, drawn))
 
 
 def shard_quotas(quota: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
