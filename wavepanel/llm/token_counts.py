@@ -28,7 +28,8 @@ change with a null doc_id or version is refused by being left out, and
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,18 +41,24 @@ from .word_ids import encoder
 _DELTA = "doc_id long, source string, lang string, tokenizer string, sign int, n_tokens long"
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
-    """``docs`` without its text, with the number of tokens of the whole text."""
+def count_tokens(docs: DataFrame, tokenizer_path: str, texts: Mapping[str, str] = MappingProxyType({"text": "n_tokens"})) -> DataFrame:
+    """``docs`` with the number of tokens of each whole text column in
+    ``texts`` ({text column: name of its count}) instead of the texts.  A map:
+    no text is shuffled."""
     ship_package(docs.sparkSession)
-    kept = [c for c in docs.columns if c != text]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", `{n_tokens}` long"
+    kept = [f for f in docs.schema.fields if f.name not in texts]
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept],
+                       *[F.col(f"`{t}`").alias(f"__text{i}") for i, t in enumerate(texts)])
+    counts = list(texts.values())
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` long" for n in counts])
+    names = [f.name for f in kept] + counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
         for batch in batches:
-            n = pa.array([len(encode(t.as_py())) // 4 for t in batch.column(batch.num_columns - 1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*kept, n_tokens])
+            columns = batch.columns
+            found = [pa.array([len(encode(t.as_py())) // 4 for t in c], pa.int64()) for c in columns[len(kept):]]
+            yield pa.RecordBatch.from_arrays([*columns[:len(kept)], *found], names=names)
 
     return rows.mapInArrow(run, schema)
 
