@@ -178,11 +178,14 @@ def _transitions(question: str, order: str, recode: bool, dim: str | None) -> st
     dgrp = ", segment" if dim else ""
     return q(f""",
 g AS (SELECT family, question, time, {ans} AS answer, {seg} AS segment FROM panel WHERE question = '{question}'),
-f AS (SELECT family, question, segment, answer AS first_answer FROM g WHERE time = 'FIRST'),
-l AS (SELECT family, question, answer AS last_answer FROM g WHERE time = 'LAST'),
-p AS (SELECT f.question{dsel}, f.first_answer, l.last_answer FROM f LEFT JOIN l USING (family, question)
+f AS (SELECT family, question, segment, answer AS first_answer, count(*) OVER (PARTITION BY family) AS nf
+      FROM g WHERE time = 'FIRST'),
+l AS (SELECT family, question, answer AS last_answer, count(*) OVER (PARTITION BY family) AS nl
+      FROM g WHERE time = 'LAST'),
+p AS (SELECT f.question{dsel}, f.first_answer, l.last_answer, nf, nl FROM f LEFT JOIN l USING (family, question)
       WHERE l.last_answer IN ({order})),
-m AS (SELECT question{dgrp}, first_answer, last_answer, count(*) AS n FROM p GROUP BY ALL)
+m AS (SELECT question{dgrp}, first_answer, last_answer, count(*) AS n,
+             count(*) FILTER (WHERE nf > 1 OR nl > 1) AS n_conflicts FROM p GROUP BY ALL)
 SELECT m.*, {r6(pct('n', f'sum(n) OVER (PARTITION BY question{dgrp}, first_answer)'))} AS row_pct FROM m""")
 
 

@@ -74,3 +74,19 @@ def test_profile_conflicts_and_duplicate_keys(spark):
                                "family string, flag string, other string")
     assert [(r.family, r.n_profiles) for r in profile_conflicts(df, "family", ["flag"]).collect()] == [("1", 2)]
     assert [(r.family, r["count"]) for r in duplicate_keys(df, "family").collect()] == [("1", 3)]
+
+
+def test_export_and_long_paths_agree_on_several_rows_per_family(spark):
+    """A family in two export rows, and a row without a key."""
+    from wavepanel.plans.pipeline import SurveySpec, long_table, panel_from_export, panel_from_long
+
+    wide = spark.createDataFrame(
+        [("1", "T", "a", "NA", "NA", "NA"), ("1", "T", "NA", "NA", "NA", "b"), ("2", "T", "a", None, "c", "NA"),
+         ("3", "T", "a", "b", "NA", "NA"), (None, "T", "a", "NA", "NA", "b")],
+        "k string, terr string, A_T0 string, A_T1 string, A_T2 string, A_T3 string")
+    spec = SurveySpec(key="k", territory="terr", column_map=build_column_map(stems=["A"], waves=range(4)), anchor="A")
+    fast = panel_from_export(wide, spec)
+    slow = panel_from_long(long_table(wide, spec), spec)
+    rows = lambda df: sorted((r.family, r.time, r.answer, r.time_first, r.time_last) for r in df.collect())
+    assert rows(fast) == rows(slow)
+    assert {r.family for r in fast.collect()} == {"1", "2"}

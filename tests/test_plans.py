@@ -129,3 +129,21 @@ def test_every_query_has_a_description_and_an_oracle():
 
     assert set(DESCRIPTIONS) == set(QUERIES)
     assert set(QUERIES) <= set(E.oracle_sql()) and set(QUERIES) <= set(E.queries())
+
+
+def test_question_pruning_reaches_the_unpivot(spark):
+    """A single-question table reads and unpivots that question's columns only."""
+    from wavepanel.plans.catalog import QUERIES
+    from wavepanel.plans.inspect import physical_plan
+
+    plan = physical_plan(QUERIES["transition_matrix"](spark, SF))
+    assert "Status_T0" in plan and "Priority_T0" not in plan and "Income_T0" not in plan and "o_totalprice" not in plan
+
+
+@pytest.mark.parametrize("name", ["frequency_all_questions", "frequency_by_territory", "frequency_by_flag",
+                                  "transition_matrix", "transitions_by_group", "descriptive_table"])
+def test_totals_are_no_windows(spark, name):
+    from wavepanel.plans.catalog import QUERIES
+    from wavepanel.plans.inspect import physical_plan
+
+    assert "Window" not in physical_plan(QUERIES[name](spark, SF))

@@ -113,3 +113,14 @@ def test_contingency_table(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("NA", "x"), (None, "y")], "r string, c string")
     got = {r.r: (r.x, r.y) for r in contingency_table(df, "r", "c").collect()}
     assert got == {"a": (1, 1), "b": (1, 0)}
+
+
+def test_transition_matrix_shows_conflicts(spark):
+    from wavepanel.operators.transitions import transition_matrix, transition_pairs
+
+    panel = spark.createDataFrame(
+        [("1", "Q", "FIRST", "a"), ("1", "Q", "FIRST", "b"), ("1", "Q", "LAST", "c"), ("2", "Q", "FIRST", "a"),
+         ("2", "Q", "LAST", "c"), ("3", "Q", "FIRST", "a")],
+        "family string, question string, time string, answer string")
+    got = {(r.first_answer, r.last_answer): (r.n, r.n_conflicts) for r in transition_matrix(transition_pairs(panel)).collect()}
+    assert got == {("a", "c"): (2, 1), ("a", None): (1, 0)}

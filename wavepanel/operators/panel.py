@@ -48,11 +48,14 @@ def first_last_wave(long: DataFrame, anchor: str, min_gap: int = MIN_GAP, na: st
 
 
 def waves_from_wide(wide: DataFrame, column_map: Sequence[ColumnSpec], anchor: str,
-                    min_gap: int = MIN_GAP, na: str = NA) -> DataFrame:
+                    min_gap: int = MIN_GAP, na: str = NA, key: str | None = None) -> DataFrame:
     """B10 on the export itself: a wide row holds all waves of one family, so
     first/last wave are a projection (no shuffle).  Same result as
     ``family_waves`` on the exploded long table: a raw cell yields an
-    answered anchor row exactly when it is neither null nor 'NA'."""
+    answered anchor row exactly when it is neither null nor 'NA'.
+
+    With ``key`` a family may have several rows: its waves are then the first
+    and last of all of them, by an aggregate on the key joined back."""
     present = set(wide.columns)
     anchor_cells = [c for c in column_map if c.question == anchor and c.original_column in present]
     if not anchor_cells:
@@ -64,8 +67,13 @@ def waves_from_wide(wide: DataFrame, column_map: Sequence[ColumnSpec], anchor: s
     waves = [wave_if_answered(c) for c in anchor_cells]
     first = F.least(*waves) if len(waves) > 1 else waves[0]
     last = F.greatest(*waves) if len(waves) > 1 else waves[0]
-    return (wide.withColumns({S.TIME_FIRST: first.cast("int"), S.TIME_LAST: last.cast("int")})
-            .filter(F.col(S.TIME_LAST) - F.col(S.TIME_FIRST) >= F.lit(min_gap)))
+    waves = {S.TIME_FIRST: first.cast("int"), S.TIME_LAST: last.cast("int")}
+    long_enough = F.col(S.TIME_LAST) - F.col(S.TIME_FIRST) >= F.lit(min_gap)
+    if key is None:
+        return wide.withColumns(waves).filter(long_enough)
+    bounds = (wide.select(key, *[c.alias(name) for name, c in waves.items()]).groupBy(key)
+              .agg(F.min(S.TIME_FIRST).alias(S.TIME_FIRST), F.max(S.TIME_LAST).alias(S.TIME_LAST)).filter(long_enough))
+    return wide.join(bounds, key, "inner").select(*wide.columns, S.TIME_FIRST, S.TIME_LAST)
 
 
 def panel_first_last(periods: DataFrame) -> DataFrame:

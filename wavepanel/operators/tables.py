@@ -1,21 +1,23 @@
 """Frequency, missing-answer and descriptive tables.
 
 Every question (and group, flag, level) is a grouping key, so one aggregate
-answers what a per-question loop would.  Shares are window sums over the
-already aggregated counts, partitioned by the denominator keys.
+answers what a per-question loop would.  Totals are an aggregate of the
+counts, joined back: a question with as many answers as families (an income)
+is no hot window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.answers import collapse, percent
 from ..plans.dictionaries import bounded
 from ..plans.survey import MULTI_ANSWER_QUESTIONS, NA, NA_THRESHOLD, NO, YES
+from .quantiles import same_group
 from .recode import VARIANT, answer_order, recode_answers
 
 
@@ -29,7 +31,7 @@ def frequency_table(panel: DataFrame, questions: Sequence[str] | None = None,
                     variant: int | None = 0, filter_by_order: bool = False,
                     denominator: Sequence[str] = (S.TIME,),
                     multi_questions: Sequence[str] = MULTI_ANSWER_QUESTIONS,
-                    family_share: bool = False, na: str = NA) -> DataFrame:
+                    family_share: bool = False, na: str = NA, weight: str | None = None) -> DataFrame:
     """N and shares of each answer per (question, variant, time[, by][, compare_by]).
 
     ``pct`` is the share of all rows of the denominator group ((question,
@@ -39,7 +41,8 @@ def frequency_table(panel: DataFrame, questions: Sequence[str] | None = None,
     With ``family_share`` two columns are added for multi-answer questions,
     where a row is an assertion: ``n_families`` (families that gave the
     answer) and ``pct_families`` (their share of the families in the
-    denominator group).
+    denominator group).  ``weight`` names a column that says how many rows a
+    row stands for.
     """
     df = panel
     if questions is not None:
@@ -49,25 +52,24 @@ def frequency_table(panel: DataFrame, questions: Sequence[str] | None = None,
         df = answer_order(df, order, keep_unknown=False)
     extra = list(by) + ([compare_by] if compare_by else [])
     keys = [S.QUESTION, VARIANT, S.TIME] + extra + [S.ANSWER]
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [(F.sum(weight) if weight else F.count(F.lit(1))).alias("n")]
     if family_share:
         aggs.append(F.countDistinct(S.FAMILY).alias("n_families"))
     counts = df.groupBy(*keys).agg(*aggs)
-    w = Window.partitionBy(S.QUESTION, VARIANT, *denominator)
     answered = F.col(S.ANSWER) != F.lit(na)
-    total = F.sum("n").over(w)
-    total_valid = F.sum(F.when(answered, F.col("n"))).over(w)
+    group = [S.QUESTION, VARIANT, *denominator]
+    totals = counts.groupBy(*group).agg(F.sum("n").alias("_total"),
+                                        F.sum(F.when(answered, F.col("n"))).alias("_valid"))
     unit = F.when(F.col(S.QUESTION).isin(list(multi_questions)), F.lit("responses")).otherwise(F.lit("families"))
     extra_cols = []
     if family_share:
-        group = [S.QUESTION, VARIANT, *denominator]
         families = df.groupBy(*group).agg(F.countDistinct(S.FAMILY).alias("_families"))
-        counts = counts.join(families, group, "left")
+        totals = same_group(totals, families, group, "left")
         extra_cols = ["n_families", percent(F.col("n_families"), F.col("_families")).alias("pct_families")]
-    return counts.select(
+    return same_group(counts, totals, group).select(
         *keys, "n",
-        percent(F.col("n"), total).alias("pct"),
-        F.when(answered, percent(F.col("n"), total_valid)).alias("pct_valid"),
+        percent(F.col("n"), F.col("_total")).alias("pct"),
+        F.when(answered, percent(F.col("n"), F.col("_valid"))).alias("pct_valid"),
         answered.alias("included"),
         unit.alias("unit"), *extra_cols)
 
@@ -116,17 +118,22 @@ def frequency_by_flag(panel: DataFrame, question: str, flags: Sequence[str],
     """B14 of one question within each answered level of each flag, and
     within 'both yes' / 'both no' of each flag pair - one aggregate for all.
 
-    Rows are expanded to (flag, level) pairs (one per flag, so at most
-    len(flags) + len(pairs) copies of each row), then counted with
-    (flag, level) as keys and as part of the share's denominator.
+    Rows are counted per answer and flags first; the counts are expanded to
+    (flag, level) pairs and added up with (flag, level) as keys and as part of
+    the share's denominator.  ``family_share`` needs the families and expands
+    the rows themselves.
     """
     levels = [F.struct(F.lit(f).alias("flag"), F.col(f).cast("string").alias("level")) for f in flags]
     for a, b in pairs:
         both = (F.when((F.col(a) == F.lit(yes)) & (F.col(b) == F.lit(yes)), F.lit(yes))
                 .when((F.col(a) == F.lit(no)) & (F.col(b) == F.lit(no)), F.lit(no)))
         levels.append(F.struct(F.lit(f"{a}&{b}").alias("flag"), both.alias("level")))
-    df = (panel.filter(F.col(S.QUESTION) == F.lit(question))
-          .select("*", F.inline(F.array(*levels)))
+    rows = panel.filter(F.col(S.QUESTION) == F.lit(question))
+    if not kwargs.get("family_share"):
+        kept = dict.fromkeys([S.QUESTION, S.TIME, S.ANSWER, *flags, *[f for pair in pairs for f in pair]])
+        rows = rows.groupBy(*kept).agg(F.count(F.lit(1)).alias("_rows"))
+        kwargs["weight"] = "_rows"
+    df = (rows.select("*", F.inline(F.array(*levels)))
           .filter(F.col("level").isNotNull() & (F.col("level") != F.lit(na))))
     return frequency_table(df, by=["flag", "level"], recode=recode,
                            denominator=[S.TIME, "flag", "level"], na=na, **kwargs)
@@ -147,10 +154,9 @@ def descriptive_table(panel: DataFrame, question: str, describe_by: str,
     last = F.col(S.TIME) == F.lit(S.LAST)
     counts = df.groupBy(F.col(S.ANSWER), F.col(describe_by).alias("dim")).agg(
         _one(first).alias("count_first"), _one(last).alias("count_last"))
-    w = Window.partitionBy("dim")
-    out = (counts
-           .withColumn("group_total_first", F.sum("count_first").over(w))
-           .withColumn("group_total_last", F.sum("count_last").over(w)))
+    totals = counts.groupBy("dim").agg(F.sum("count_first").alias("group_total_first"),
+                                       F.sum("count_last").alias("group_total_last"))
+    out = same_group(counts, totals, ["dim"])
     pct_first = F.coalesce(F.try_divide(F.col("count_first").cast("double"), F.col("group_total_first")), F.lit(0.0))
     pct_last = F.coalesce(F.try_divide(F.col("count_last").cast("double"), F.col("group_total_last")), F.lit(0.0))
     return out.select(

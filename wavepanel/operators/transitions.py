@@ -4,21 +4,23 @@ A family's FIRST and LAST rows are brought together by one aggregate on
 (family, question) with conditional columns instead of a self-join: no
 second scan, partial aggregation on the map side, and a hot family is still
 spread over its (family, question) keys.  Questions are single-answer here;
-``n_first``/``n_last`` expose families with several answers at one wave
-(see ``one_answer_per_family`` for the full conflict report).
+of several answers at one wave the smallest counts, ``n_first``/``n_last``
+and the matrix's ``n_conflicts`` show such families (see
+``one_answer_per_family`` for the full conflict report).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.answers import as_number, collapse, percent
 from ..plans.dictionaries import bounded
 from ..plans.survey import NA
+from .quantiles import same_group
 from .recode import VARIANT, recode_answers
 
 
@@ -61,11 +63,15 @@ def transition_pairs(panel: DataFrame, questions: Sequence[str] | None = None,
 
 def transition_matrix(pairs: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
     """Flow counts per (question[, dims], first_answer, last_answer) and
-    the share of the first answer's families that moved to each last answer."""
+    the share of the first answer's families that moved to each last answer.
+    ``n_conflicts`` of the n families had several answers at a wave."""
     keys = [S.QUESTION, *dims, "first_answer", "last_answer"]
-    counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row_total = F.sum("n").over(Window.partitionBy(S.QUESTION, *dims, "first_answer"))
-    return counts.withColumn("row_pct", percent(F.col("n"), row_total))
+    several = (F.col("n_first") > 1) | (F.col("n_last") > 1)
+    counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(several).alias("n_conflicts"))
+    row = [S.QUESTION, *dims, "first_answer"]
+    totals = counts.groupBy(*row).agg(F.sum("n").alias("_total"))
+    return same_group(counts, totals, row).select(
+        *keys, "n", percent(F.col("n"), F.col("_total")).alias("row_pct"), "n_conflicts")
 
 
 def grouped_transitions(panel: DataFrame, question: str, dimension: str,

@@ -110,13 +110,13 @@ def q_frequency_by_territory(spark, sf):
 
 
 def q_frequency_item_variants(spark, sf):
-    return finish(T.frequency_table(fx.panel(spark, sf), questions=["Items"], recode=fx.recode(spark),
+    return finish(T.frequency_table(fx.panel(spark, sf, ["Items"]), questions=["Items"], recode=fx.recode(spark),
                                     order=fx.order(spark), variant=None, filter_by_order=True,
                                     multi_questions=fx.MULTI_QUESTIONS))
 
 
 def q_frequency_family_share(spark, sf):
-    return finish(T.frequency_table(fx.panel(spark, sf), questions=["Items"], recode=fx.recode(spark),
+    return finish(T.frequency_table(fx.panel(spark, sf, ["Items"]), questions=["Items"], recode=fx.recode(spark),
                                     multi_questions=fx.MULTI_QUESTIONS, family_share=True))
 
 
@@ -138,22 +138,22 @@ def q_missing_table(spark, sf):
 
 
 def q_transition_matrix(spark, sf):
-    pairs = TR.transition_pairs(fx.panel(spark, sf), ["Status"], order=fx.order(spark))
+    pairs = TR.transition_pairs(fx.panel(spark, sf, ["Status"]), ["Status"], order=fx.order(spark))
     return finish(TR.transition_matrix(pairs))
 
 
 def q_transitions_by_group(spark, sf):
     return finish(TR.grouped_transitions(
-        fx.panel(spark, sf), "Priority", "segment", recode=fx.recode(spark), order=fx.order(spark),
+        fx.panel(spark, sf, ["Priority"]), "Priority", "segment", recode=fx.recode(spark), order=fx.order(spark),
         groups={"HOME": ["HOUSEHOLD", "BUILDING", "FURNITURE"]}, other="INDUSTRY"))
 
 
 def q_paired_scores(spark, sf):
-    return finish(TR.paired_scores(fx.panel(spark, sf), "Income"))
+    return finish(TR.paired_scores(fx.panel(spark, sf, ["Income"]), "Income"))
 
 
 def q_paired_scores_summary(spark, sf):
-    return finish(TR.paired_scores_summary(TR.paired_scores(fx.panel(spark, sf), "Income")))
+    return finish(TR.paired_scores_summary(TR.paired_scores(fx.panel(spark, sf, ["Income"]), "Income")))
 
 
 def q_cramers_v_pair(spark, sf):
@@ -190,7 +190,7 @@ def q_hist_fixed_width_orders(spark, sf):
 
 
 def per_capita(spark, sf):
-    return ST.income_per_capita(fx.long(spark, sf), fx.panel(spark, sf), "Income", "HowMany", keep=fx.FLAGS)
+    return ST.income_per_capita(fx.long(spark, sf, ["HowMany"]), fx.panel(spark, sf, ["Income"]), "Income", "HowMany", keep=fx.FLAGS)
 
 
 def q_income_per_capita(spark, sf):
@@ -213,26 +213,26 @@ def q_income_describe(spark, sf):
 
 
 def q_frequency_by_flag(spark, sf):
-    return finish(T.frequency_by_flag(fx.panel(spark, sf), "Priority", fx.FLAGS, pairs=[("flag_a", "flag_b")],
+    return finish(T.frequency_by_flag(fx.panel(spark, sf, ["Priority"]), "Priority", fx.FLAGS, pairs=[("flag_a", "flag_b")],
                                       recode=fx.recode(spark), multi_questions=fx.MULTI_QUESTIONS))
 
 
 def q_descriptive_table(spark, sf):
-    return finish(T.descriptive_table(fx.panel(spark, sf), "Priority", "segment", recode=fx.recode(spark)))
+    return finish(T.descriptive_table(fx.panel(spark, sf, ["Priority"]), "Priority", "segment", recode=fx.recode(spark)))
 
 
 def q_one_answer_per_family(spark, sf):
-    rows, _ = P.one_answer_per_family(fx.panel(spark, sf).filter(F.col(S.QUESTION) == "Items"))
+    rows, _ = P.one_answer_per_family(fx.panel(spark, sf, ["Items"]))
     return rows
 
 
 def q_answer_conflicts(spark, sf):
-    _, conflicts = P.one_answer_per_family(fx.panel(spark, sf).filter(F.col(S.QUESTION) == "Items"))
+    _, conflicts = P.one_answer_per_family(fx.panel(spark, sf, ["Items"]))
     return conflicts
 
 
 def q_assertion_counts(spark, sf):
-    return T.assertion_counts(fx.panel(spark, sf), fx.assertions(spark))
+    return T.assertion_counts(fx.panel(spark, sf, ["Items"]), fx.assertions(spark))
 
 
 def q_find_values(spark, sf):
@@ -261,12 +261,12 @@ def q_respondents_by_territory_wave(spark, sf):
 
 
 def q_frequency_compare_by(spark, sf):
-    return finish(T.frequency_table(fx.panel(spark, sf), questions=["Priority"], compare_by="segment",
+    return finish(T.frequency_table(fx.panel(spark, sf, ["Priority"]), questions=["Priority"], compare_by="segment",
                                     recode=fx.recode(spark), multi_questions=fx.MULTI_QUESTIONS))
 
 
 def q_association_flags(spark, sf):
-    return finish(ST.association_matrix(fx.periods(spark, sf), fx.FLAGS, S.FAMILY))
+    return finish(ST.association_matrix(fx.families(spark, sf), fx.FLAGS, tpch_panel.KEY))
 
 
 def q_duplicate_keys(spark, sf):

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.reshape import build_column_map
+from ..operators.reshape import build_column_map, map_profile
 from ..sources import tpch_panel
 from . import dictionaries as D
-from .pipeline import SurveySpec, long_table, panel_from_export, periods_from_export
+from .pipeline import SurveySpec, kept_families, long_table, panel_from_export, periods_from_export
 from .survey import NA, NONE_LABEL, YES_NO_CATEGORIES
 
 QUESTIONS = ["Status", "Priority", "Income", "Items", "HowMany"]
@@ -29,6 +29,7 @@ SPEC = SurveySpec(
     ids=["region", "segment"] + FLAGS,
     profile={f: (f, YES_NO_CATEGORIES) for f in FLAGS},
     multi_questions=None,
+    unique_key=True,
 )
 
 ANSWERS = {
@@ -57,16 +58,20 @@ def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tpch_panel.panel_export(spark, sf_dir)
 
 
-def long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_table(export(spark, sf_dir), SPEC)
+def long(spark: SparkSession, sf_dir: str, questions: list[str] | None = None) -> DataFrame:
+    return long_table(export(spark, sf_dir), SPEC, questions)
+
+
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_profile(kept_families(export(spark, sf_dir), SPEC), SPEC.profile)
 
 
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_from_export(export(spark, sf_dir), SPEC)
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel_from_export(export(spark, sf_dir), SPEC)
+def panel(spark: SparkSession, sf_dir: str, questions: list[str] | None = None) -> DataFrame:
+    return panel_from_export(export(spark, sf_dir), SPEC, questions)
 
 
 def recode(spark: SparkSession) -> DataFrame:

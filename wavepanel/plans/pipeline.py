@@ -7,7 +7,12 @@ profile dictionaries, anchor question).  Two ways to the panel:
 * ``panel_from_export`` - straight from the export.  A wide row holds every
   wave of one family, so first/last wave is a projection; families are
   filtered and non-panel waves dropped *before* the unpivot and explode.
-  The whole panel is one map-only stage: no shuffle at all.
+  With ``unique_key`` the whole panel is one map-only stage: no shuffle at
+  all.  Otherwise a family may have several rows, and its waves come from an
+  aggregate on the key.
+
+With ``questions`` only those questions' columns are read and unpivoted.  A
+row without a family key belongs to no family and is left out of the panel.
 """
 
 from __future__ import annotations
@@ -39,11 +44,15 @@ class SurveySpec:
     multi_questions: Sequence[str] | None = None
     none_label: str = NONE_LABEL
     na: str = NA
+    #: the export is known to have one row per family
+    unique_key: bool = False
 
 
-def _cells(wide: DataFrame, spec: SurveySpec, extra_ids: Sequence[str] = ()) -> DataFrame:
+def _cells(wide: DataFrame, spec: SurveySpec, extra_ids: Sequence[str] = (),
+           questions: Sequence[str] | None = None) -> DataFrame:
     wide = map_profile(wide, spec.profile)
-    return to_long(wide, spec.column_map, spec.key, spec.territory, list(spec.ids) + list(extra_ids))
+    cells = [c for c in spec.column_map if questions is None or c.question in questions]
+    return to_long(wide, cells, spec.key, spec.territory, list(spec.ids) + list(extra_ids))
 
 
 def _tidy(long: DataFrame, spec: SurveySpec) -> DataFrame:
@@ -52,9 +61,17 @@ def _tidy(long: DataFrame, spec: SurveySpec) -> DataFrame:
                               multi_questions=spec.multi_questions)
 
 
-def long_table(wide: DataFrame, spec: SurveySpec) -> DataFrame:
+def long_table(wide: DataFrame, spec: SurveySpec, questions: Sequence[str] | None = None) -> DataFrame:
     """B4 -> B3 -> B5 -> B6: the tidy long table."""
-    return _tidy(_cells(wide, spec), spec)
+    return _tidy(_cells(wide, spec, questions=questions), spec)
+
+
+def kept_families(wide: DataFrame, spec: SurveySpec) -> DataFrame:
+    """The export's rows of the families in the panel, with their first/last
+    wave and profiles."""
+    keyed = wide.filter(F.col(f"`{spec.key}`").isNotNull())
+    return waves_from_wide(keyed, spec.column_map, spec.anchor, spec.min_gap, spec.na,
+                           key=None if spec.unique_key else spec.key)
 
 
 def periods_from_long(long: DataFrame, spec: SurveySpec) -> DataFrame:
@@ -66,13 +83,11 @@ def panel_from_long(long: DataFrame, spec: SurveySpec) -> DataFrame:
 
 
 def periods_from_export(wide: DataFrame, spec: SurveySpec) -> DataFrame:
-    """Long rows of the kept families with their first/last wave (no shuffle)."""
-    kept = waves_from_wide(wide, spec.column_map, spec.anchor, spec.min_gap, spec.na)
-    return _tidy(_cells(kept, spec, [S.TIME_FIRST, S.TIME_LAST]), spec)
+    """Long rows of the kept families with their first/last wave."""
+    return _tidy(_cells(kept_families(wide, spec), spec, [S.TIME_FIRST, S.TIME_LAST]), spec)
 
 
-def panel_from_export(wide: DataFrame, spec: SurveySpec) -> DataFrame:
-    kept = waves_from_wide(wide, spec.column_map, spec.anchor, spec.min_gap, spec.na)
-    cells = _cells(kept, spec, [S.TIME_FIRST, S.TIME_LAST])
+def panel_from_export(wide: DataFrame, spec: SurveySpec, questions: Sequence[str] | None = None) -> DataFrame:
+    cells = _cells(kept_families(wide, spec), spec, [S.TIME_FIRST, S.TIME_LAST], questions)
     cells = cells.filter((F.col(S.TIME) == F.col(S.TIME_FIRST)) | (F.col(S.TIME) == F.col(S.TIME_LAST)))
     return panel_first_last(_tidy(cells, spec))
