@@ -255,6 +255,23 @@ def test_mixed_rows_meet_quotas_in_disjoint_shards(docs):
     assert len({(r["_shard"], r["_order"]) for r in rows}) == len(rows)
 
 
+def test_mixing_query_counts_what_the_tree_deals(spark, odd, docs, monkeypatch):
+    trees, real = [], mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda *a, **k: trees.append(real(*a, **k)) or trees[-1])
+    rows = queries.op8_mixing(spark, SF).collect()
+    assert len(trees) == 1 and {r["_shard"] for r in trees[0].collect()} == set(range(mixing.SHARDS))
+    assert sum(r.taken > 0 for r in rows) > 0
+    for df in (odd, docs):
+        dealt, listed = {}, {}
+        for r in mixing.mixed_rows(df).collect():
+            dealt.setdefault(r.doc_id, []).append(r["_shard"])
+        for r in mixing.mix(df).collect():
+            assert r.taken == r["size"] * len(r.shards)
+            listed[r.doc_id] = sorted(listed.get(r.doc_id, []) + r.shards)
+        assert {d: s for d, s in listed.items() if s} == {d: sorted(s) for d, s in dealt.items()}
+        assert df.count() == mixing.mix(df).count()
+
+
 def test_hypergeometric_draws(spark):
     """The mean and spread of many draws."""
     u = mixing._uniform(F.lit("t"), F.col("id"))

@@ -195,24 +195,9 @@ def _plan(sized: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFram
     return _quotas(blocks, targets(sums, weights, max_epochs))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words
-    the mix takes of it, repeats counted)."""
-    sized = cut(_sized(docs, doc_id, text, source), "sized")
-    plan = cut(_plan(sized, weights, max_epochs).select(
-        F.col("_source").alias("_s"), F.col("_block").alias("_b"), "source_size", "target",
-        (F.col("_epochs") + F.when(F.col("_rank") < F.col("_last"), 1).otherwise(0)).alias("_copies")), "plan")
-    return (sized.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-            .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken")))
-
-
-def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-               weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with
-    ``_shard`` and ``_order`` (its place in the shard's shuffle)."""
-    sized = _sized(docs, doc_id, text, source)
-    plan = cut(_plan(cut(sized.select("_source", "_block", "size"), "sized"), weights, max_epochs), "plan")
+def _places(plan: DataFrame, shards: int) -> DataFrame:
+    """Per taken block (_s, _b) its _takes: structs of the epoch and the shard
+    that the block is dealt to in it."""
     quota = (plan.groupBy("_source").agg(F.max(F.col("_epochs") * F.col("_n") + F.col("_last")).alias("_blocks")))
     cuts = shard_quotas(quota, shards).groupBy(F.col("_source").alias("_of")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("_start").alias("start"), F.col("_shard").alias("shard"),
@@ -225,11 +210,52 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
               .select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), F.col("_epoch"),
                       F.filter("_shards", lambda x: (x["start"] <= F.col("_place")) & (F.col("_place") < x["end"]))[0]["shard"]
                       .alias("_shard")))
-    places = cut(places.groupBy("_s", "_b").agg(F.collect_list(F.struct("_epoch", "_shard")).alias("_takes")), "places")
+    return cut(places.groupBy("_s", "_b").agg(F.collect_list(F.struct("_epoch", "_shard")).alias("_takes")), "places")
+
+
+def _order(key: Column) -> Column:
+    """The place of a take in its shard's shuffle."""
+    return F.xxhash64(F.lit(SEED), key, F.col("_take._epoch"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (words
+    the mix takes of it, repeats counted), shards (those it is dealt to, one
+    per copy, in order).
+
+    The rows are dealt and put in order as in ``mixed_rows``, with a row's
+    number in place of its columns; the copies are counted from that."""
+    key = _key(docs, doc_id, text)
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("_source"), n_words(F.col(text)).alias("size"),
+                            key.alias("_key"), _block(key).alias("_block"), F.monotonically_increasing_id().alias("_row")), "sized")
+    plan = cut(_plan(sized, weights, max_epochs), "plan")
+    dealt = (sized.join(_places(plan, shards), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
+             .withColumn("_take", F.explode("_takes"))
+             .select("_row", F.col("_take._shard").alias("_shard"), _order(F.col("_key")).alias("_order")))
+    # a shard spans several tasks, by the order's range, so none is hot
+    mixed = cut(dealt.withColumn("_range", F.shiftrightunsigned("_order", 58)).repartition("_shard", "_range")
+                .sortWithinPartitions("_shard", "_order"), "mixed")
+    copies = mixed.groupBy(F.col("_row").alias("_r")).agg(
+        F.count(F.lit(1)).alias("_copies"), F.sort_array(F.collect_list("_shard")).alias("shards"))
+    sources = plan.select(F.col("_source").alias("_s"), "source_size", "target").distinct()
+    return (sized.join(sources, F.col("_source").eqNullSafe(F.col("_s"))).join(copies, F.col("_row") == F.col("_r"), "left")
+            .select("doc_id", "size", "source_size", "target",
+                    (F.col("size") * F.coalesce("_copies", F.lit(0).cast("long"))).alias("taken"),
+                    F.coalesce("shards", F.array().cast("array<int>")).alias("shards")))
+
+
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+               weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with
+    ``_shard`` and ``_order`` (its place in the shard's shuffle)."""
+    sized = _sized(docs, doc_id, text, source)
+    plan = cut(_plan(cut(sized.select("_source", "_block", "size"), "sized"), weights, max_epochs), "plan")
+    places = _places(plan, shards)
     key = "__mix_key"
     rows = docs.withColumn(key, _key(docs, doc_id, text))
     return (rows.join(places, F.col(f"`{source}`").eqNullSafe(F.col("_s"))
                       & (_block(F.col(key)) == F.col("_b")))
             .withColumn("_take", F.explode("_takes"))
             .select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_take._shard").alias("_shard"),
-                    F.xxhash64(F.lit(SEED), F.col(key), F.col("_take._epoch")).alias("_order")))
+                    _order(F.col(key)).alias("_order")))
