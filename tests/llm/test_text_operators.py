@@ -146,6 +146,24 @@ def test_fertility(spark, odd, docs):
     assert [fertility.script_of(t) for t in ("abc", "привет a", "日本", "12 !")] == ["latin", "cyrillic", "han", "none"]
 
 
+def test_fertility_rejects_symbols_among_words(spark, tmp_path):
+    big = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    docs = common.documents(spark, big)
+    clean = docs.join(labels.filter("quality = 1"), "doc_id", "left_semi")
+    ridden = clean.orderBy("doc_id").limit(20).withColumn("doc_id", -F.col("doc_id") - 1).withColumn(
+        "text", F.regexp_replace("text", r"(\S+\s+\S+)(\s)", "$1 #*\\$%&|<>$2"))
+    docs.unionByName(ridden).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op3_fertility(spark, str(tmp_path)).collect()
+    spoilt = [r for r in got if r.doc_id < 0 and not r.base_failed]
+    assert len(spoilt) >= 10 and not any(r.kept for r in spoilt)
+    ids = {r.doc_id for r in clean.select("doc_id").collect()}
+    fine = [r.kept for r in got if r.doc_id in ids and not r.base_failed]
+    assert sum(fine) >= 0.95 * len(fine)
+    assert str(sorted(map(str, got))) == str(sorted(map(str, queries.op3_fertility(spark, str(tmp_path)).collect())))
+
+
 @pytest.mark.parametrize("table", ["odd", "docs"])
 def test_secrets(table, request):
     df = request.getfixturevalue(table)

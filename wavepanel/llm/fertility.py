@@ -10,9 +10,13 @@ encoded one by one:
 - byte_share: share of byte-fallback tokens in the piece vocabulary
 - entropy: bits per token of the document's distribution of piece tokens
 
-A document is rejected if a measure lies outside the band of its script
-(``BANDS``; the script that most of its letters have), or if a plain count
-fails (``base_failed``).
+A document is rejected if a plain count fails (``base_failed``), or if a
+measure lies outside the band of its script (``BANDS``; the script that most
+of its letters have) or outside the band learned for its language: with
+labels, the quantiles of all clean labelled documents that pass the counts
+(``FLOOR``, ``TAIL``; of its script if its language has fewer than
+``MIN_CLEAN``).  They come from counts by thousandths, so they are the same in
+every run and the counts don't grow with the corpus.
 
 The words are numbered by a dictionary per worker of bounded size (emptied
 when full, which changes no result); everything else is array arithmetic on
@@ -31,10 +35,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hold, ship_package
+from .common import cut, hold, ship_package
 
 #: Words that a worker remembers.
 CACHE_WORDS = 300_000
@@ -61,6 +65,13 @@ BANDS: dict[str, dict[str, tuple[float, float]]] = {
               "entropy": (2.0, 15.0)},
 }
 
+MEASURES = ("chars_per_token", "chars_per_token_multi", "byte_share", "entropy")
+#: Share of clean documents below the learned floor of chars_per_token_multi,
+#: and outside each other end of a learned band.
+FLOOR, TAIL = 0.01, 0.001
+#: Clean documents that a language's or a script's own band needs.
+MIN_CLEAN = 100
+
 _FIRST = np.array([s[0] for s in SCRIPTS])
 _LAST = np.array([s[1] for s in SCRIPTS])
 
@@ -209,19 +220,39 @@ def in_bands(m: Mapping, bands: Mapping) -> bool:
     return all(low <= m[k] <= high for k, (low, high) in band.items())
 
 
+def learned_bands(clean: DataFrame) -> DataFrame:
+    """From clean documents (script, _lang, measures) a row per script and
+    language, and one per script with an empty language: _script, _of, and
+    _bands with a struct (low, high) per measure."""
+    thousandths = F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col(k) * 1000).alias("b")) for k in MEASURES])
+    counts = (clean.select("script", F.explode(F.array_distinct(F.array("_lang", F.lit("")))).alias("_of"), *MEASURES)
+              .select("script", "_of", F.inline(thousandths)).groupBy("script", "_of", "k", "b").agg(F.count(F.lit(1)).alias("n")))
+    whole = Window.partitionBy("script", "_of", "k")
+    counts = counts.withColumn("_sum", F.sum("n").over(whole.orderBy("b"))).withColumn("_all", F.sum("n").over(whole))
+    floor = F.when(F.col("k") == "chars_per_token_multi", FLOOR).otherwise(TAIL)
+    ends = (counts.filter(F.col("_all") >= MIN_CLEAN).groupBy("script", "_of", "k").agg(
+        (F.min(F.when(F.col("_sum") > floor * F.col("_all"), F.col("b"))) / 1000).alias("low"),
+        (F.min(F.when(F.col("_sum") >= (1 - TAIL) * F.col("_all"), F.col("b") + 1)) / 1000).alias("high")))
+    return ends.groupBy(F.col("script").alias("_script"), "_of").agg(F.struct(*[
+        F.max(F.when(F.col("k") == k, F.struct("low", "high"))).alias(k) for k in MEASURES]).alias("_bands"))
+
+
 _RESULT = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
            "base_failed boolean, kept boolean, script string, chars_per_token double, chars_per_token_multi double, "
            "byte_share double, entropy double")
 
 
 def judge(docs: DataFrame, piece_path: str, multi_path: str, multi_pattern: str, doc_id: str = "doc_id",
-          text: str = "text", bands: Mapping[str, Mapping[str, tuple[float, float]]] = BANDS) -> DataFrame:
-    """One row per document: the counts, base_failed, kept, and the measures."""
+          text: str = "text", bands: Mapping[str, Mapping[str, tuple[float, float]]] = BANDS,
+          labels: DataFrame | None = None, lang: str = "lang") -> DataFrame:
+    """One row per document: the counts, base_failed, kept, and the measures.
+    With ``labels`` (doc_id, quality; 1 is clean) bands are learned too; the
+    texts are read once."""
     ship_package(docs.sparkSession)
     key = (piece_path, multi_path, multi_pattern)
     names = [c.split()[0] for c in _RESULT.split(", ")]
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _RESULT.split(", ")])
+    schema = pa.schema([*[(c.split()[0], kinds[c.split()[1]]) for c in _RESULT.split(", ")], ("_lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("fertility", _METERS.clear)
@@ -235,6 +266,21 @@ def judge(docs: DataFrame, piece_path: str, multi_path: str, multi_pattern: str,
                 failed = base_failed(m)
                 rows.append({"doc_id": i, "base_failed": failed, "kept": not failed and in_bands(m, bands), **m})
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in rows], schema.field(c).type) for c in names], schema=schema)
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _RESULT)
+                [*[pa.array([r[c] for r in rows], schema.field(c).type) for c in names], batch.column(2)], schema=schema)
+
+    of = F.lit("") if labels is None else F.coalesce(F.col(lang), F.lit(""))
+    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), of.cast("string").alias("_lang"))
+    found = found.mapInArrow(run, _RESULT + ", _lang string")
+    if labels is None:
+        return found.drop("_lang")
+    found = cut(found, "measured")
+    clean = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).filter("_quality = 1")
+    learned = cut(learned_bands(found.filter("not base_failed").join(clean, F.col("doc_id") == F.col("_id"), "left_semi")), "bands")
+    of_script = learned.filter("_of = ''").select(F.col("_script").alias("_s"), F.col("_bands").alias("_wide"))
+    rows = (found.join(F.broadcast(learned), (F.col("script") == F.col("_script")) & (F.col("_lang") == F.col("_of")), "left")
+            .join(F.broadcast(of_script), F.col("script") == F.col("_s"), "left"))
+    band = F.coalesce("_bands", "_wide")
+    inside = F.lit(True)
+    for k in MEASURES:
+        inside = inside & F.coalesce(F.col(k).between(band[k]["low"], band[k]["high"]), F.lit(True))
+    return rows.withColumn("kept", F.col("kept") & inside).select(*names)

@@ -31,7 +31,8 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return fertility.judge(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"),
-                           tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+                           tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
+                           labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
