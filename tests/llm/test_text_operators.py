@@ -320,6 +320,16 @@ def test_url_filter(spark):
     assert len(got) == len(urls)
 
 
+def test_url_filter_blocks_spam_words_behind_host_furniture(spark):
+    spam = ["blog.adult-x.example.net", "m.adult-x.example.net", "www.cheap-pills.example.org", "www.casinowin.example.org",
+            "spam-farm.example.org", "www.spamfarm.example.net", "m.ads-track.example.org", "adstrack.example.net"]
+    fine = ["www.farmshop.example.org", "m.school-music.example.net", "blog.example.org", "www.example.net"]
+    df = spark.createDataFrame([(i, f"http://{h}/a/index.html", "") for i, h in enumerate(spam + fine)],
+                               "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in url_filter.filter_urls(df).collect()}
+    assert [got[h] for h in spam] == ["block"] * len(spam) and [got[h] for h in fine] == ["allow"] * len(fine)
+
+
 def test_viterbi_takes_the_best_split():
     words = {"a": 0.1, "ab": 0.3, "abc": 0.05, "b": 0.2, "bc": 0.1, "c": 0.25}
     known = {(s, n): np.log(words["abc"[s:s + n]]) for s in range(3) for n in range(1, 4 - s)}
