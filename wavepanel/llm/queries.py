@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, fertility, langid, mixing, near_dup, packing, pii, secrets, token_counts, url_filter)
+from . import (collocations, exact_dedup, fertility, hard_negatives, langid, mixing, near_dup, packing, pii, secrets,
+               token_counts, url_filter)
 from .common import cut, documents
 
 
@@ -104,9 +105,23 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh label is noise."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    noisy = vectors.select("vec_id", "embedding", F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (label + 1) % 10)
+                           .otherwise(label).alias("label"))
+    return hard_negatives.mine(noisy, F.col("vec_id") % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of 2 to 5 words of every language."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_best_fit_packing, op3_fertility, op4_secrets, op5_exact_dedup, op6_pii, op7_language_id,
-    op8_mixing, op9_minhash_near_dedup, op10_token_rollups)}
+    op8_mixing, op9_minhash_near_dedup, op10_token_rollups, op11_hard_negatives, op12_collocations)}
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
@@ -155,4 +170,55 @@ ORACLE = {
         select d.doc_id, d.size, q.source_size, q.target,
                cast(d.size * (q.epochs + case when q.place <= q.quota then 1 else 0 end) as bigint) as taken
         from d join q on d.source is not distinct from q.source and d.block = q.block""",
+    "op11_hard_negatives": """
+        with v as (
+          select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as label,
+                 list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+          from embeddings
+          where label is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+        s as (
+          select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+                 cast(list_sum(list_transform(list_zip(a.q, c.q), lambda z: z[1] * z[2])) as bigint) as score
+          from v a join v c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id),
+        p as (
+          select anchor_id, vec_id as positive_id, score as positive_score from s where same
+          qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+        n as (
+          select p.*, s.vec_id as negative_id, s.score as negative_score,
+                 row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+          from p join s using (anchor_id)
+          where not s.same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score)
+        select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score
+        from n where rank <= 5""",
+    "op12_collocations": f"""
+        with d as (select coalesce(lang, 'und') as lang, {_ASCII_LOWER} as t, row_number() over () as d from documents),
+        p as (
+          select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w
+          from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) as piece from d)),
+        o as (select lang, w, unnest(range(1, len(w) + 1)) as i from p),
+        g as (select lang, w[i : i + k - 1] as ws from o, range(1, 6) r(k) where i + k - 1 <= len(w)),
+        f as (select lang, len(ws) as k, array_to_string(ws, ' ') as phrase, any_value(ws) as ws, count(*) as f
+              from g group by 1, 2, 3),
+        sizes as (select lang, sum(f) as n from f where k = 1 group by lang),
+        c as (select * from f where k > 1 and f >= 100),
+        around as (
+          select lang, phrase, max(f) as f from (
+            select lang, f, array_to_string(ws[1 : k - 1], ' ') as phrase from c
+            union all select lang, f, array_to_string(ws[2 : k], ' ') from c) group by 1, 2),
+        kept as (select c.* from c left join around a using (lang, phrase) where a.f is null or a.f < c.f),
+        cuts as (
+          select c.lang, c.phrase, c.f as a, j, array_to_string(c.ws[1 : j], ' ') as lp,
+                 array_to_string(c.ws[j + 1 : k], ' ') as rp
+          from kept c, range(1, 5) r(j) where j < k),
+        s as (
+          select x.lang, x.phrase, x.a, x.j, l.f as l, r.f as r, n.n,
+                 (1000 * cast(x.a as hugeint) * cast(n.n as hugeint)) // (cast(l.f as hugeint) * cast(r.f as hugeint)) as score
+          from cuts x join f l on l.lang = x.lang and l.phrase = x.lp join f r on r.lang = x.lang and r.phrase = x.rp
+          join sizes n on n.lang = x.lang),
+        best as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+        select lang, cast(row_number() over (partition by lang order by score desc, a desc, phrase) as bigint) as rank,
+               phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n,
+               cast(score as bigint) as score
+        from best qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000""",
 }
