@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (collocations, exact_dedup, fertility, hard_negatives, langid, mixing, near_dup, packing, pii, secrets,
+from . import (collocations, exact_dedup, fertility, gru_lm, hard_negatives, langid, mixing, near_dup, packing, pii, secrets,
                token_counts, url_filter)
 from .common import cut, documents
 
@@ -119,9 +119,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op13_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document; a seventh is held out of training."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return gru_lm.score(documents(spark, sf_dir), held_out)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_best_fit_packing, op3_fertility, op4_secrets, op5_exact_dedup, op6_pii, op7_language_id,
-    op8_mixing, op9_minhash_near_dedup, op10_token_rollups, op11_hard_negatives, op12_collocations)}
+    op8_mixing, op9_minhash_near_dedup, op10_token_rollups, op11_hard_negatives, op12_collocations,
+    op13_gru_lm)}
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
