@@ -1,4 +1,4 @@
-"""Readers and writers (B1, B7) and access to the driver's Parquet tables."""
+"""Readers and writers (B7) and access to the driver's Parquet tables."""
 
 from __future__ import annotations
 
@@ -10,12 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schema as S
+from .exports import csv_options, duplicate_keys, load_wide
+
+
+_SCHEMAS: dict[tuple[str, str], tuple[frozenset, StructType]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables (``<sf_dir>/<name>.parquet``), listed anew
-    at each call so that appended files are seen."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    at each call so that appended files are seen.  The schema, which costs a
+    job, is looked up again only when the set of files has changed."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    files, schema = _SCHEMAS.get((spark.sparkContext.applicationId, path), (None, None))
+    if schema is not None:
+        df = spark.read.schema(schema).parquet(path)
+        if frozenset(df.inputFiles()) == files:
+            return df
+    df = spark.read.parquet(path)
+    _SCHEMAS[spark.sparkContext.applicationId, path] = (frozenset(df.inputFiles()), df.schema)
+    return df
 
 
 def read_export_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
@@ -31,31 +44,13 @@ def read_export_csv(spark: SparkSession, path: str, columns: Sequence[str] | Non
     whose header differs from the columns asked for (or, without
     ``columns``, from each other) fail instead of swapping values.
     """
-    reader = spark.read.options(header=True, sep=sep, nullValue="", quote='"', escape='"', multiLine=True,
-                                enforceSchema=False, mode="FAILFAST", ignoreLeadingWhiteSpace=False,
-                                ignoreTrailingWhiteSpace=False)
+    reader = spark.read.options(**csv_options(sep), mode="FAILFAST")
     if columns is None:
         return reader.option("inferSchema", False).csv(path)
     schema = StructType([StructField(c, StringType(), True) for c in columns])
     return reader.schema(schema).csv(path)
 
 
-def load_wide(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
-    """B1: merge two exports of the same families (inner join on ``key``).
-
-    Columns present in both come from ``new``; ``old`` only contributes the
-    columns that vanished from the new export.  Families missing from either
-    export drop out, as in an inner join.
-    """
-    old_only = [c for c in old.columns if c == key or c not in set(new.columns)]
-    return new.join(old.select(*[F.col(f"`{c}`") for c in old_only]), key, "inner")
-
-
-def duplicate_keys(wide: DataFrame, key: str) -> DataFrame:
-    """Keys that occur more than once (a data check; aggregated, never collected)."""
-    return wide.groupBy(key).count().filter(F.col("count") > 1)
-
-
 def write_long(long: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist the tidy table as Parquet partitioned by question, so a
     question filter prunes whole directories, sorted by family inside each
@@ -73,7 +68,28 @@ def read_long(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Store ``df`` as table ``name`` in ``buckets`` buckets of ``key``,
+    sorted by it inside each, and return the table.
+
+    Aggregates and joins on the key then need no shuffle, also between tables
+    of the same number of buckets (``load_wide``, ``first_last_wave`` with
+    ``colocated``).  Choose the buckets for the data's size (some hundred MB
+    each); rows of one key share a bucket, so a key with a large share of the
+    rows is better stored by ``write_long``.  A file for each bucket, not for
+    each task and bucket: the rows are dealt by the key before the write.
+    """
+    writer = (df.repartition(buckets, F.col(f"`{key}`")).write.mode("overwrite").format("parquet")
+              .bucketBy(buckets, key).sortBy(key))
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_export_csv(wide: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A wide export as CSV with a header (empty cell = null), as analysts exchange it."""
     (wide.write.mode(mode).options(header=True, nullValue="", quote='"', escape='"', ignoreLeadingWhiteSpace=False,
                                    ignoreTrailingWhiteSpace=False).csv(path))
+
+
+__all__ = ["table", "read_export_csv", "load_wide", "duplicate_keys", "write_long", "read_long", "write_bucketed",
+           "write_export_csv"]

@@ -20,76 +20,64 @@ KEY = "id_family"
 TERRITORY = "territory"
 
 
-def _wave() -> F.Column:
-    years = F.floor((F.year("o_orderdate") - F.lit(1995)) / F.lit(2))
-    return F.least(F.lit(3), years).cast("int")
+def _per_wave(template: str) -> str:
+    """The template once per wave, comma-joined ({w}: the wave)."""
+    return ",\n       ".join(template.replace("{w}", str(w)) for w in WAVES)
+
+
+# One aggregate of the orders on the customer key gives everything the export
+# needs (one shuffle).  The latest order of a wave, by date then key, gives
+# its status and priority.
+_HAS = ",\n       ".join(f"bool_or(wave = {{w}} and o_orderstatus = '{s}' and o_totalprice > 250000) as has_{s}_{{w}}"
+                         for s in STATUSES)
+_PER_CUSTOMER = f"""
+select o_custkey as c_custkey,
+       {_per_wave("max(if(wave = {w}, struct(o_orderdate, o_orderkey, o_orderstatus, o_orderpriority), null)) as latest_{w}")},
+       {_per_wave("sum(if(wave = {w}, cast(o_totalprice as decimal(18,2)), null)) as income_{w}")},
+       {_per_wave(_HAS)},
+       count_if(wave = 0) as orders_0, bool_or(o_totalprice > 450000) as any_big,
+       bool_or(o_orderstatus = 'P' and o_orderpriority = '1-URGENT') as any_urgent_p,
+       bool_or(o_totalprice < 20000) as any_small
+from (select *, cast(least(3, floor((year(o_orderdate) - 1995) / 2)) as int) as wave from {{orders}})
+group by o_custkey"""
 
 
 def orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer with everything the export needs (one shuffle)."""
-    o = table(spark, sf_dir, "orders").select(
-        "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-        "o_orderpriority", _wave().alias("wave"))
-    aggs = []
-    for w in WAVES:
-        in_w = F.col("wave") == F.lit(w)
-        # latest order of the wave: max over (date, key) carries its status/priority
-        aggs.append(F.max(F.when(in_w, F.struct("o_orderdate", "o_orderkey", "o_orderstatus",
-                                                  "o_orderpriority"))).alias(f"latest_{w}"))
-        aggs.append(F.sum(F.when(in_w, F.col("o_totalprice").cast("decimal(18,2)"))).alias(f"income_{w}"))
-        for s in STATUSES:
-            aggs.append(F.bool_or(in_w & (F.col("o_orderstatus") == F.lit(s))
-                              & (F.col("o_totalprice") > F.lit(250000))).alias(f"has_{s}_{w}"))
-    aggs.append(F.count(F.when(F.col("wave") == F.lit(0), F.lit(1))).alias("orders_0"))
-    aggs.append(F.bool_or(F.col("o_totalprice") > F.lit(450000)).alias("any_big"))
-    aggs.append(F.bool_or((F.col("o_orderstatus") == F.lit("P"))
-                      & (F.col("o_orderpriority") == F.lit("1-URGENT"))).alias("any_urgent_p"))
-    aggs.append(F.bool_or(F.col("o_totalprice") < F.lit(20000)).alias("any_small"))
-    return o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(*aggs)
-
-
-def _sim_nao(flag: F.Column) -> F.Column:
-    return F.when(F.coalesce(flag, F.lit(False)), F.lit("sim")).otherwise(F.lit("nao"))
+    """One row per customer with everything the export needs."""
+    return spark.sql(_PER_CUSTOMER, orders=table(spark, sf_dir, "orders"))
+
+
+def _sim_nao(flag: str) -> str:
+    return f"if(coalesce({flag}, false), 'sim', 'nao')"
+
+
+_ITEMS = ", ".join(f"if(coalesce(has_{s}_{{w}}, false), '{s}', 'NA')" for s in STATUSES)
+# The cells by export column.  One SQL text builds the whole plan: a call to
+# the JVM for every expression took longer than the query.
+_EXPORT = f"""
+select cast(c.c_custkey as string) as {KEY}, n_name as {TERRITORY}, r_name as region, c_mktsegment as segment,
+       case when c.c_custkey % 17 = 0 then 'NA' when c.c_custkey % 13 = 0 then 'talvez'
+            else {_sim_nao("any_big")} end as flag_a,
+       if(c.c_custkey % 19 = 0, 'NA', {_sim_nao("any_urgent_p")}) as flag_b,
+       {_sim_nao("any_small")} as flag_c,
+       {_sim_nao("c_acctbal < 0")} as flag_d,
+       {_per_wave("coalesce(latest_{w}.o_orderstatus, 'NA') as Status_T{w}")},
+       {_per_wave("if((c.c_custkey * 7 + {w}) % 11 = 0, 'NA', coalesce(latest_{w}.o_orderpriority, 'NA')) as Priority_T{w}")},
+       {_per_wave("if(c.c_custkey % 31 = 0 and {w} >= 2, 'NA', coalesce(cast(income_{w} as string), 'NA')) as Income_T{w}")},
+       {_per_wave(f"case when c.c_custkey % 29 = 0 then null when c.c_custkey % 23 = 0 then 'NA' "
+                  f"else concat_ws(';', {_ITEMS}) end as Items_T{{w}}")},
+       if(orders_0 > 0, cast(orders_0 as string), 'NA') as HowMany_T0, 'noise' as Noise_T0, 'extra' as Extra
+from {{customer}} c
+left join {{per}} p on c.c_custkey = p.c_custkey
+left join {{nation}} on c_nationkey = n_nationkey
+left join {{region}} on n_regionkey = r_regionkey"""
 
 
 def panel_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide export: id_family, territory, region, segment, flag_a..flag_d,
     Status/Priority/Income/Items_T0..T3, HowMany_T0, and two unmapped columns."""
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    per = orders_per_customer(spark, sf_dir)
-    k = F.col("c_custkey")
-    w = (cust.join(per, "c_custkey", "left")
-         .join(nation, cust.c_nationkey == nation.n_nationkey, "left")
-         .join(region, nation.n_regionkey == region.r_regionkey, "left"))
-    cells = {
-        KEY: k.cast("string"),
-        TERRITORY: F.col("n_name"),
-        "region": F.col("r_name"),
-        "segment": F.col("c_mktsegment"),
-        "flag_a": F.when(k % 17 == 0, F.lit("NA")).when(k % 13 == 0, F.lit("talvez"))
-                   .otherwise(_sim_nao(F.col("any_big"))),
-        "flag_b": F.when(k % 19 == 0, F.lit("NA")).otherwise(_sim_nao(F.col("any_urgent_p"))),
-        "flag_c": _sim_nao(F.col("any_small")),
-        "flag_d": _sim_nao(F.col("c_acctbal") < F.lit(0)),
-    }
-    for wv in WAVES:
-        latest = F.col(f"latest_{wv}")
-        cells[f"Status_T{wv}"] = F.coalesce(latest.getField("o_orderstatus"), F.lit("NA"))
-        cells[f"Priority_T{wv}"] = F.when((k * 7 + wv) % 11 == 0, F.lit("NA")).otherwise(
-            F.coalesce(latest.getField("o_orderpriority"), F.lit("NA")))
-        cells[f"Income_T{wv}"] = F.when((k % 31 == 0) & F.lit(wv >= 2), F.lit("NA")).otherwise(
-            F.coalesce(F.col(f"income_{wv}").cast("string"), F.lit("NA")))
-        slots = [F.when(F.coalesce(F.col(f"has_{s}_{wv}"), F.lit(False)), F.lit(s)).otherwise(F.lit("NA"))
-                 for s in STATUSES]
-        cells[f"Items_T{wv}"] = (F.when(k % 29 == 0, F.lit(None).cast("string"))
-                                 .when(k % 23 == 0, F.lit("NA"))
-                                 .otherwise(F.concat_ws(";", *slots)))
-    cells["HowMany_T0"] = F.when(F.col("orders_0") > 0, F.col("orders_0").cast("string")).otherwise(F.lit("NA"))
-    cells["Noise_T0"] = F.lit("noise")
-    cells["Extra"] = F.lit("extra")
-    return w.select(*[v.alias(name) for name, v in cells.items()])
+    return spark.sql(_EXPORT, customer=table(spark, sf_dir, "customer"), per=orders_per_customer(spark, sf_dir),
+                     nation=table(spark, sf_dir, "nation"), region=table(spark, sf_dir, "region"))
 
 
 NEW_EXPORT_COLUMNS = [KEY, TERRITORY, "region", "segment"] + [f"Status_T{w}" for w in WAVES] \
