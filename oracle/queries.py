@@ -150,7 +150,8 @@ pc AS (SELECT inc.*, sz.household_size,
 PAIRS_INCOME = """,
 f AS (SELECT family, answer AS a FROM panel WHERE question = 'Income' AND time = 'FIRST'),
 l AS (SELECT family, answer AS b FROM panel WHERE question = 'Income' AND time = 'LAST'),
-ps AS (SELECT f.family, TRY_CAST(a AS DOUBLE) AS answer_first, TRY_CAST(b AS DOUBLE) AS answer_last
+ps AS (SELECT f.family, TRY_CAST(a AS DOUBLE) AS answer_first, TRY_CAST(b AS DOUBLE) AS answer_last,
+              CAST(1 AS BIGINT) AS n_first, CAST(CASE WHEN l.family IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_last
        FROM f LEFT JOIN l USING (family) WHERE a <> 'NA')"""
 
 BOTH_AB = ("CASE WHEN flag_a = 'Sim' AND flag_b = 'Sim' THEN 'Sim' "
@@ -170,6 +171,35 @@ fbf AS (SELECT * FROM fb WHERE level IS NOT NULL AND level <> 'NA')""" + freq(
         "fbf", extra=["flag", "level"], denom=["flag", "level"], multi="'Items'"))
 
 
+FILES = """WITH c AS (
+  SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS id, n_name AS territory, CAST(c_acctbal AS DECIMAL(18,2)) AS balance,
+         CASE WHEN c_custkey % 10 = 0 THEN ' NA' ELSE c_mktsegment END AS segment,
+         'Family "' || c_custkey || '", ' || chr(10) || ' second line' AS note
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)
+"""
+
+
+def _hist_by_group(bins: int, limit: float) -> str:
+    """Each group's bounds and bins, empty bins from a generated spine."""
+    return q(f""",
+v AS (SELECT time, flag_a, TRY_CAST(answer AS DOUBLE) AS v FROM panel
+      WHERE question = 'Income' AND TRY_CAST(answer AS DOUBLE) <= {limit}),
+b AS (SELECT time, flag_a, min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / CAST({bins} AS DOUBLE) AS w FROM v GROUP BY ALL),
+x AS (SELECT v.time, v.flag_a,
+             CASE WHEN w = 0 THEN 1 ELSE CAST(least(greatest(ceil((v - lo) / w), 1), {bins}) AS INTEGER) END AS bin
+      FROM v JOIN b ON b.time = v.time AND b.flag_a IS NOT DISTINCT FROM v.flag_a),
+cnt AS (SELECT time, flag_a, bin, count(*) AS c FROM x GROUP BY ALL),
+j AS (SELECT b.*, CAST(s.bin AS INTEGER) AS bin, coalesce(cnt.c, 0) AS count
+      FROM b CROSS JOIN generate_series(1, {bins}) s(bin)
+      LEFT JOIN cnt ON cnt.time = b.time AND cnt.flag_a IS NOT DISTINCT FROM b.flag_a AND cnt.bin = s.bin),
+r AS (SELECT *, sum(count) OVER (PARTITION BY time, flag_a ORDER BY bin) AS run,
+             sum(count) OVER (PARTITION BY time, flag_a) AS total FROM j)
+SELECT time, flag_a, bin, {r6(f"CASE WHEN bin = {bins} THEN hi ELSE lo + bin * w END")} AS breakpoint,
+       CAST(count AS BIGINT) AS count, {r6(pct('count', 'total'))} AS percentage, CAST(run AS BIGINT) AS cum_count,
+       {r6(pct('run', 'total'))} AS cum_pct
+FROM r""")
+
+
 def _transitions(question: str, order: str, recode: bool, dim: str | None) -> str:
     ans = RECODE_V0 if recode else "answer"
     seg = ("CASE WHEN segment IN ('HOUSEHOLD', 'BUILDING', 'FURNITURE') THEN 'HOME' ELSE 'INDUSTRY' END"
@@ -191,9 +221,55 @@ SELECT m.*, {r6(pct('n', f'sum(n) OVER (PARTITION BY question{dgrp}, first_answe
 
 ORACLE = {
     "load_wide_join": _load_wide(),
-    "duplicate_keys": """
-SELECT CAST(c_custkey AS VARCHAR) AS id_family, count(*) AS count FROM customer
-GROUP BY c_custkey HAVING count(*) > 1""",
+    "load_wide_files": FILES + """
+SELECT id AS id_family, territory, segment, note AS note_T0, CASE WHEN k % 2 = 0 THEN '+55 ' || id END AS phone_T0,
+       CAST(balance AS VARCHAR) AS balance_T0
+FROM c WHERE k % 23 <> 0""",
+    "bad_records": FILES + """
+SELECT 'few ' || id || ',x' AS record FROM c WHERE k % 41 = 0
+UNION ALL SELECT 'many ' || id || ',x,x,x,x,x,x' FROM c WHERE k % 43 = 0""",
+    "export_key_report": FILES + """
+SELECT CAST(count(*) + count(*) FILTER (WHERE k % 37 = 0) AS BIGINT) AS n_rows, count(*) AS n_keys,
+       count(*) FILTER (WHERE k % 37 = 0) AS n_duplicate_keys, count(*) FILTER (WHERE k % 74 = 0) AS n_conflicting_keys
+FROM c""",
+    "duplicate_keys": FILES + "SELECT id AS id_family, CAST(2 AS BIGINT) AS count FROM c WHERE k % 37 = 0",
+    "comma_answers": q("SELECT * FROM lx"),
+    "first_last_wave_colocated": q("SELECT * FROM periods"),
+    "incremental_panel": q("SELECT * FROM panel"),
+    "transition_flows": q(f""",
+f AS (SELECT DISTINCT family, question, answer AS first_answer FROM panel
+      WHERE question = 'Items' AND time = 'FIRST' AND answer IN ('NA', '{NONE_LABEL}', 'F', 'O', 'P')),
+l AS (SELECT DISTINCT family, question, answer AS last_answer FROM panel
+      WHERE question = 'Items' AND time = 'LAST' AND answer IN ('NA', '{NONE_LABEL}', 'F', 'O', 'P')),
+m AS (SELECT question, first_answer, last_answer, count(*) AS n FROM f JOIN l USING (family, question) GROUP BY ALL)
+SELECT m.*, {r6(pct('n', 'sum(n) OVER (PARTITION BY question, first_answer)'))} AS row_pct FROM m"""),
+    "transitions_excluding": q(f""",
+g AS (SELECT family, question, time, {RECODE_V0} AS answer,
+             CASE flag_a WHEN 'Sim' THEN 'yes' WHEN 'Não' THEN 'no' ELSE 'open' END AS flag_a
+      FROM panel WHERE question = 'Priority'),
+k AS (SELECT * FROM g WHERE flag_a <> 'no'),
+m AS (SELECT f.question, f.flag_a, f.answer AS first_answer, l.answer AS last_answer, count(*) AS n
+      FROM k f JOIN k l ON l.family = f.family AND f.time = 'FIRST' AND l.time = 'LAST'
+      WHERE l.answer IN ('NA', 'LOW', 'MEDIUM', 'HIGH') GROUP BY ALL)
+SELECT m.*, {r6(pct('n', 'sum(n) OVER (PARTITION BY question, flag_a, first_answer)'))} AS row_pct,
+       CAST(0 AS BIGINT) AS n_conflicts FROM m"""),
+    "paired_scores_conflicts": f"""
+WITH o AS (SELECT o_custkey AS family, year(o_orderdate) AS y, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders
+           WHERE year(o_orderdate) IN (1995, 1998))
+SELECT family, {r6("CAST(min(v) FILTER (WHERE y = 1995) AS DOUBLE)")} AS answer_first,
+       {r6("CAST(min(v) FILTER (WHERE y = 1998) AS DOUBLE)")} AS answer_last,
+       count(*) FILTER (WHERE y = 1995) AS n_first, count(*) FILTER (WHERE y = 1998) AS n_last
+FROM o GROUP BY family HAVING count(*) FILTER (WHERE y = 1995) > 0""",
+    "hist_income_by_wave_flag": _hist_by_group(8, 900000.0),
+    "hist_income_fixed_by_wave": q("""
+SELECT time, flag_a, floor(v / 100000) * 100000.0 AS bin_start, (floor(v / 100000) + 1) * 100000.0 AS bin_end, count(*) AS count
+FROM (SELECT time, flag_a, TRY_CAST(answer AS DOUBLE) AS v FROM panel WHERE question = 'Income')
+WHERE v >= 0 AND v < 1000000 GROUP BY ALL"""),
+    "frequency_in_category_order": q(f""",
+r AS (SELECT time, question, {RECODE_V0} AS answer FROM panel WHERE question IN ('Priority', 'Status')),
+ord(question, answer, rank) AS (VALUES {ORDER_V0})
+SELECT r.question, r.time, r.answer, CAST(o.rank AS INTEGER) AS rank, count(*) AS n
+FROM r LEFT JOIN ord o ON o.question = r.question AND o.answer = r.answer GROUP BY ALL"""),
     "to_long": q("SELECT * FROM cells"),
     "profile_map": q("SELECT family AS id_family, flag_a, flag_b, flag_c, flag_d FROM fam"),
     "normalize_values": q("""
@@ -276,11 +352,12 @@ FROM res"""),
     "transition_matrix": _transitions("Status", "'NA', 'F', 'O', 'P'", False, None),
     "transitions_by_group": _transitions("Priority", "'NA', 'LOW', 'MEDIUM', 'HIGH'", True, "segment"),
     "paired_scores": q(PAIRS_INCOME + f"""
-SELECT family, {r6('answer_first')} AS answer_first, {r6('answer_last')} AS answer_last FROM ps"""),
+SELECT family, {r6('answer_first')} AS answer_first, {r6('answer_last')} AS answer_last, n_first, n_last FROM ps"""),
     "paired_scores_summary": q(PAIRS_INCOME + f"""
 SELECT count(*) AS n, {r6('avg(answer_first)')} AS mean_first, {r6('avg(answer_last)')} AS mean_last,
        {r6('avg(CASE WHEN answer_first IS NOT NULL AND answer_last IS NOT NULL THEN answer_last - answer_first END)')} AS mean_delta,
-       CAST(sum(CASE WHEN answer_first IS NOT NULL AND answer_last IS NOT NULL THEN 0 ELSE 1 END) AS BIGINT) AS n_invalid
+       CAST(sum(CASE WHEN answer_first IS NOT NULL AND answer_last IS NOT NULL THEN 0 ELSE 1 END) AS BIGINT) AS n_invalid,
+       count(*) FILTER (WHERE n_first > 1 OR n_last > 1) AS n_conflicts
 FROM ps"""),
     "cramers_v_pair": "SELECT * FROM " + cramers_sql("lineitem", "l_returnflag", "l_linestatus",
                                                      "l_returnflag", "l_linestatus"),
@@ -292,20 +369,21 @@ WHERE l_returnflag IS NOT NULL AND l_returnflag <> 'NA' AND l_linestatus IS NOT
 GROUP BY l_returnflag""",
     "association_matrix": _association(),
     "association_flags": _association_flags(),
-    "profile_conflicts": q("""
-SELECT family, count(DISTINCT (segment, flag_a, flag_b, flag_c, flag_d)) AS n_profiles FROM lx
-GROUP BY family HAVING count(DISTINCT (segment, flag_a, flag_b, flag_c, flag_d)) > 1"""),
+    "profile_conflicts": FILES + "SELECT id AS id_family, CAST(2 AS BIGINT) AS n_profiles FROM c WHERE k % 74 = 0",
     "hist_equal_width": _hist_equal_width(10),
     "hist_fixed_width": _hist_fixed("events", "value", 50.0, 0.0, 500.0, ["event_type"]),
     "hist_fixed_width_orders": _hist_fixed("orders", "o_totalprice", 50000.0, 0.0, 500000.0, []),
     "income_per_capita": q(PER_CAPITA + f"""
+SELECT family, time, flag_a, flag_b, flag_c, flag_d, {r6('income')} AS income,
+       {r6('household_size')} AS household_size, {r6('per_capita')} AS per_capita FROM pc"""),
+    "income_per_capita_from_long": q(PER_CAPITA + f"""
 SELECT family, time, flag_a, flag_b, flag_c, flag_d, {r6('income')} AS income,
        {r6('household_size')} AS household_size, {r6('per_capita')} AS per_capita FROM pc"""),
     "composite_flags": q(f"SELECT family AS id_family, flag_a, flag_b, {BOTH_AB} AS both_ab FROM fam"),
     "group_describe": describe_sql("orders", "o_totalprice", ["o_orderpriority"]),
     "income_describe": q(PER_CAPITA + f""",
 pcb AS (SELECT *, {BOTH_AB} AS both_ab FROM pc)
-SELECT * FROM (""" + describe_sql("(SELECT * FROM pcb WHERE both_ab IS NOT NULL)", "per_capita",
+SELECT * FROM (""" + describe_sql("pcb", "per_capita",
                                   ["time", "both_ab"]) + ")"),
     "frequency_by_flag": _frequency_by_flag(),
     "descriptive_table": q(f""",

@@ -62,14 +62,21 @@ def _sql_ref(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def lookup(c: str | Column, mapping: Mapping[str, str]) -> Column:
+def sql_text(value: str | int | None) -> str:
+    """A string or whole number as a SQL literal."""
+    if value is None:
+        return "null"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lookup(c: str | Column, mapping: Mapping[str, str | int]) -> Column:
     """Value of ``c`` looked up in a small literal dictionary; unmapped -> null."""
     if not mapping:
         return F.lit(None).cast("string")
-    pairs = []
-    for k, v in mapping.items():
-        pairs += [F.lit(k), F.lit(v)]
-    return F.try_element_at(F.create_map(*pairs), col(c))
+    pairs = ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in mapping.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), col(c))
 
 
 def replace_values(c: str | Column, mapping: Mapping[str, str]) -> Column:

@@ -26,7 +26,8 @@ def family_waves(long: DataFrame, anchor: str, min_gap: int = MIN_GAP, na: str =
             .filter(F.col(S.TIME_LAST) - F.col(S.TIME_FIRST) >= F.lit(min_gap)))
 
 
-def first_last_wave(long: DataFrame, anchor: str, min_gap: int = MIN_GAP, na: str = NA) -> DataFrame:
+def first_last_wave(long: DataFrame, anchor: str, min_gap: int = MIN_GAP, na: str = NA,
+                    colocated: bool = False) -> DataFrame:
     """Long rows of the kept families, with ``time_first``/``time_last``.
 
     The per-family bounds are small next to the long table: AQE broadcasts
@@ -39,11 +40,23 @@ def first_last_wave(long: DataFrame, anchor: str, min_gap: int = MIN_GAP, na: st
     are equal, but not the aggregate's key - and both sides are shuffled on
     it (the bounds side is one row per family), which lets AQE split the
     hot family's rows over several tasks and replicate its single bounds row.
+
+    ``colocated``: the long table is stored in buckets of the family
+    (``write_bucketed``); aggregate and join then read each bucket where it
+    lies, without any shuffle.
     """
+    bounds = family_waves(long, anchor, min_gap, na)
+    if colocated:
+        return long.join(bounds.hint("merge"), S.FAMILY, "inner")
+    return join_bounds(long, bounds)
+
+
+def join_bounds(long: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Long rows of the families in ``bounds`` (family, time_first, time_last),
+    joined on a key that AQE can split, see ``first_last_wave``."""
     key = "_family_key"
     joined_on = F.concat(F.col(S.FAMILY).cast("string"), F.lit("\u0000"))
-    bounds = family_waves(long, anchor, min_gap, na).select(
-        joined_on.alias(key), S.TIME_FIRST, S.TIME_LAST)
+    bounds = bounds.select(joined_on.alias(key), S.TIME_FIRST, S.TIME_LAST)
     return long.withColumn(key, joined_on).join(bounds, key, "inner").drop(key)
 
 

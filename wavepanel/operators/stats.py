@@ -18,7 +18,7 @@ from ..functions.answers import as_number, is_answered, percent, replace_values
 from ..plans.survey import MAYBE_AS_YES, NA
 from ..plans.lineage import cut_lineage
 from ..plans.dictionaries import small_frame
-from .quantiles import INTERPOLATIONS, brackets, from_brackets, number, same_group
+from .quantiles import INTERPOLATIONS, brackets, from_brackets, narrowed, number, same_group
 
 
 def _v_from_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -77,6 +77,35 @@ def contingency_table(df: DataFrame, row: str, col: str, values: Sequence[str] |
     return table.fillna(0, subset=counts)
 
 
+def contingency_lines(df: DataFrame, row: str, col: str, na: str = NA, sep: str = ",") -> tuple[str, DataFrame]:
+    """The contingency table as text for a file: (header, lines (row, line)),
+    with any number of categories of ``col``.
+
+    Spark's pivot makes a column, an expression and a slot in every aggregate
+    for each category and stops at ``spark.sql.pivotMaxValues``.  Here the
+    first pass finds the categories (the header, in their sort order, is the
+    only thing the driver holds); the second counts cells, sorts the cells
+    of a row by their category's place and writes the zeros between two
+    cells as one piece.  Rows with null/'NA' in either column are ignored.
+    """
+    r, c = F.col(row).cast("string"), F.col(col).cast("string")
+    cells = (df.filter(is_answered(r, na) & is_answered(c, na)).groupBy(r.alias("row"), c.alias("cat"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    cells = cut_lineage(cells)
+    cats = [x.cat for x in cells.select("cat").distinct().orderBy("cat").collect()]
+    places = small_frame(df.sparkSession, [(x, i) for i, x in enumerate(cats)], "cat string, place int")
+    of_row = (cells.join(places, "cat").groupBy("row")
+              .agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("cells")))
+    zeros = lambda k: F.repeat(F.lit(f"{sep}0"), k)
+    before = lambda i: F.when(i > 0, F.get("cells", i - 1)["place"]).otherwise(F.lit(-1))
+    pieces = F.transform("cells", lambda x, i: F.concat(zeros(x["place"] - before(i) - 1), F.lit(sep), x["n"].cast("string")))
+    rest = zeros(F.lit(len(cats) - 1) - F.element_at("cells", -1)["place"])
+    cell = lambda text: F.when(F.rlike(text, F.lit(f'["\\n{sep}]')), F.concat(
+        F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+    quoted = ['"' + x.replace('"', '""') + '"' if any(ch in x for ch in ('"', "\n", sep)) else x for x in [row, *cats]]
+    return sep.join(quoted), of_row.select("row", F.concat(cell(F.col("row")), F.array_join(pieces, ""), rest).alias("line"))
+
+
 def association_matrix(df: DataFrame, cols: Sequence[str], key: str,
                        recode: Mapping[str, str] | None = MAYBE_AS_YES, na: str = NA) -> DataFrame:
     """Cramér's V for every ordered pair of ``cols`` (1.0 on the diagonal).
@@ -111,33 +140,42 @@ def association_matrix(df: DataFrame, cols: Sequence[str], key: str,
 
 
 def histogram_equal_width(df: DataFrame, value: str | F.Column, bins: int = 10,
-                          upper_limit: float | None = None) -> DataFrame:
-    """``bins`` equal-width bins between the minimum and maximum.
+                          upper_limit: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``bins`` equal-width bins between the minimum and maximum, of all
+    values or (``by``) of each group with its own bounds.
 
     A value v falls in bin clamp(ceil((v - min) / w), 1, bins): right edges
     closed, the minimum joins the first bin, min = max puts all in bin 1.
-    Empty bins are listed.  Columns: bin, breakpoint (right edge), count,
-    percentage, cum_count, cum_pct.
+    Values above ``upper_limit`` are left out before the bounds are taken.
+    Empty bins are listed, for every group that has a value; a null group is
+    a group.  Columns: by..., bin, breakpoint (right edge), count, percentage,
+    cum_count, cum_pct (percentages of the group).
+
+    The bounds are one row per group, joined back to the values (broadcast
+    where they are few); counts collapse in the tasks, so a group that holds
+    most of the rows is ``bins`` rows from each.
     """
-    v = (as_number(value) if isinstance(value, str) else value.cast("double")).alias("v")
-    vals = df.select(v).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    by = list(by)
+    v = (as_number(value) if isinstance(value, str) else value.cast("double")).alias("_v")
+    vals = df.select(*by, v).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if upper_limit is not None:
-        vals = vals.filter(F.col("v") <= F.lit(float(upper_limit)))
-    bounds = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
-    width = (hi - lo) / F.lit(float(bins))
+        vals = vals.filter(F.col("_v") <= F.lit(float(upper_limit)))
+    bounds = vals.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if by:
+        rows = same_group(vals, bounds, by)
+    else:  # one row of bounds: scalar subqueries, no join
+        rows = vals.withColumns({c: bounds.select(c).scalar() for c in ("_lo", "_hi")})
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(width == 0, F.lit(1)).otherwise(
-        F.least(F.greatest(F.ceil((F.col("v") - lo) / width), F.lit(1)), F.lit(bins))).cast("int")
-    counts = vals.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    spine = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    out = (spine.join(counts, "bin", "left")
-           .withColumn("count", F.coalesce(F.col("count"), F.lit(0).cast("long"))))
-    total = F.sum("count").over(Window.partitionBy())
-    run = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = F.when(F.col("bin") == F.lit(bins), hi).otherwise(lo + F.col("bin") * width)
+        F.least(F.greatest(F.ceil((F.col("_v") - F.col("_lo")) / width), F.lit(1)), F.lit(bins))).cast("int")
+    counts = rows.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    spine = bounds.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    out = same_group(spine, counts, [*by, "bin"], "left").withColumn("count", F.coalesce(F.col("count"), F.lit(0).cast("long")))
+    total = F.sum("count").over(Window.partitionBy(*by))
+    run = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = F.when(F.col("bin") == F.lit(bins), F.col("_hi")).otherwise(F.col("_lo") + F.col("bin") * width)
     return out.select(
-        "bin", edge.alias("breakpoint"), "count",
+        *by, "bin", edge.alias("breakpoint"), "count",
         percent(F.col("count"), total).alias("percentage"),
         F.sum("count").over(run).alias("cum_count"),
         percent(F.sum("count").over(run), total).alias("cum_pct"))
@@ -175,6 +213,17 @@ def income_per_capita(long: DataFrame, panel: DataFrame, income_q: str, size_q:
             .withColumn("per_capita", F.try_divide(F.col("income"), F.col("household_size"))))
 
 
+def income_per_capita_of_rows(panel: DataFrame, income_q: str, size: str, keep: Sequence[str] = (),
+                              na: str = NA) -> DataFrame:
+    """B23 where the household size is a column of the panel rows (an id
+    carried along from the export): the same result without a second scan or
+    a join."""
+    return (panel.filter((F.col(S.QUESTION) == F.lit(income_q)) & (F.col(S.ANSWER) != F.lit(na)) & is_answered(size, na))
+            .select(S.FAMILY, S.TIME, *keep, as_number(F.col(S.ANSWER)).alias("income"),
+                    as_number(F.col(f"`{size}`")).alias("household_size"))
+            .withColumn("per_capita", F.try_divide(F.col("income"), F.col("household_size"))))
+
+
 STATISTICS = ["count", "null_count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
@@ -200,7 +249,7 @@ def group_describe(df: DataFrame, value: str, by: Sequence[str] = (), materializ
         F.sum(F.when(x.isNull(), F.lit(1)).otherwise(F.lit(0))).cast("double").alias("null_count"),
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         *brackets(x, probs)))
-    q = from_brackets(vals, base, by, probs, interpolation)
+    q = from_brackets(vals, narrowed(vals, base.select(*by, "_n", "_s"), by, probs), by, probs, interpolation)
     every = base.select(*by, F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
     qlong = same_group(every, q, [*by, "p"], "left").select(
         *by, F.concat(F.format_number(F.col("p") * 100, 0), F.lit("%")).alias("statistic"), F.col("q").alias("value"))

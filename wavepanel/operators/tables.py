@@ -52,10 +52,12 @@ def frequency_table(panel: DataFrame, questions: Sequence[str] | None = None,
         df = answer_order(df, order, keep_unknown=False)
     extra = list(by) + ([compare_by] if compare_by else [])
     keys = [S.QUESTION, VARIANT, S.TIME] + extra + [S.ANSWER]
-    aggs = [(F.sum(weight) if weight else F.count(F.lit(1))).alias("n")]
-    if family_share:
-        aggs.append(F.countDistinct(S.FAMILY).alias("n_families"))
-    counts = df.groupBy(*keys).agg(*aggs)
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    if family_share:  # a row per family and answer, read by both aggregates through one shuffle
+        df = df.groupBy(*keys, S.FAMILY).agg(n.alias("_n"))
+        counts = df.groupBy(*keys).agg(F.sum("_n").alias("n"), F.count(S.FAMILY).alias("n_families"))
+    else:
+        counts = df.groupBy(*keys).agg(n.alias("n"))
     answered = F.col(S.ANSWER) != F.lit(na)
     group = [S.QUESTION, VARIANT, *denominator]
     totals = counts.groupBy(*group).agg(F.sum("n").alias("_total"),

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from .. import schema as S
+from ..operators import incremental
 from ..operators import panel as P
 from ..operators import recode as R
 from ..operators import reshape as X
@@ -23,9 +25,10 @@ from ..operators import stats as ST
 from ..operators import tables as T
 from ..operators import transitions as TR
 from ..session import checkpoint_dir
-from ..sources import readers, tpch_panel
+from ..sources import customer_files, exports, readers, tpch_panel
 from . import fixture as fx
-from .pipeline import _cells, panel_from_long, periods_from_long
+from .lineage import cut_lineage, delete_at_exit
+from .pipeline import _cells, long_table, panel_from_export, panel_from_long, periods_from_long
 
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -39,6 +42,27 @@ def q_load_wide_join(spark: SparkSession, sf: str) -> DataFrame:
     return readers.load_wide(new, old, tpch_panel.KEY)
 
 
+def _new_export(spark, sf):
+    return exports.read_exports(spark, os.path.join(customer_files.write_exports(spark, sf), "new"), mode="PERMISSIVE")
+
+
+def q_load_wide_files(spark, sf):
+    """Two exports as CSV files, their headers reconciled, malformed records
+    split off, duplicate families reported, merged."""
+    path = customer_files.write_exports(spark, sf)
+    new = exports.read_exports(spark, os.path.join(path, "new"), mode="PERMISSIVE")
+    old = exports.read_exports(spark, os.path.join(path, "old"))
+    return exports.load_wide(new.rows, old.rows, customer_files.KEY, on_duplicates="report")
+
+
+def q_bad_records(spark, sf):
+    return _new_export(spark, sf).bad.select("record")
+
+
+def q_export_key_report(spark, sf):
+    return exports.key_report(_new_export(spark, sf).rows, customer_files.KEY)
+
+
 def q_to_long(spark, sf):
     return _cells(fx.export(spark, sf), fx.SPEC)
 
@@ -58,6 +82,13 @@ def q_explode_assertions(spark, sf):
     return fx.long(spark, sf)
 
 
+def q_comma_answers(spark, sf):
+    """An export whose item lists are separated by commas, to the same long table."""
+    wide = fx.export(spark, sf).withColumns({c: F.replace(F.col(c), F.lit(";"), F.lit(","))
+                                             for c in (f"Items_T{w}" for w in tpch_panel.WAVES)})
+    return long_table(wide, replace(fx.SPEC, sep_questions=["Items"]))
+
+
 def q_long_parquet_roundtrip(spark, sf):
     path = os.path.join(checkpoint_dir(spark), f"long-{uuid.uuid4().hex}")
     readers.write_long(fx.long(spark, sf), path)
@@ -79,6 +110,25 @@ def q_first_last_wave(spark, sf):
     return periods_from_long(fx.long(spark, sf), fx.SPEC)
 
 
+def q_first_last_wave_colocated(spark, sf):
+    """The long table stored in buckets of the family; no shuffle after that."""
+    path = os.path.join(checkpoint_dir(spark), f"long-buckets-{uuid.uuid4().hex}")
+    delete_at_exit(spark, path)
+    long = readers.write_bucketed(fx.long(spark, sf), f"long_{uuid.uuid4().hex}", S.FAMILY, 8, path)
+    return P.first_last_wave(long, fx.SPEC.anchor, colocated=True)
+
+
+def q_incremental_panel(spark, sf):
+    """The panel after four loads, a wave each, the last one delivered twice."""
+    path = os.path.join(checkpoint_dir(spark), f"panel-{uuid.uuid4().hex}")
+    delete_at_exit(spark, path)
+    long = cut_lineage(fx.long(spark, sf))
+    store = incremental.PanelStore(spark, path, fx.SPEC.anchor)
+    for wave in (*tpch_panel.WAVES, tpch_panel.WAVES[-1]):
+        store.load(f"wave-{wave}", long.filter(F.col(S.TIME) == wave))
+    return store.panel()
+
+
 def q_periods_from_export(spark, sf):
     return fx.periods(spark, sf)
 
@@ -142,6 +192,17 @@ def q_transition_matrix(spark, sf):
     return finish(TR.transition_matrix(pairs))
 
 
+def q_transition_flows(spark, sf):
+    return finish(TR.transition_flows(fx.panel(spark, sf, ["Items"]), ["Items"], order=fx.order(spark)))
+
+
+def q_transitions_excluding(spark, sf):
+    """Collapsed with the missing values in 'other', and one group left out."""
+    return finish(TR.grouped_transitions(
+        fx.panel(spark, sf, ["Priority"]), "Priority", "flag_a", recode=fx.recode(spark), order=fx.order(spark),
+        groups={"yes": ["Sim"], "no": ["Não"]}, other="open", exclude=["no"], keep_missing=False))
+
+
 def q_transitions_by_group(spark, sf):
     return finish(TR.grouped_transitions(
         fx.panel(spark, sf, ["Priority"]), "Priority", "segment", recode=fx.recode(spark), order=fx.order(spark),
@@ -156,6 +217,16 @@ def q_paired_scores_summary(spark, sf):
     return finish(TR.paired_scores_summary(TR.paired_scores(fx.panel(spark, sf, ["Income"]), "Income")))
 
 
+def q_paired_scores_conflicts(spark, sf):
+    """Order values of a customer's 1995 and 1998: several answers at a wave."""
+    year = F.year("o_orderdate")
+    orders = readers.table(spark, sf, "orders").filter(year.isin(1995, 1998)).select(
+        F.col("o_custkey").alias(S.FAMILY), F.lit("value").alias(S.QUESTION),
+        F.when(year == 1995, S.FIRST).otherwise(S.LAST).alias(S.TIME),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias(S.ANSWER))
+    return finish(TR.paired_scores(orders, "value"))
+
+
 def q_cramers_v_pair(spark, sf):
     return finish(ST.cramers_v(readers.table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus"))
 
@@ -189,8 +260,26 @@ def q_hist_fixed_width_orders(spark, sf):
                                            width=50000, start=0, end=500000))
 
 
+def q_hist_income_by_wave_flag(spark, sf):
+    return finish(ST.histogram_equal_width(fx.panel(spark, sf, ["Income"]), S.ANSWER, bins=8, upper_limit=900000.0,
+                                           by=[S.TIME, "flag_a"]))
+
+
+def q_hist_income_fixed_by_wave(spark, sf):
+    return finish(ST.histogram_fixed_width(fx.panel(spark, sf, ["Income"]), S.ANSWER, width=100000, start=0, end=1000000,
+                                           by=[S.TIME, "flag_a"]))
+
+
 def per_capita(spark, sf):
-    return ST.income_per_capita(fx.long(spark, sf, ["HowMany"]), fx.panel(spark, sf, ["Income"]), "Income", "HowMany", keep=fx.FLAGS)
+    """The size stands in the same export row as the incomes: no join."""
+    spec = replace(fx.SPEC, ids=[*fx.SPEC.ids, "HowMany_T0"])
+    panel = panel_from_export(fx.export(spark, sf), spec, ["Income"])
+    return ST.income_per_capita_of_rows(panel, "Income", "HowMany_T0", keep=fx.FLAGS)
+
+
+def q_income_per_capita_from_long(spark, sf):
+    return finish(ST.income_per_capita(fx.long(spark, sf, ["HowMany"]), fx.panel(spark, sf, ["Income"]), "Income", "HowMany",
+                                       keep=fx.FLAGS))
 
 
 def q_income_per_capita(spark, sf):
@@ -208,8 +297,7 @@ def q_group_describe(spark, sf):
 
 def q_income_describe(spark, sf):
     df = R.composite_flags(per_capita(spark, sf), "both_ab", "flag_a", "flag_b")
-    return finish(ST.group_describe(df.filter(F.col("both_ab").isNotNull()), "per_capita",
-                                    by=[S.TIME, "both_ab"], materialize=True))
+    return finish(ST.group_describe(df, "per_capita", by=[S.TIME, "both_ab"], materialize=True))
 
 
 def q_frequency_by_flag(spark, sf):
@@ -240,7 +328,16 @@ def q_find_values(spark, sf):
 
 
 def q_find_columns(spark, sf):
-    return R.find_values(fx.long(spark, sf), S.ORIGINAL_COLUMN, "_T0")
+    """Only the columns whose names hold the term are read and unpivoted."""
+    named = replace(fx.SPEC, column_map=[c for c in fx.SPEC.column_map if "_T0" in c.original_column])
+    return R.find_values(long_table(fx.export(spark, sf), named), S.ORIGINAL_COLUMN, "_T0")
+
+
+def q_frequency_in_category_order(spark, sf):
+    """Counts with each answer's rank in its question's declared order."""
+    table = T.frequency_table(fx.panel(spark, sf, ["Priority", "Status"]), recode=fx.recode(spark),
+                              multi_questions=fx.MULTI_QUESTIONS)
+    return R.answer_order(table, fx.order(spark)).select(S.QUESTION, S.TIME, S.ANSWER, R.RANK, "n")
 
 
 def q_unrecoded_report(spark, sf):
@@ -270,25 +367,31 @@ def q_association_flags(spark, sf):
 
 
 def q_duplicate_keys(spark, sf):
-    return readers.duplicate_keys(fx.export(spark, sf), tpch_panel.KEY)
+    return exports.duplicate_keys(_new_export(spark, sf).rows, customer_files.KEY)
 
 
 def q_profile_conflicts(spark, sf):
-    return P.profile_conflicts(fx.long(spark, sf), S.FAMILY, ["segment", *fx.FLAGS])
+    return P.profile_conflicts(_new_export(spark, sf).rows, customer_files.KEY, ["segment"])
 
 
 QUERIES = {
     "load_wide_join": q_load_wide_join,
+    "load_wide_files": q_load_wide_files,
+    "bad_records": q_bad_records,
+    "export_key_report": q_export_key_report,
     "duplicate_keys": q_duplicate_keys,
     "to_long": q_to_long,
     "profile_map": q_profile_map,
     "normalize_values": q_normalize_values,
     "explode_assertions": q_explode_assertions,
+    "comma_answers": q_comma_answers,
     "long_parquet_roundtrip": q_long_parquet_roundtrip,
     "csv_export_roundtrip": q_csv_export_roundtrip,
     "recode_answers": q_recode_answers,
     "ordered_answers": q_ordered_answers,
     "first_last_wave": q_first_last_wave,
+    "first_last_wave_colocated": q_first_last_wave_colocated,
+    "incremental_panel": q_incremental_panel,
     "periods_from_export": q_periods_from_export,
     "panel_rows": q_panel_rows,
     "panel_from_long": q_panel_from_long,
@@ -303,9 +406,12 @@ QUERIES = {
     "frequency_lineitem_flags": q_frequency_lineitem_flags,
     "missing_table": q_missing_table,
     "transition_matrix": q_transition_matrix,
+    "transition_flows": q_transition_flows,
+    "transitions_excluding": q_transitions_excluding,
     "transitions_by_group": q_transitions_by_group,
     "paired_scores": q_paired_scores,
     "paired_scores_summary": q_paired_scores_summary,
+    "paired_scores_conflicts": q_paired_scores_conflicts,
     "cramers_v_pair": q_cramers_v_pair,
     "contingency_table": q_contingency_table,
     "association_matrix": q_association_matrix,
@@ -314,6 +420,9 @@ QUERIES = {
     "hist_equal_width": q_hist_equal_width,
     "hist_fixed_width": q_hist_fixed_width,
     "hist_fixed_width_orders": q_hist_fixed_width_orders,
+    "hist_income_by_wave_flag": q_hist_income_by_wave_flag,
+    "hist_income_fixed_by_wave": q_hist_income_fixed_by_wave,
+    "income_per_capita_from_long": q_income_per_capita_from_long,
     "income_per_capita": q_income_per_capita,
     "composite_flags": q_composite_flags,
     "group_describe": q_group_describe,
@@ -325,21 +434,28 @@ QUERIES = {
     "assertion_counts": q_assertion_counts,
     "find_values": q_find_values,
     "find_columns": q_find_columns,
+    "frequency_in_category_order": q_frequency_in_category_order,
     "unrecoded_report": q_unrecoded_report,
 }
 
 DESCRIPTIONS = {
     "load_wide_join": "B1 merge a new and an old export of the same families (new wins on shared columns)",
+    "load_wide_files": "S1/B1 two CSV exports: headers reconciled, bad records split off, duplicate keys reported, merged",
+    "bad_records": "S1 malformed records of the CSV export",
+    "export_key_report": "T26 rows, keys, duplicate and conflicting keys of the CSV export",
     "duplicate_keys": "T26 data check: family keys occurring more than once in the export",
     "to_long": "B2/B3 unpivot the mapped question columns into one row per (family, cell)",
     "profile_map": "B4 normalise the yes/no/maybe profile flags by dictionary lookup",
     "normalize_values": "B5 separator replacement for listed questions and territory renames",
     "explode_assertions": "B6 the tidy long table: one row per ticked assertion",
+    "comma_answers": "B5/B6 comma-separated answers normalised and exploded",
     "long_parquet_roundtrip": "B7 long table written partitioned by question and read back",
     "csv_export_roundtrip": "S1/S2 export written and read back as CSV, then unpivoted",
     "recode_answers": "B8 many-to-one recode of answers, every variant of every question",
     "ordered_answers": "B9 ordinal rank of each answer within its question's declared order",
     "first_last_wave": "B10 first/last answered anchor wave per family, from the long table",
+    "first_last_wave_colocated": "B7/B10 the same from a long table in buckets of the family, without a shuffle",
+    "incremental_panel": "B10/B11 the panel kept up to date over four wave loads",
     "periods_from_export": "B10 same, computed on the export rows without a shuffle",
     "panel_rows": "B11 rows at each family's first and last wave, tagged FIRST/LAST",
     "panel_from_long": "B11 the panel derived from the long table",
@@ -354,9 +470,12 @@ DESCRIPTIONS = {
     "frequency_lineitem_flags": "B14 on raw lineitem: return flag and line status per ship year",
     "missing_table": "B15 count and share of 'NA' per question at FIRST and LAST",
     "transition_matrix": "B16 first -> last answer flows with row shares",
+    "transition_flows": "B16/J6 every FIRST answer to every LAST answer of multi-answer questions",
+    "transitions_excluding": "B17 flows with missing values collapsed and a group left out",
     "transitions_by_group": "B17 recoded first -> last flows split by a collapsed segment",
     "paired_scores": "B18 numeric first and last value per family",
     "paired_scores_summary": "B18 n, means at FIRST/LAST, mean change, non-numeric pairs",
+    "paired_scores_conflicts": "B18 first and last order value per customer, with the number of answers",
     "cramers_v_pair": "B19 Cramér's V of two lineitem flags",
     "contingency_table": "R2 contingency table of two lineitem flags (pivot, for export)",
     "association_matrix": "B20 Cramér's V for every pair of document attributes and labels",
@@ -365,6 +484,9 @@ DESCRIPTIONS = {
     "hist_equal_width": "B21 equal-width histogram of order totals with cumulative shares",
     "hist_fixed_width": "B22 fixed-width histogram of event values per event type",
     "hist_fixed_width_orders": "B22 fixed-width histogram of order totals",
+    "hist_income_by_wave_flag": "B21 equal-width income histogram per wave and flag, below a limit",
+    "hist_income_fixed_by_wave": "B22 fixed-width income histogram per wave and flag",
+    "income_per_capita_from_long": "B23 the same, size joined from the long table",
     "income_per_capita": "B23 answered totals at FIRST/LAST divided by the wave-0 order count",
     "composite_flags": "B24 'both yes' flag from two profile flags",
     "group_describe": "B25 count, mean, std, min, exact quartiles, max of order totals by priority",
@@ -376,5 +498,6 @@ DESCRIPTIONS = {
     "assertion_counts": "B29 ticked positive/negative assertions per family and wave",
     "find_values": "B30 distinct part names containing a term",
     "find_columns": "B30 distinct export columns containing a term",
+    "frequency_in_category_order": "B9/O2 counts with the answers' declared ranks",
     "unrecoded_report": "B31 answers outside their question's declared order, with counts",
 }
