@@ -33,10 +33,11 @@ from .common import NO_SPANS, cut, matches, pattern_spans, span_text
 # The base patterns, in the order of their kinds.  Where the
 # stated pattern begins with a run of characters, a match can only begin at
 # the run's start or at the end of the match before; saying so keeps the
-# search linear in long runs.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+# search linear in long runs.  Repeated groups are possessive: nothing follows
+# them, and a run of any length needs no stack.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}"
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "context")
 BASE = KINDS[:4]
