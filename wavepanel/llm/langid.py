@@ -264,19 +264,21 @@ def train(words: Sequence[bytes], labels: Sequence[str], hidden: int = 16, steps
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS,
         words: int = TRAIN_WORDS, **options) -> Network:
     """Train on a bounded sample of ``labelled``: about ``per_language``
-    documents of each language, by a hash of the key, ``words`` words each
-    from a place that the hash picks."""
+    documents of each language, by a hash of the key (of the text, where the
+    key is null), ``words`` words each from a place that the hash picks."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     # a row per language, as many as the network has outputs
     counts = rows.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return train([], [], **options)
     rates = F.create_map(*[F.lit(x) for r in counts for x in (r.l, per_language / r.n)])
-    share = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    mark = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key))).otherwise(F.xxhash64(F.col(text)))
+    share = F.pmod(mark, F.lit(1 << 20)) / F.lit(float(1 << 20))
     parts = F.split(F.trim(F.col(text)), r"[\x20\x09-\x0D]+")
     at = (F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.greatest(F.size(parts) - words, F.lit(1))) + 1).cast("int")
+    # rows of one key, or copies without a key, are one example
     sample = (rows.filter(share < F.element_at(rates, F.col(lang)))
-              .select(F.col(lang).alias("l"), F.xxhash64(F.col(key)).alias("h"), F.slice(parts, at, words).alias("w")))
+              .groupBy(F.col(lang).alias("l"), mark.alias("h")).agg(F.min(F.slice(parts, at, words)).alias("w")))
     picked = sorted((r.l, r.h, r.w) for r in sample.collect())
     pairs = [(w, name) for name, _, chosen in picked for w in _words(" ".join(chosen))]
     return train([w for w, _ in pairs], [name for _, name in pairs], **options)
