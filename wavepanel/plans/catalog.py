@@ -367,11 +367,11 @@ def q_association_flags(spark, sf):
 
 
 def q_duplicate_keys(spark, sf):
-    return exports.duplicate_keys(_new_export(spark, sf).rows, customer_files.KEY)
+    return exports.duplicate_keys(customer_files.new_rows(spark, sf), customer_files.KEY)
 
 
 def q_profile_conflicts(spark, sf):
-    return P.profile_conflicts(_new_export(spark, sf).rows, customer_files.KEY, ["segment"])
+    return P.profile_conflicts(customer_files.new_rows(spark, sf), customer_files.KEY, ["segment"])
 
 
 QUERIES = {

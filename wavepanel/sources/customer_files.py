@@ -33,12 +33,15 @@ _ROWS = """
   from {customer} left join {nation} on c_nationkey = n_nationkey
 """
 
-_LINES = f"""
+_SEEN = f"""
 with c as ({_ROWS}),
 seen as (
   select *, 1 as turn from c
   union all
   select k, id, territory, balance, if(k % 74 = 0, 'ZZZ', segment), note, 2 from c where k % 37 = 0)
+"""
+
+_LINES = _SEEN + f"""
 select if(k % 2 = 0, 'new/a', 'new/b') as kind, cast(k div 2 % {PIECES} as int) as piece, k, turn,
        if(k % 2 = 0, concat(id, ',', territory, ',', segment, ',', note, ',+55 ', id),
                      concat(note, ',', segment, ',', id, ',', territory)) as value from seen
@@ -53,6 +56,12 @@ select kind, piece, null, 0, header from (values {{headers}}) h(kind, header) la
 """
 
 
+def new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the new export's files (id_family, territory, segment)."""
+    return spark.sql(f"{_SEEN} select id as {KEY}, territory, segment from seen",
+                     customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kind, piece, k, turn, value): the lines of the files in their order."""
     headers = ", ".join(f"('{kind}', '{header}')" for kind, header in _HEADERS.items())
