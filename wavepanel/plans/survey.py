@@ -11,8 +11,6 @@ NA = "NA"
 YES = "Sim"
 NO = "Não"
 
-# FIXED VALUES: profile columns (physical name -> logical name).
-
 # FIXED VALUES: race answers -> race category.
 RACE_CATEGORIES = {
     "Parda": "Parda",
@@ -26,8 +24,6 @@ RACE_CATEGORIES = {
     "Não sabe": "NA",
 }
 
-# FIXED VALUES: gender answers -> gender category.
-
 # FIXED VALUES: yes / no / maybe answers of the four yes-no profile questions.
 YES_NO_CATEGORIES = {
     "sim": "Sim",
@@ -37,14 +33,13 @@ YES_NO_CATEGORIES = {
 }
 
 # FIXED VALUES: ordinal scale shared by every question whose name starts with
+# CATEGORY_PREFIX.
 CATEGORY_ORDER = ["NA", "E1", "E2", "P1", "P2", "D"]
 
 # FIXED VALUES: race collapse used by the grouped transitions / descriptive table.
 RACE_COLLAPSE = {"Negros e indígenas": ["Parda", "Preta", "Indígena"]}
 RACE_COLLAPSE_OTHER = "Brancos e amarelos"
 
-# FIXED VALUES: rare gender groups left out of grouped transitions.
-
 # FIXED VALUES: recode applied to the yes/no profile columns before the
 # association matrix.
 MAYBE_AS_YES = {"Talvez": "Sim"}
@@ -64,7 +59,7 @@ MULTI_ANSWER_QUESTIONS = [
     "JobSatisfaction",
 ]
 
-# FIXED VALUES: questions whose multi answers use ',' instead of ';', and the
+# FIXED VALUES: territories that are renamed.
 TERRITORY_RENAMES = {"Boca do Sapo (São Paulo)": "Favela dos Sonhos (São Paulo)"}
 
 # FIXED VALUES: anchor question that decides a family's first and last wave,
@@ -75,9 +70,5 @@ MIN_GAP = 2
 # FIXED VALUES: missing-answer share above which a question is flagged.
 NA_THRESHOLD = 50
 
-# FIXED VALUES: the index questions of the study (the default question list
-
-# FIXED VALUES: the index dimensions; each exists as a category question
-
 # FIXED: questions with this prefix have the category scale.
 CATEGORY_PREFIX = "Categoria"
