@@ -75,34 +75,38 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals by source, language and tokenizer version after three
-    batches: all documents come in; toxic ones are deleted and low-quality
-    ones recounted without their symbols; the last batch is sent twice.
+    """Token totals by source, language and tokenizer version, for two
+    versions, after three batches: all documents come in; toxic ones are
+    deleted and low-quality ones recounted without their symbols; the last
+    batch is sent twice.  The totals are the sums of the batches' rollups.
+
+    All counts come from one pass over the texts, so only numbers are joined
+    with the labels."""
+    import public_tokenizers
 
-    Both counts come from one pass over the texts, so only numbers are
-    joined with the labels."""
     symbols = r"[#*$%&|<>]+"
     docs = documents(spark, sf_dir).select(
         "doc_id", "source", "lang", "text",
         F.when(F.rlike("text", F.lit(symbols)), F.regexp_replace("text", symbols, "")).alias("clean"))
-    version = F.lit("word_bpe_49k").alias("tokenizer")
     store = token_counts.new_store(spark)
-    counted = cut(token_counts.count_tokens(
-        docs.withColumn("changed", F.col("clean").isNotNull()), tokenizer_file("word_bpe_49k.json"),
-        {"text": "n_tokens", "clean": "n_clean"}), "counted")
-    store.commit("load", counted.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", version, "n_tokens"))
+    versions = {"word_bpe_49k": (tokenizer_file("word_bpe_49k.json"), None),
+                "byte_bpe_50k": (tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)}
+    counted = cut(token_counts.count_versions(docs.withColumn("changed", F.col("clean").isNotNull()), versions,
+                                              {"text": "n_tokens", "clean": "n_clean"}), "counted")
+    store.commit("load", counted.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", "tokenizer", "n_tokens"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     revised = counted.join(labels.filter("quality = 0 and toxic = 0"), "doc_id").select(
-        F.lit("revise").alias("op"), "doc_id", "source", "lang", version,
+        F.lit("revise").alias("op"), "doc_id", "source", "lang", "tokenizer",
         F.when(F.col("changed"), F.col("n_clean")).otherwise(F.col("n_tokens")).alias("n_tokens"))
     deleted = labels.filter("toxic = 1").select(
         F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("string").alias("source"),
-        F.lit(None).cast("string").alias("lang"), version, F.lit(0).cast("long").alias("n_tokens"))
+        F.lit(None).cast("string").alias("lang"), F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"),
+        F.lit(0).cast("long").alias("n_tokens"))
     changes = revised.unionByName(deleted)
     for _ in range(2):
         store.commit("labels", changes)
-    return store.totals()
+    return store.report()
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
