@@ -8,11 +8,13 @@ Patterns give the base spans (email, ip, card, phone).  They are the seeds:
 2. Graph: a lexical pattern is a left word, a right word, or both; it is
    linked with the instances (mention texts) that it stands next to.
 3. Scores, in ``ROUNDS`` rounds: a pattern's score is the mean score of its
-   instances, damped for few (``PRIOR``); an instance's score is 1 for a
-   seed, else the mean score of its patterns.
-4. A pattern with ``MIN_SUPPORT`` instances and a score of ``MIN_SCORE`` or
-   more is trusted; mentions in a trusted pattern whose instance score is high
-   too are found (kind context), where they meet no base span.
+   instances, damped for few (``PRIOR``); with ``MIN_SUPPORT`` instances and a
+   score of ``MIN_SCORE`` or more it is trusted.  An instance's score is 1 for
+   a seed, else the noisy-or of its trusted patterns, 1 - prod(1 - score): one
+   trusted neighbour is enough, whatever stands on the other side, and
+   patterns that say little say nothing however many they are.
+4. Mentions in a trusted pattern whose instance score is high too are found
+   (kind context), where they meet no base span.
 
 The text is read once, row by row, with built-in functions; only spans and
 mentions go on, in a table in the shared folder.  Links are distinct (pattern,
@@ -45,9 +47,10 @@ BASE = KINDS[:4]
 MENTION = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 CONTEXT = 64
 ROUNDS = 3
-PRIOR = 2.0
 MIN_SUPPORT = 5
-MIN_SCORE = 0.9
+MIN_SCORE = 0.75
+#: MIN_SUPPORT seeds, even beside one instance that is none yet, make a trusted pattern.
+PRIOR = 0.5
 
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
@@ -136,13 +139,14 @@ def trusted(mentioned: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR, mi
         # a pattern stands by its instances
         patterns = cut(links.join(scores.select("instance", "score"), "instance")
                        .groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + prior)).alias("score"),
-                                               F.count(F.lit(1)).alias("support")), "patterns")
-        # an instance by its patterns
-        scores = cut(links.join(patterns.select("pattern", "score"), "pattern")
-                     .groupBy("instance").agg(F.max("seed").alias("seed"), F.avg("score").alias("_mean"))
-                     .select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("_mean")).alias("score")),
-                     "instances")
-    return patterns.filter((F.col("support") >= min_support) & (F.col("score") >= min_score)), scores
+                                               F.count(F.lit(1)).alias("support"))
+                       .filter((F.col("support") >= min_support) & (F.col("score") >= min_score)), "patterns")
+        # an instance by the trusted patterns that it stands in
+        gained = (links.join(patterns.select("pattern", "score"), "pattern").groupBy("instance")
+                  .agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("gained")))
+        scores = cut(seeds.join(gained, "instance", "left").select(
+            "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("gained", F.lit(0.0))).alias("score")), "instances")
+    return patterns, scores
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
