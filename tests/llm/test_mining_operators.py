@@ -236,11 +236,11 @@ def test_lm_learns_order(spark):
     """Words that follow each other in a fixed order become likely, also in
     texts held out, and much likelier than by their counts."""
     words = [f"w{i}" for i in range(12)]
-    rows = [(i, " ".join(words[(i + j) % 12] for j in range(60))) for i in range(3000)]
+    rows = [(i, " ".join(words[(i + j) % 12] for j in range(60))) for i in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
     got = gru_lm.score(df, F.col("doc_id") % 10 == 3).toPandas()
     out = got[got["held_out"]]
-    assert len(out) == 300
+    assert len(out) == 600
     assert out["score"].sum() > 0.5 * out["base_score"].sum()
     again = gru_lm.score(df, F.col("doc_id") % 10 == 3).toPandas()
     assert got.sort_values("doc_id")["score"].tolist() == again.sort_values("doc_id")["score"].tolist()

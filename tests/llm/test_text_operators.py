@@ -82,6 +82,14 @@ def test_near_duplicates(table, request):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(80)) for w in "ab")
+    rows = [(5, one), (5, two), (6, one + " x"), (7, two + " y"), (8, "all alone here"), (9, one), (3, two), (None, one), (8, "")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [
+        (3, 3, True), (5, 3, False), (5, 3, False), (6, 3, False), (7, 3, False), (8, 8, True), (8, 8, True), (9, 3, False)]
+
+
 def test_near_duplicates_of_a_family_around_no_hub(spark):
     """A chain: only neighbours link, so no star finds all links."""
     words = [f"w{i}" for i in range(220)]
@@ -177,6 +185,30 @@ def test_secrets(table, request):
         assert spans[4] == spans[3] == ""
 
 
+def test_very_long_runs(spark):
+    """Digits, dots, base64 and marks without end, for the operators that read
+    texts by patterns: no stack, and time in proportion."""
+    n = 300_000
+    rows = [(1, "7" * n), (2, "x@a" + ".c" * n), (3, "Zm9v" * (n // 4)), (4, "0a" * (n // 2)), (5, "1.2." * (n // 4)),
+            (6, "+1" + " 2" * n), (7, "4-" * n), (8, "a@b.c " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r for r in pii.digest(pii.personal_data(df)).collect()}
+    assert found[2].spans == f"email:0:{len(rows[1][1])}"
+    assert (found[5].n_ip, found[8].n_email, found[1].spans, found[7].spans) == (n // 8, 5000, "", "")
+    found = {r.doc_id: r for r in secrets.digest(secrets.secrets(df)).collect()}
+    assert found[1].spans == f"hex:0:{n}" and found[4].spans == f"hex:0:{n}"
+
+
+def test_language_sample_is_bounded_without_keys(spark):
+    rows = [(None, f"the same words again {i % 7}", "en") for i in range(3000)] + [(i, "des mots et encore", "fr") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "train", lambda words, labels, **options: taken.append(len(words)))
+        langid.fit(df, per_language=10)
+    assert taken[0] < 200
+
+
 @pytest.mark.parametrize("table", ["odd", "docs"])
 def test_personal_data(table, request):
     df = request.getfixturevalue(table)
@@ -193,6 +225,62 @@ def test_personal_data_finds_unseen_identifiers_by_context(spark):
     assert got[100] == "context:12:29" and got[101] == "" and got[0] == "email:12:31"
 
 
+def _found(spark, texts):
+    rows = pii.digest(pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    return {r.doc_id: [s for s in r.spans.split(",") if s.startswith("context")] for r in rows}
+
+
+@pytest.mark.parametrize("seeds,new", [(5, 1), (60, 5)])
+def test_personal_data_by_one_trusted_neighbour(spark, seeds, new):
+    """Unseen identifiers behind a trusted left word with new words to the
+    right, and the other way round; ordinary numbers stay alone."""
+    texts = [f"Kunde konto c{i}@mail.example.com alpha{chr(97 + i % 26)}{chr(97 + i // 26)} ende" for i in range(seeds)]
+    texts += [f"der beta{chr(97 + i % 26)}{chr(97 + i // 26)} d{i}@mail.example.com gesperrt ende" for i in range(seeds)]
+    texts += [f"Kunde konto ID-77{i}x neu{chr(97 + i)} ende" for i in range(new)]
+    texts += [f"der wieder{chr(97 + i)} ID-88{i}y gesperrt ende" for i in range(new)]
+    texts += [f"Seite {i} von {i + 3} Seiten" for i in range(30)]
+    found = _found(spark, texts)
+    n = 2 * seeds
+    assert all(found[n + i] == [f"context:12:{12 + len(f'ID-77{i}x')}"] for i in range(new))
+    assert all(len(found[n + new + i]) == 1 for i in range(new))
+    assert not any(found[i] for i in [*range(n), *range(n + 2 * new, n + 2 * new + 30)])
+
+
+def test_personal_data_below_the_support_is_not_trusted(spark):
+    texts = [f"Kunde konto c{i}@mail.example.com a{chr(97 + i)} ende" for i in range(4)] + ["Kunde konto ID-771x neu ende"]
+    assert not any(_found(spark, texts).values())
+
+
+def test_pattern_graph_equals_brute_force(spark):
+    import random
+    r = random.Random(2)
+    rows = [(f"i{r.randrange(120)}", r.choice(["", *"abcdef"]), r.choice(["", *"uvwxyz"])) for _ in range(700)]
+    seeds = {f"i{i}" for i in range(0, 120) if r.random() < 0.55}
+    rows += [(f"s{i}", "good", r.choice("uvw")) for i in range(9)] + [("new", "good", "z"), ("s1", "good", "z")]
+    seeds |= {f"s{i}" for i in range(9)}
+    mentioned = [(i, a, b, i in seeds) for i, a, b in rows]
+    links = {(p, i) for i, a, b in rows for p in ("< " + a if a else None, "> " + b if b else None, f"< {a} > {b}" if a and b else None) if p}
+    of = lambda n, k: {x: [y for y in links if y[n] == x] for x in {z[n] for z in links}}[k]
+    score = {i: float(i in seeds) for _, i in links}
+    for min_score in (0.5, 0.75):
+        score = {i: float(i in seeds) for _, i in links}
+        for _ in range(pii.ROUNDS):
+            patterns = {}
+            for p in {p for p, _ in links}:
+                own = [score[i] for _, i in of(0, p)]
+                if len(own) >= pii.MIN_SUPPORT and sum(own) / (len(own) + pii.PRIOR) >= min_score:
+                    patterns[p] = sum(own) / (len(own) + pii.PRIOR)
+            for i in score:
+                rest = 1.0
+                for p, _ in of(1, i):
+                    rest *= 1 - patterns.get(p, 0.0)
+                score[i] = 1.0 if i in seeds else 1 - rest
+        df = spark.createDataFrame(mentioned, "instance string, left string, right string, seed boolean").distinct()
+        got, instances = pii.trusted(df, min_score=min_score)
+        assert {x.pattern: pytest.approx(x.score) for x in got.collect()} == patterns and "< good" in patterns
+        assert {x.instance: pytest.approx(x.score) for x in instances.collect()} == score
+
+
 def test_language(spark, docs, odd):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     big = common.documents(spark, "/root/testdata/sf0.01")
@@ -363,10 +451,33 @@ def test_rollups(spark, tmp_path):
     assert {tuple(r) for r in store.totals().collect()} == want - {("b", "de", "v2", 1, 7)}
 
 
+def test_totals_read_rollups_only(spark, tmp_path):
+    schema = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long"
+    store = token_counts.RollupStore(spark, str(tmp_path / "store"))
+    store.commit("one", spark.createDataFrame([("insert", i, "a", "en", "v1", 10) for i in range(500)] + [
+        ("insert", None, "a", "en", "v1", 9), ("insert", None, "a", "en", "v1", 9), ("merge", 4, "a", "en", "v1", 9)], schema))
+    store.commit("two", spark.createDataFrame([("delete", i, None, None, "v1", 0) for i in range(0, 500, 2)], schema))
+    for _ in range(2):
+        assert [tuple(r) for r in store.report().collect()] == [("a", "en", "v1", 250, 2500, 3)]
+        files = store.totals().inputFiles()
+        assert files and all("/rollup/" in f for f in files)
+        rows = sum(spark.read.parquet(f).count() for f in files)
+        assert rows <= 2  # a row for each group and batch, not for each document
+        assert store.present().count() == 250
+        store.compact()
+
+
 def test_rollup_query_equals_a_recount(spark, docs):
-    from tokenizers import Tokenizer
+    import base64
+    import public_tokenizers
     import re
-    tokenizer = Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json"))
+    import tiktoken
+    from tokenizers import Tokenizer
+    word = Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json"))
+    with open(queries.tokenizer_file("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    byte = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    count = {"word_bpe_49k": lambda t: len(word.encode(t, add_special_tokens=False).ids), "byte_bpe_50k": lambda t: len(byte.encode_ordinary(t))}
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     want = {}
     for r in docs.collect():
@@ -374,11 +485,12 @@ def test_rollup_query_equals_a_recount(spark, docs):
         if label and label.toxic:
             continue
         text = re.sub(r"[#*$%&|<>]+", "", r.text) if label and label.quality == 0 else r.text
-        n = want.setdefault((r.source, r.lang), [0, 0])
-        n[0] += 1
-        n[1] += len(tokenizer.encode(text, add_special_tokens=False).ids)
+        for version, of in count.items():
+            n = want.setdefault((r.source, r.lang, version), [0, 0, 0])
+            n[0] += 1
+            n[1] += of(text)
     got = queries.op10_token_rollups(spark, SF).collect()
-    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in got} == want
+    assert {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens, r.n_refused] for r in got} == want
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
