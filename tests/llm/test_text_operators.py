@@ -495,7 +495,7 @@ def test_rollup_query_equals_a_recount(spark, docs):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "embeddings"):
         spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
 
