@@ -5,11 +5,10 @@ large-star and small-star.
 1. Every whole text becomes its set of distinct 5-word shingles (64-bit
    hashes), and the set a signature: the minima of ``HASHES`` universal
    hashes (a * x + b mod 2**64, upper half).  Documents with equal sets are
-   one node, named by its smallest doc_id; copies collapse before anything
-   is joined.
+   one node; copies collapse before anything is joined.
 2. Nodes that agree on all rows of a band share a bucket.  ``BANDS`` bands of
    ``ROWS`` rows miss a pair of similarity 0.85 with a probability below
-   1e-8.
+   1e-7.
 3. What of a set occurs in no other candidate's set (its private part)
    bounds its similarity with all others.  Nodes with too large a private
    part link with nothing and leave; the bound also rules out pairs.
@@ -32,8 +31,8 @@ the steps lie in the shared folder.
 
 Documents with fewer words than a shingle have their whole sequence as the
 one shingle; without words (or null) their set is empty, they link with
-nothing.  A doc_id that stands for several sets is compared by the first of
-them (by hash).  A row with a null doc_id takes no part: its component_id is
+nothing.  A doc_id that stands for several texts is linked by all their sets,
+which are in one component.  A row with a null doc_id takes no part: its component_id is
 null and it is kept.  An empty table gives an empty result.
 """
 
@@ -152,7 +151,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+            x, y = (v.values.to_numpy() for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
         keep = pa.array(keep, pa.bool_())
@@ -164,7 +163,7 @@ CLASSES = 64
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key, histogram and set (as bytes and as numbers) of texts."""
+    """Key, histogram and set of texts."""
     hold("near_dup", _HASHES_OF.clear)
     for batch in batches:
         for start in range(0, len(batch), 1000):
@@ -174,12 +173,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([xxhash.xxh3_128_digest(f.tobytes()) for f in found], pa.binary()),
                  pa.array([c.astype("<u4").tobytes() for c in classes], pa.binary()),
-                 pa.array([f.astype("<u8").tobytes() for f in found], pa.binary()),
                  pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))],
-                names=["node", "set_key", "classes", "set", "shingles"])
+                names=["doc_id", "set_key", "classes", "set"])
 
 
-_SET = "node long, set_key binary, classes binary, set binary, shingles array<long>"
+_SET = "doc_id long, set_key binary, classes binary, set array<long>"
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -261,27 +259,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(rows.mapInArrow(_sign, _SIGNED), "signed")
 
-    # nodes: documents with equal sets
-    by_set = cut(signed.filter("doc_id is not null and n_shingles > 0")
-                 .groupBy("set_key").agg(F.min("doc_id").alias("node")), "by_set")
-    first = by_set.groupBy("node").agg(F.min("set_key").alias("set_key"))
-    nodes = cut(signed.filter("n_shingles > 0").join(first, "set_key").filter("doc_id = node")
-                .select("node", "set_key", F.col("n_shingles").alias("n"), "sig", "bands")
+    # nodes: documents with equal sets, and the smallest doc_id of each
+    known = signed.filter("doc_id is not null and n_shingles > 0")
+    by_set = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+                 .withColumn("node", F.monotonically_increasing_id()), "by_set")
+    nodes = cut(known.join(by_set, ["set_key", "doc_id"])
+                .select("node", "doc_id", "set_key", F.col("n_shingles").alias("n"), "sig", "bands")
                 .dropDuplicates(["node"]), "nodes")
+    # the sets of a doc_id that stands for several texts belong together
+    named = known.select("doc_id", "set_key").join(by_set.select("set_key", "node"), "set_key").select("doc_id", "node")
+    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a != hi")
+    twins = cut(named.join(several.select("doc_id", "a"), "doc_id").filter("node != a")
+                .select("a", F.col("node").alias("b")).distinct(), "twins")
 
     # buckets with two nodes or more
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket"), "shared")
     entries = cut(entries.join(shared, "bucket"), "entries")
-    wanted = entries.select("node").distinct()
-    sets = cut(rows.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").mapInArrow(_sets, _SET)
-               .join(nodes.select("node", "set_key"), ["node", "set_key"]).dropDuplicates(["node"]), "sets")
+    wanted = cut(nodes.select("node", "doc_id", "set_key").join(entries.select("node").distinct(), "node"), "wanted")
+    sets = cut(rows.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, _SET)
+               .join(wanted, ["doc_id", "set_key"]).select("node", "classes", "set").dropDuplicates(["node"]), "sets")
 
     # private parts; nodes with too large a one link with nothing
-    private = (sets.select("node", F.explode("shingles").alias("x")).groupBy("x")
+    private = (sets.select("node", F.explode("set").alias("x")).groupBy("x")
                .agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("node")).filter("_n = 1")
                .groupBy("node").agg(F.count(F.lit(1)).alias("private")))
-    sized = cut(sets.select("node", F.size("shingles").cast("long").alias("n")).join(private, "node", "left")
+    sized = cut(sets.select("node", F.size("set").cast("long").alias("n")).join(private, "node", "left")
                 .select("node", "n", F.coalesce("private", F.lit(0)).alias("private"))
                 .filter(100 * (F.col("n") - F.col("private")) >= THRESHOLD * F.col("n")), "sized")
     members = cut(entries.join(sized, "node"), "members")
@@ -297,7 +300,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sig = lambda e: nodes.select(F.col("node").alias(e), F.col("sig").alias("sig_" + e))
     likely = cut(stars.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
                  .mapInArrow(_agreeing, "a long, b long"), "likely")
-    links = _confirm(likely, sets)
+    links = _confirm(likely, sets).unionByName(twins)
     found = cut(components(links), "components")
 
     # buckets whose members are in several components, block by block
@@ -321,9 +324,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not more.isEmpty():
         found = cut(components(links.unionByName(more)), "components")
 
-    return (signed.join(by_set, "set_key", "left").join(found, "node", "left")
+    # a component is named by its smallest doc_id
+    placed = cut(by_set.join(found, "node", "left").select("set_key", "doc_id", F.coalesce("component", "node").alias("component")),
+                 "named")
+    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_set = placed.join(names, "component").select("set_key", "component_id")
+    return (signed.join(of_set, "set_key", "left")
             .select("doc_id", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
