@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from wavepanel.operators.panel import (family_waves, one_answer_per_family, panel_first_last,
                                        period_distribution, waves_from_wide)
 from wavepanel.operators.reshape import build_column_map, explode_assertions, to_long
@@ -90,3 +92,23 @@ def test_export_and_long_paths_agree_on_several_rows_per_family(spark):
     rows = lambda df: sorted((r.family, r.time, r.answer, r.time_first, r.time_last) for r in df.collect())
     assert rows(fast) == rows(slow)
     assert {r.family for r in fast.collect()} == {"1", "2"}
+
+
+def test_profile_conflicts_query_compares_every_profile_column(spark, tmp_path):
+    """Families whose rows differ in a flag only, or in the segment only, over the long rows of the order tables."""
+    from wavepanel.plans.catalog import QUERIES
+
+    base = str(tmp_path)
+    sf = "/root/testdata/sf0.001"
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{base}/{name}.parquet")
+    spark.read.parquet(f"{sf}/orders.parquet").limit(0).write.parquet(f"{base}/orders.parquet")
+    like = spark.read.parquet(f"{sf}/customer.parquet")
+    rows = [(1, "A", 5.0), (1, "A", -5.0), (2, "A", 5.0), (2, "B", 5.0), (3, "A", 5.0), (3, "A", 5.0), (4, None, 5.0), (4, "A", -5.0),
+            (4, "A", 5.0), (37, "A", 5.0), (74, "A", 5.0)]
+    made = spark.createDataFrame(rows, "c_custkey long, c_mktsegment string, c_acctbal double")
+    made.select(*[made[c].cast(like.schema[c].dataType) if c in made.columns else
+                  (F.lit(0) if c == "c_nationkey" else F.lit(None)).cast(like.schema[c].dataType).alias(c)
+                  for c in like.columns]).write.parquet(f"{base}/customer.parquet")
+    got = {(r.id_family, r.n_profiles) for r in QUERIES["profile_conflicts"](spark, base).collect()}
+    assert got == {("1", 2), ("2", 2), ("4", 3), ("74", 2)}
