@@ -232,6 +232,27 @@ def test_lm_gradients():
         assert abs((losses[0] - losses[1]) / 2e-3 - grads[name][at]) < 2e-4
 
 
+def test_lm_trains_on_every_segment_once():
+    model, rng = small_model(), np.random.default_rng(3)
+    for size in (1, 127, 128, 129, 5000):
+        tokens = rng.integers(0, 8, size)
+        parts = [s for chosen in range(gru_lm.ROUNDS) for s in gru_lm.segments_of(model, tokens, 17 * size, chosen)]
+        assert sum(len(y) for _, y in parts) == size
+        want = Counter(tuple(tokens[i:i + gru_lm.SEGMENT].tolist()) for i in range(0, size, gru_lm.SEGMENT))
+        assert Counter(tuple(y.tolist()) for _, y in parts) == want
+
+
+def test_lm_training_round_counts_all_tokens(spark):
+    model = small_model()
+    texts = [np.arange(n, dtype=np.uint16) % 8 for n in (1, 300, 128, 40, 1000)]
+    df = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "mark long, tokens binary")
+    box = spark.sparkContext.broadcast(model)
+    gru_lm.ship_package(spark)
+    n = sum(r.n for chosen in range(3) for r in df.mapInArrow(
+        gru_lm._train(box, chosen, 3), "part bigint, n bigint, weights binary").collect())
+    assert n == sum(map(len, texts))
+
+
 def test_lm_learns_order(spark):
     """Words that follow each other in a fixed order become likely, also in
     texts held out, and much likelier than by their counts."""

@@ -16,11 +16,11 @@ probabilities of the known words and of one unseen word sum to 1.
   the join has no hot key.
 * Training: biases start at the counts of all training texts.  In each of
   ``ROUNDS`` rounds every task trains its own copy with Adam on segments of
-  ``SEGMENT`` tokens, one in ``STRIDE`` of all segments of all training
-  texts, each round others, by a hash of key and place: what is read grows
-  with the corpus and lies all over the texts.  Gradients go back through a
-  window of ``WINDOW`` tokens, the state runs on through the segment.  The
-  copies are averaged by tokens, in a tree of tasks.
+  ``SEGMENT`` tokens, its round's share of all segments of all training
+  texts, by a hash of key and place: the rounds together train on every
+  segment, each once.  Gradients go back through a window of ``WINDOW``
+  tokens, the state runs on through the segment.  The copies are averaged by
+  tokens, in a tree of tasks.
 * Scoring: documents run side by side in lanes, one after the other; the
   state is carried across windows to a document's end, so the score is that
   of the complete text, in memory that does not depend on its length.
@@ -53,9 +53,9 @@ LM_WORDS = 1024
 CLASS = 32
 HIDDEN = 16
 WINDOW, SEGMENT = 32, 128
-ROUNDS, STRIDE = 2, 16
+ROUNDS = 2
 #: Lanes in training and in scoring.
-TRAIN_LANES, LANES = 32, 512
+TRAIN_LANES, LANES = 256, 512
 #: Different words that a counting task holds.
 HELD = 600_000
 #: Copies averaged by one task.
@@ -67,7 +67,10 @@ _PADDED = -1e4
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1.0)
+    out = np.tanh(0.5 * x)
+    out += 1.0
+    out *= 0.5
+    return out
 
 
 class Model:
@@ -110,18 +113,21 @@ class Model:
         At a start the state is 0.  ``widths``: lanes that still run."""
         w, H = self.weights, h.shape[1]
         out = np.zeros((*x.shape, H), np.float32)
-        E, U, V, start = w["E"], w["U"], w["V"], self.words + 1
+        U, V, gates, starts = w["U"], w["V"], w["E"][x], x == self.words + 1
+        some = starts.any(1)
         for t in range(len(x)):
             n_lanes = widths[t] if widths else x.shape[1]
-            xt = x[t, :n_lanes]
+            xt, e, begins = x[t, :n_lanes], gates[t, :n_lanes], starts[t, :n_lanes]
             before = h[:n_lanes]
-            begins = xt == start
-            if begins.any():
+            if some[t]:
                 before = np.where(begins[:, None], np.float32(0), before)
-            e = E[xt]
-            g = _sigmoid(e[:, :2 * H] + before @ U)
+            g = before @ U
+            g += e[:, :2 * H]
+            g = _sigmoid(g)
             z, r = g[:, :H], g[:, H:]
-            n = np.tanh(e[:, 2 * H:] + (r * before) @ V)
+            n = (r * before) @ V
+            n += e[:, 2 * H:]
+            n = np.tanh(n, out=n)
             now = before + z * (n - before)
             if keep is not None:
                 keep.append((xt, begins, before, z, r, n))
@@ -135,40 +141,46 @@ class Model:
         gradients of -scale * their sum are added, and that of h returned."""
         w, C = self.weights, len(self.weights["Ww"])
         of = np.where(y < self.words, y // self.size, C)
-        logits = h @ w["Wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
-        rows = np.arange(len(y))
-        out = logits[rows, of] - np.log(total)
+        # a column for each token: sums over few classes then run along the tokens
+        logits = w["Wc"].T @ h.T + w["bc"][:, None]
+        logits -= logits.max(0)
+        every = np.arange(len(y))
+        out = logits[of, every]
+        p = np.exp(logits, out=logits)
+        total = p.sum(0)
+        out -= np.log(total)
         dh = None
         if grads is not None:
-            p /= total[:, None]
-            p[rows, of] -= 1.0
-            p *= scale
-            grads["Wc"] += h.T @ p
-            grads["bc"] += p.sum(0)
-            dh = p @ w["Wc"].T
-        order = np.argsort(of, kind="stable")
+            p *= scale / total
+            p[of, every] -= scale
+            grads["Wc"] += (p @ h).T
+            grads["bc"] += p.sum(1)
+            dh = (w["Wc"] @ p).T
+        order = np.argsort(of.astype(np.uint16), kind="stable")
         ends = np.searchsorted(of[order], np.arange(C + 1))
+        h, y, inner = h[order], y[order] % self.size, np.zeros(len(y), out.dtype)
+        back = np.zeros_like(h) if grads is not None else None
         for c in range(C):
-            at = order[ends[c]:ends[c + 1]]
-            if not len(at):
-                continue
+            at = slice(ends[c], ends[c + 1])
             own = h[at]
-            inside = own @ w["Ww"][c] + w["bw"][c]
-            inside -= inside.max(1, keepdims=True)
-            q = np.exp(inside)
-            total = q.sum(1)
-            pick = (np.arange(len(at)), y[at] % self.size)
-            out[at] += inside[pick] - np.log(total)
+            if not len(own):
+                continue
+            inside = w["Ww"][c].T @ own.T + w["bw"][c][:, None]
+            inside -= inside.max(0)
+            pick = (y[at], every[:len(own)])
+            inner[at] = inside[pick]
+            q = np.exp(inside, out=inside)
+            total = q.sum(0)
+            inner[at] -= np.log(total)
             if grads is not None:
-                q /= total[:, None]
-                q[pick] -= 1.0
-                q *= scale
-                grads["Ww"][c] += own.T @ q
-                grads["bw"][c] += q.sum(0)
-                dh[at] += q @ w["Ww"][c].T
+                q *= scale / total
+                q[pick] -= scale
+                grads["Ww"][c] += (q @ own).T
+                grads["bw"][c] += q.sum(1)
+                back[at] = (w["Ww"][c] @ q).T
+        out[order] += inner
+        if grads is not None:
+            dh[order] += back
         return out, dh
 
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict]:
@@ -185,20 +197,28 @@ class Model:
         into[at] = d
         into = into.reshape(states.shape)
         back = np.zeros_like(h)
-        seen, steps = [], []
+        seen, steps = np.empty(x.shape, np.int64), np.empty((*x.shape, 3 * H), into.dtype)
         for t in range(len(x) - 1, -1, -1):
             xt, begins, before, z, r, n = kept[t]
             dh = back + into[t]
-            dz = dh * (n - before) * z * (1 - z)
-            dn = dh * z * (1 - n * n)
+            dhz = dh * z
+            step = steps[t]
+            dz, dr, dn = step[:, :H], step[:, H:2 * H], step[:, 2 * H:]
+            np.multiply(dh * (n - before), z * (1 - z), out=dz)
+            np.multiply(dhz, 1 - n * n, out=dn)
             drh = dn @ w["V"].T
-            dg = np.concatenate([dz, drh * before * r * (1 - r)], 1)
+            np.multiply(drh * before, r * (1 - r), out=dr)
             grads["V"] += (r * before).T @ dn
-            grads["U"] += before.T @ dg
-            seen.append(xt)
-            steps.append(np.concatenate([dg, dn], 1))
-            back = (dh * (1 - z) + drh * r + dg @ w["U"].T) * ~begins[:, None]
-        np.add.at(grads["E"], np.concatenate(seen), np.concatenate(steps))
+            grads["U"] += before.T @ step[:, :2 * H]
+            seen[t] = xt
+            back = dh - dhz + drh * r + step[:, :2 * H] @ w["U"].T
+            if begins.any():
+                back[begins] = 0
+        # rows of one token are summed where they lie side by side
+        order = np.argsort(seen.ravel().astype(np.uint16), kind="stable")
+        seen = seen.ravel()[order]
+        starts = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+        grads["E"][seen[starts]] += np.add.reduceat(steps.reshape(-1, 3 * H)[order], starts, axis=0)
         return float(-lp.mean()) if len(lp) else 0.0, grads
 
     def score(self, texts: list[np.ndarray], lanes: int = LANES, window: int = 2 * WINDOW) -> np.ndarray:
@@ -243,14 +263,17 @@ def fit_segments(model: Model, segments: Iterator[tuple[np.ndarray, np.ndarray]]
 
     def run() -> None:
         nonlocal step, tokens
-        T = max(len(y) for _, y in held)
+        held.sort(key=lambda s: -len(s[1]))
+        sizes = np.array([len(y) for _, y in held])
+        T = int(sizes[0])
         x, y = np.zeros((T, len(held)), np.int64), np.zeros((T, len(held)), np.int64)
-        mask = np.zeros((T, len(held)), bool)
+        mask = np.arange(T)[:, None] < sizes
         for k, (a, b) in enumerate(held):
-            x[:len(a), k], y[:len(b), k], mask[:len(b), k] = a, b, True
+            x[:len(a), k], y[:len(b), k] = a, b
         h = np.zeros((len(held), model.weights["V"].shape[0]), np.float32)
         for t in range(0, T, window):
-            _, grads = model.gradients(x[t:t + window], y[t:t + window], mask[t:t + window], h)
+            on = int((sizes > t).sum())  # the longest first: only lanes that still run
+            _, grads = model.gradients(x[t:t + window, :on], y[t:t + window, :on], mask[t:t + window, :on], h[:on])
             h = model.last
             step += 1
             for k, g in grads.items():
@@ -270,13 +293,14 @@ def fit_segments(model: Model, segments: Iterator[tuple[np.ndarray, np.ndarray]]
     return tokens
 
 
-def segments_of(model: Model, tokens: np.ndarray, mark: int, chosen: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The segments of a text that a round trains on, by a hash of its mark."""
+def segments_of(model: Model, tokens: np.ndarray, mark: int, chosen: int, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The segments of a text that a round trains on, by a hash of its mark;
+    each segment is in one of the rounds."""
     places = np.arange(-(-len(tokens) // SEGMENT), dtype=np.uint64)
     mixed = (np.uint64(mark % (1 << 64)) + places + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     inputs = model.inputs(tokens)
-    for k in np.flatnonzero((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(STRIDE) == chosen):
+    for k in np.flatnonzero((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(rounds) == chosen):
         at = slice(int(k) * SEGMENT, (int(k) + 1) * SEGMENT)
         yield inputs[at], tokens[at]
 
@@ -361,7 +385,7 @@ def _encode(box):
     return run
 
 
-def _train(box, chosen: int):
+def _train(box, chosen: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = box.value
         start = model.packed()
@@ -369,7 +393,7 @@ def _train(box, chosen: int):
         def segments() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
                 for mark, tokens in zip(batch.column("mark").to_pylist(), batch.column("tokens")):
-                    yield from segments_of(model, np.frombuffer(tokens.as_py(), np.uint16).astype(np.int64), mark, chosen)
+                    yield from segments_of(model, np.frombuffer(tokens.as_py(), np.uint16).astype(np.int64), mark, chosen, rounds)
 
         n = fit_segments(model, segments())
         weights = model.packed()
@@ -394,7 +418,7 @@ def train(encoded: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     spark = encoded.sparkSession
     for chosen in range(rounds):
         box = spark.sparkContext.broadcast(model)
-        copies = cut(encoded.select("mark", "tokens").mapInArrow(_train(box, chosen), "part bigint, n bigint, weights binary"),
+        copies = cut(encoded.select("mark", "tokens").mapInArrow(_train(box, chosen, rounds), "part bigint, n bigint, weights binary"),
                      f"copies-{chosen}")
         while (n := copies.count()) > FAN:
             group = F.pmod("part", F.lit(math.ceil(n / FAN)))
