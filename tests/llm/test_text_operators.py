@@ -5,6 +5,7 @@ import hashlib
 import os
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -349,6 +350,24 @@ def test_mixing(table, request):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df).collect()))
 
 
+def test_mixed_rows_find_their_places_without_a_shuffle(spark, monkeypatch):
+    """The per-block table grows to 65536 rows a source; the texts meet one row per source instead."""
+    rows = [(i, f"{i} words " * (i % 5), [None, "a", "b", "b"][i % 4]) for i in range(12000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1KB")
+    try:
+        mixed = mixing.mixed_rows(mixing.cut(df, "docs"))
+        got = Counter((r.doc_id, r._shard) for r in mixed.collect())
+        monkeypatch.setattr(mixing, "SENT", 2)  # three sources are more
+        joined = Counter((r.doc_id, r._shard) for r in mixing.mixed_rows(df).collect())
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert got == joined == Counter((r.doc_id, s) for r in mixing.mix(df).collect() for s in r.shards)
+
+
 def test_mixed_rows_meet_quotas_in_disjoint_shards(docs):
     rows = mixing.mixed_rows(docs, shards=4).select("doc_id", "_shard", "_order").collect()
     taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).collect() if r["size"]}

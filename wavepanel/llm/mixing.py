@@ -40,6 +40,11 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCKS = 65536
 SHARDS = 16
+#: Blocks that one number holds as bits.
+WORD = 32
+#: Sources whose rows of ``_deals`` (some 33 kB each) are broadcast; with more of them
+#: documents meet the per-block table in a join by source and block.
+SENT = 1000
 SEED = "mix"
 
 
@@ -195,24 +200,63 @@ def _plan(sized: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFram
     return _quotas(blocks, targets(sums, weights, max_epochs))
 
 
-def _places(plan: DataFrame, shards: int) -> DataFrame:
-    """Per taken block (_s, _b) its _takes: structs of the epoch and the shard
-    that the block is dealt to in it."""
+def _cuts(plan: DataFrame, shards: int) -> DataFrame:
+    """Per source (_of) its _shards: structs of a shard and the places from
+    start to before end that it takes of the source's list."""
     quota = (plan.groupBy("_source").agg(F.max(F.col("_epochs") * F.col("_n") + F.col("_last")).alias("_blocks")))
-    cuts = shard_quotas(quota, shards).groupBy(F.col("_source").alias("_of")).agg(
+    return shard_quotas(quota, shards).groupBy(F.col("_source").alias("_of")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("_start").alias("start"), F.col("_shard").alias("shard"),
                                              (F.col("_start") + F.col("_count")).alias("end")))).alias("_shards"))
+
+
+def _shard_of(place: Column) -> Column:
+    return F.filter("_shards", lambda x: (x["start"] <= place) & (place < x["end"]))[0]["shard"]
+
+
+def _places(plan: DataFrame, shards: int) -> DataFrame:
+    """Per taken block (_s, _b) its _takes: structs of the epoch and the shard
+    that the block is dealt to in it."""
     # a block's places in its source's list: one per epoch
     places = (plan.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs"))))
               .filter((F.col("_epoch") < F.col("_epochs")) | (F.col("_rank") < F.col("_last")))
               .withColumn("_place", F.col("_epoch") * F.col("_n") + F.col("_rank"))
-              .join(cuts, F.col("_source").eqNullSafe(F.col("_of")))
+              .join(_cuts(plan, shards), F.col("_source").eqNullSafe(F.col("_of")))
               .select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), F.col("_epoch"),
-                      F.filter("_shards", lambda x: (x["start"] <= F.col("_place")) & (F.col("_place") < x["end"]))[0]["shard"]
-                      .alias("_shard")))
+                      _shard_of(F.col("_place")).alias("_shard")))
     return cut(places.groupBy("_s", "_b").agg(F.collect_list(F.struct("_epoch", "_shard")).alias("_takes")), "places")
 
 
+def _deals(plan: DataFrame, shards: int) -> DataFrame:
+    """One row per source with all that deals its documents: _s, _epochs, _n,
+    _last, _shards, and the blocks that it has as bits (_bits, WORD of them in
+    each number) with how many come before each number (_before)."""
+    have = plan.select("_source", F.floor(F.col("_block") / WORD).cast("int").alias("_word"),
+                       F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_block") % WORD).alias("_bit"),
+                       F.col("_rank").cast("long").alias("_at"))
+    none = plan.select("_source").distinct().select(
+        "_source", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS // WORD - 1))).alias("_word"), F.lit(0).cast("long").alias("_bit"),
+        F.lit(None).cast("long").alias("_at"))
+    words = have.unionByName(none).groupBy("_source", "_word").agg(F.bit_or("_bit").alias("bits"), F.min("_at").alias("at"))
+    # words without a block are never looked up
+    listed = words.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("_word"), "bits", F.coalesce("at", F.lit(0).cast("long")).alias("at")))).alias("_words"))
+    sums = plan.select(F.col("_source").alias("_s"), "_epochs", "_n", "_last").distinct()
+    return cut(sums.join(listed, F.col("_s").eqNullSafe(F.col("_source")))
+               .join(_cuts(plan, shards), F.col("_s").eqNullSafe(F.col("_of")))
+               .select("_s", "_epochs", "_n", "_last", "_shards", F.col("_words.bits").alias("_bits"),
+                       F.col("_words.at").alias("_before")), "deals")
+
+
+def _takes(block: Column) -> Column:
+    """The _takes of a document's block, as in ``_places``, from its source's row of ``_deals``."""
+    word = F.floor(block / WORD).cast("int")
+    below = F.call_function("shiftleft", F.lit(1).cast("long"), block % WORD) - 1
+    rank = F.get("_before", word) + F.bit_count(F.get("_bits", word).bitwiseAND(below))
+    return let(rank, lambda r: F.transform(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("_epochs")), lambda e: (e < F.col("_epochs")) | (r < F.col("_last"))),
+        lambda e: F.struct(e.alias("_epoch"), let(e * F.col("_n") + r, _shard_of).alias("_shard"))))
+
+
 def _order(key: Column) -> Column:
     """The place of a take in its shard's shuffle."""
     return F.xxhash64(F.lit(SEED), key, F.col("_take._epoch"))
@@ -251,11 +295,14 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     ``_shard`` and ``_order`` (its place in the shard's shuffle)."""
     sized = _sized(docs, doc_id, text, source)
     plan = cut(_plan(cut(sized.select("_source", "_block", "size"), "sized"), weights, max_epochs), "plan")
-    places = _places(plan, shards)
     key = "__mix_key"
     rows = docs.withColumn(key, _key(docs, doc_id, text))
-    return (rows.join(places, F.col(f"`{source}`").eqNullSafe(F.col("_s"))
-                      & (_block(F.col(key)) == F.col("_b")))
-            .withColumn("_take", F.explode("_takes"))
+    own = F.col(f"`{source}`").eqNullSafe(F.col("_s"))
+    if plan.select("_source").distinct().count() <= SENT:
+        # the texts are not shuffled to find their places
+        found = rows.join(F.broadcast(_deals(plan, shards)), own).withColumn("_takes", _takes(_block(F.col(key))))
+    else:
+        found = rows.join(_places(plan, shards), own & (_block(F.col(key)) == F.col("_b")))
+    return (found.withColumn("_take", F.explode("_takes"))
             .select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_take._shard").alias("_shard"),
                     _order(F.col(key)).alias("_order")))
