@@ -4,10 +4,13 @@ texts, empty tables, extra columns with clashing names)."""
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +235,48 @@ def test_lm_gradients():
         assert abs((losses[0] - losses[1]) / 2e-3 - grads[name][at]) < 2e-4
 
 
+def test_lm_windows_use_their_memory_again():
+    model, rng = gru_lm.Model([9] * 64, 900), np.random.default_rng(4)
+    y = rng.integers(0, 65, (32, 256))
+    x = np.vstack([np.full((1, 256), 65), y[:-1]])
+    h = np.zeros((256, gru_lm.HIDDEN), np.float32)
+    first = model.gradients(x, y, np.ones(x.shape, bool), h)
+    tracemalloc.start()
+    again = model.gradients(x, y, np.ones(x.shape, bool), h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first[0] == again[0] and all(np.array_equal(first[1][k], again[1][k]) for k in first[1])
+    assert peak < 1 << 20  # one array of a window's states alone has half of that
+
+
+def test_lm_words_of_slices(monkeypatch):
+    texts = ["  The cat\t\x0bTHE\x1c ", None, "", " ", "cat É é x\u3000y x\u3000y", "end", "the " * 9, "\n\x85 \x0c"]
+    held = [False, True, False, True, False, True, False, True]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(range(8)), pa.array(texts, pa.string()), pa.array(held)],
+                                       ["doc", "key", "text", "held_out"])
+    words = [[w.decode() for w in (t or "").encode().lower().split()] + [" "] for t in texts]
+    for head in (["the"], sorted({w for ws in words for w in ws}), [" ", "cat"]):
+        v = gru_lm.Vocabulary(head, np.arange(len(head)) + 1, 2)
+        for size in (1, 20, 1 << 20):
+            monkeypatch.setattr(gru_lm, "TEXT", size)
+            train, out = Counter(), Counter()
+            for b in gru_lm._count(iter([batch.slice(0, 3), batch.slice(3)])):
+                for r in b.to_pylist():
+                    train[r["word"]] += r["train"]
+                    out[r["word"]] += r["held"]
+            assert +train == Counter(w for ws, o in zip(words, held) for w in ws if not o)
+            assert +out == Counter(w for ws, o in zip(words, held) for w in ws if o)
+            rows = [r for b in gru_lm._encode(SimpleNamespace(value=v))(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()]
+            assert [(r["doc"], r["key"], r["held_out"]) for r in rows] == [(i, i, o) for i, o in enumerate(held)]
+            for r, ws in zip(rows, words):
+                at = [head.index(w) if w in head else len(head) for w in ws]
+                assert np.frombuffer(r["tokens"], np.uint16).tolist() == v.token[at].tolist()
+                assert (r["n_tokens"], r["known"], r["n_other"]) == (len(ws), int(v.known[at].sum()), int((v.token[at] == v.words).sum()))
+                assert math.isclose(r["log_count"], v.log_count[at].sum()) and len(r["rare"]) == len(set(r["rare"]))
+                assert math.isclose(r["log_other"], v.log_count[at][v.token[at] == v.words].sum())
+                assert Counter(dict(zip(r["rare"], r["times"]))) == Counter(w for w in ws if w not in head)
+
+
 def test_lm_trains_on_every_segment_once():
     model, rng = small_model(), np.random.default_rng(3)
     for size in (1, 127, 128, 129, 5000):

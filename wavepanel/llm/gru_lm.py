@@ -35,13 +35,12 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,21 +55,29 @@ WINDOW, SEGMENT = 32, 128
 ROUNDS = 2
 #: Lanes in training and in scoring.
 TRAIN_LANES, LANES = 256, 512
-#: Different words that a counting task holds.
-HELD = 600_000
+#: Bytes of text that a task splits into words at once.
+TEXT = 16 << 20
+#: Tokens whose softmax is computed at once.
+STRETCH = 4096
 #: Copies averaged by one task.
 FAN = 32
 
 #: The end of a text as a token; words have no space.
-END = b" "
+END = " "
 _PADDED = -1e4
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.tanh(0.5 * x)
-    out += 1.0
-    out *= 0.5
-    return out
+class Room:
+    """Arrays by name, used again: fresh memory costs more than the sums."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype=np.float32) -> np.ndarray:
+        size, held = math.prod(shape), self.held.get(name)
+        if held is None or held.size < size or held.dtype != dtype:
+            held = self.held[name] = np.empty(size, dtype)
+        return held[:size].reshape(shape)
 
 
 class Model:
@@ -88,7 +95,7 @@ class Model:
         classes = np.append(by_class.sum(1), max(total - sum(counts), 0) + 1.0)
         with np.errstate(divide="ignore", invalid="ignore"):
             bw = np.where(by_class > 0, np.log(by_class / by_class.sum(1, keepdims=True)), _PADDED)
-        self.words, self.size = K, size
+        self.words, self.size, self.room, self.every = K, size, Room(), np.arange(STRETCH)
         self.weights = {k: v.astype(np.float32) for k, v in {
             "E": rng.normal(0, 0.3, (K + 2, 3 * hidden)), "U": rng.normal(0, hidden ** -0.5, (hidden, 2 * hidden)),
             "V": rng.normal(0, hidden ** -0.5, (hidden, hidden)), "Wc": rng.normal(0, 0.02, (hidden, C + 1)),
@@ -108,117 +115,163 @@ class Model:
         """What the network reads before each token of a text."""
         return np.concatenate([np.array([self.words + 1], tokens.dtype), tokens[:-1]])
 
-    def states(self, x: np.ndarray, h: np.ndarray, keep: list | None = None, widths: list[int] | None = None) -> np.ndarray:
-        """States (T, B, H) before the predictions of a window; ``x`` (T, B).
-        At a start the state is 0.  ``widths``: lanes that still run."""
-        w, H = self.weights, h.shape[1]
-        out = np.zeros((*x.shape, H), np.float32)
-        U, V, gates, starts = w["U"], w["V"], w["E"][x], x == self.words + 1
+    def states(self, x: np.ndarray, h: np.ndarray, keep: bool = False, widths: list[int] | None = None) -> np.ndarray:
+        """States (T + 1, B, H) around the tokens of a window, ``h`` first;
+        ``x`` (T, B) is read.  At a start the state is 0.  ``widths``: lanes
+        that still run.  The array is overwritten by the next call, and so
+        are with ``keep`` the gates z and r, r * before and the candidates."""
+        w, room, (T, B), H, kind = self.weights, self.room, x.shape, h.shape[1], h.dtype
+        # sigmoid(a) = (tanh(a / 2) + 1) / 2; each gate's numbers lie side by side
+        E = room("E", (3, len(w["E"]), H), kind)
+        E[:] = w["E"].reshape(-1, 3, H).transpose(1, 0, 2)
+        E[:2] *= 0.5
+        U = w["U"].reshape(H, 2, H).transpose(1, 0, 2) * kind.type(0.5)
+        starts = x == self.words + 1
         some = starts.any(1)
-        for t in range(len(x)):
-            n_lanes = widths[t] if widths else x.shape[1]
-            xt, e, begins = x[t, :n_lanes], gates[t, :n_lanes], starts[t, :n_lanes]
-            before = h[:n_lanes]
+        hs = room("states", (T + 1, B, H), kind)
+        hs[0] = h
+        if keep:
+            gates, resets, candidates = room("gates", (T, 2, B, H), kind), room("resets", (T, B, H), kind), room("candidates", (T, B, H), kind)
+            self.kept = starts, some, gates, resets, candidates
+        for t in range(T):
+            n = widths[t] if widths else B
+            before, now = hs[t, :n], hs[t + 1, :n]
             if some[t]:
-                before = np.where(begins[:, None], np.float32(0), before)
-            g = before @ U
-            g += e[:, :2 * H]
-            g = _sigmoid(g)
-            z, r = g[:, :H], g[:, H:]
-            n = (r * before) @ V
-            n += e[:, 2 * H:]
-            n = np.tanh(n, out=n)
-            now = before + z * (n - before)
-            if keep is not None:
-                keep.append((xt, begins, before, z, r, n))
-            out[t, :n_lanes] = now
-            h = now if n_lanes == len(h) else np.concatenate([now, h[n_lanes:]])
-        self.last = h
-        return out
+                before = np.where(starts[t, :n, None], kind.type(0), before)
+            e = np.take(E, x[t, :n], axis=1, out=room("inputs", (3, n, H), kind), mode="clip")
+            g = gates[t] if keep else room("gates", (2, n, H), kind)
+            np.matmul(before, U, out=g)
+            g += e[:2]
+            np.tanh(g, out=g)
+            g += 1.0
+            g *= 0.5
+            reset = np.multiply(g[1], before, out=resets[t] if keep else room("resets", (n, H), kind))
+            c = np.matmul(reset, w["V"], out=candidates[t] if keep else room("candidates", (n, H), kind))
+            c += e[2]
+            np.tanh(c, out=c)
+            np.subtract(c, before, out=now)
+            now *= g[0]
+            now += before
+            if n < B:
+                hs[t + 1, n:] = hs[t, n:]
+        self.last = hs[T].copy()
+        return hs
+
+    def _softmax(self, w: np.ndarray, b: np.ndarray, h: np.ndarray, y: np.ndarray, out: np.ndarray, dw: np.ndarray | None = None,
+                 db: np.ndarray | None = None, dh: np.ndarray | None = None, scale: float = 0.0) -> None:
+        """Into ``out`` the logarithms of softmax(h @ w + b) at ``y``; into
+        ``dh``, and added to ``dw`` and ``db``, the gradients of -scale * their sum."""
+        room, kind, across = self.room, h.dtype, np.ascontiguousarray(w.T)
+        for i in range(0, len(y), STRETCH):
+            at = slice(i, i + STRETCH)
+            own = h[at]
+            m = len(own)
+            pick = y[at], self.every[:m]
+            # a column for each token: sums over few classes then run along the tokens
+            p = np.matmul(across, own.T, out=room("softmax", (len(b), m), kind))
+            p += b[:, None]
+            total = np.max(p, axis=0, out=room("total", (m,), kind))
+            p -= total
+            own_logit = p[pick]
+            np.exp(p, out=p)
+            np.sum(p, axis=0, out=total)
+            np.subtract(own_logit, np.log(total, out=room("log", (m,), kind)), out=out[at])
+            if dh is not None:
+                p *= np.divide(kind.type(scale), total, out=total)
+                p[pick] -= scale
+                dw += (p @ own).T
+                db += p.sum(1)
+                np.matmul(p.T, across, out=dh[at])
 
     def log_probabilities(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, scale: float = 0.0):
         """Natural logarithms of P(y | h) for M tokens; with ``grads`` the
         gradients of -scale * their sum are added, and that of h returned."""
-        w, C = self.weights, len(self.weights["Ww"])
-        of = np.where(y < self.words, y // self.size, C)
-        # a column for each token: sums over few classes then run along the tokens
-        logits = w["Wc"].T @ h.T + w["bc"][:, None]
-        logits -= logits.max(0)
-        every = np.arange(len(y))
-        out = logits[of, every]
-        p = np.exp(logits, out=logits)
-        total = p.sum(0)
-        out -= np.log(total)
-        dh = None
-        if grads is not None:
-            p *= scale / total
-            p[of, every] -= scale
-            grads["Wc"] += (p @ h).T
-            grads["bc"] += p.sum(1)
-            dh = (w["Wc"] @ p).T
+        w, C, room, kind = self.weights, len(self.weights["Ww"]), self.room, h.dtype
+        M, H = h.shape
+        of = np.minimum(y, self.words) // self.size
+        of[y >= self.words] = C
+        out, inner = np.empty(M, kind), np.zeros(M, kind)
+        learn = grads is not None
+        dh = room("dh", (M, H), kind) if learn else None
+        self._softmax(w["Wc"], w["bc"], h, of, out, *((grads["Wc"], grads["bc"], dh, scale) if learn else ()))
         order = np.argsort(of.astype(np.uint16), kind="stable")
         ends = np.searchsorted(of[order], np.arange(C + 1))
-        h, y, inner = h[order], y[order] % self.size, np.zeros(len(y), out.dtype)
-        back = np.zeros_like(h) if grads is not None else None
+        n = int(ends[C])  # the tokens in a class of the model's words
+        own = np.take(h, order[:n], axis=0, out=room("by class", (n, H), kind), mode="clip")
+        places = y[order[:n]] % self.size
+        back = room("back by class", (n, H), kind) if learn else None
         for c in range(C):
             at = slice(ends[c], ends[c + 1])
-            own = h[at]
-            if not len(own):
-                continue
-            inside = w["Ww"][c].T @ own.T + w["bw"][c][:, None]
-            inside -= inside.max(0)
-            pick = (y[at], every[:len(own)])
-            inner[at] = inside[pick]
-            q = np.exp(inside, out=inside)
-            total = q.sum(0)
-            inner[at] -= np.log(total)
-            if grads is not None:
-                q *= scale / total
-                q[pick] -= scale
-                grads["Ww"][c] += (q @ own).T
-                grads["bw"][c] += q.sum(1)
-                back[at] = (w["Ww"][c] @ q).T
+            if ends[c] < ends[c + 1]:
+                self._softmax(w["Ww"][c], w["bw"][c], own[at], places[at], inner[at],
+                              *((grads["Ww"][c], grads["bw"][c], back[at], scale) if learn else ()))
         out[order] += inner
-        if grads is not None:
-            dh[order] += back
+        if learn:
+            dh[order[:n]] += back
         return out, dh
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict]:
-        """Mean cross-entropy of a window and its gradients, back to the
-        window's start; the state goes on in ``last``."""
-        w, H = self.weights, h.shape[1]
-        kept: list = []
-        states = self.states(x, h, kept)
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
-        at = np.flatnonzero(mask.ravel())
-        flat = states.reshape(-1, H)
-        lp, d = self.log_probabilities(flat[at], y.ravel()[at], grads, 1.0 / max(len(at), 1))
-        into = np.zeros_like(flat)
-        into[at] = d
-        into = into.reshape(states.shape)
-        back = np.zeros_like(h)
-        seen, steps = np.empty(x.shape, np.int64), np.empty((*x.shape, 3 * H), into.dtype)
-        for t in range(len(x) - 1, -1, -1):
-            xt, begins, before, z, r, n = kept[t]
-            dh = back + into[t]
-            dhz = dh * z
-            step = steps[t]
-            dz, dr, dn = step[:, :H], step[:, H:2 * H], step[:, 2 * H:]
-            np.multiply(dh * (n - before), z * (1 - z), out=dz)
-            np.multiply(dhz, 1 - n * n, out=dn)
-            drh = dn @ w["V"].T
-            np.multiply(drh * before, r * (1 - r), out=dr)
-            grads["V"] += (r * before).T @ dn
-            grads["U"] += before.T @ step[:, :2 * H]
-            seen[t] = xt
-            back = dh - dhz + drh * r + step[:, :2 * H] @ w["U"].T
-            if begins.any():
-                back[begins] = 0
+    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, grads: dict | None = None) -> tuple[float, dict]:
+        """Mean cross-entropy of a window and its gradients (in ``grads``),
+        back to the window's start; the state goes on in ``last``."""
+        w, room, (T, B), H, kind = self.weights, self.room, x.shape, h.shape[1], h.dtype
+        if grads is None:
+            grads = {k: np.empty_like(v) for k, v in w.items()}
+        for g in grads.values():
+            g.fill(0)
+        hs = self.states(x, h, keep=True)
+        starts, some, gates, resets, candidates = self.kept
+        flat, real = hs[1:].reshape(-1, H), mask.ravel()
+        if real.all():
+            lp, into = self.log_probabilities(flat, y.ravel(), grads, 1.0 / len(real))
+        else:
+            at = np.flatnonzero(real)
+            lp, d = self.log_probabilities(np.take(flat, at, axis=0, out=room("real", (len(at), H), kind), mode="clip"), y.ravel()[at],
+                                           grads, 1.0 / max(len(at), 1))
+            into = room("into", flat.shape, kind)
+            into.fill(0)
+            into[at] = d
+        into = into.reshape(T, B, H)
+        befores = hs[:-1]
+        befores[starts] = 0
+        U = np.ascontiguousarray(w["U"].reshape(H, 2, H).transpose(1, 2, 0))
+        steps = room("steps", (3, T, B, H), kind)
+        both, a, dhz, drh, dh, back = room("both", (2, B, H), kind), *(room(k, (B, H), kind) for k in ("a", "dhz", "drh", "dh of t", "back"))
+        back.fill(0)
+        for t in range(T - 1, -1, -1):
+            before, (z, r), n = befores[t], gates[t], candidates[t]
+            dz, dr, dn = steps[:, t]
+            np.add(back, into[t], out=dh)
+            np.multiply(dh, z, out=dhz)
+            np.subtract(1.0, z, out=a)
+            np.subtract(n, before, out=dz)
+            dz *= dhz
+            dz *= a
+            np.multiply(n, n, out=a)
+            np.subtract(1.0, a, out=a)
+            np.multiply(dhz, a, out=dn)
+            np.matmul(dn, w["V"].T, out=drh)
+            np.subtract(1.0, r, out=a)
+            a *= resets[t]
+            np.multiply(drh, a, out=dr)
+            np.matmul(steps[:2, t], U, out=both)
+            np.subtract(dh, dhz, out=back)
+            drh *= r
+            back += drh
+            back += both[0]
+            back += both[1]
+            if some[t]:
+                back[starts[t]] = 0
+        by_gate = steps.reshape(3, -1, H)
+        grads["V"] += resets.reshape(-1, H).T @ by_gate[2]
+        for i in range(2):
+            grads["U"][:, i * H:(i + 1) * H] += befores.reshape(-1, H).T @ by_gate[i]
         # rows of one token are summed where they lie side by side
-        order = np.argsort(seen.ravel().astype(np.uint16), kind="stable")
-        seen = seen.ravel()[order]
-        starts = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
-        grads["E"][seen[starts]] += np.add.reduceat(steps.reshape(-1, 3 * H)[order], starts, axis=0)
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+        seen = x.ravel()[order]
+        firsts = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+        for i in range(3):
+            rows = np.take(by_gate[i], order, axis=0, out=room("by token", (len(order), H), kind), mode="clip")
+            grads["E"][seen[firsts], i * H:(i + 1) * H] += np.add.reduceat(rows, firsts, axis=0)
         return float(-lp.mean()) if len(lp) else 0.0, grads
 
     def score(self, texts: list[np.ndarray], lanes: int = LANES, window: int = 2 * WINDOW) -> np.ndarray:
@@ -244,10 +297,12 @@ class Model:
                 n = min(steps, int(sizes[k]) - t)
                 x[:n, k], y[:n, k], of[:n, k] = xs[k][t:t + n], ys[k][t:t + n], ids[k][t:t + n]
             widths = [int((sizes[:on] > t + s).sum()) for s in range(steps)]
-            states = self.states(x, h[:on], widths=widths)
+            states = self.states(x, h[:on], widths=widths)[1:].reshape(-1, h.shape[1])
             h[:on] = self.last
-            real = y.ravel() >= 0
-            lp, _ = self.log_probabilities(states.reshape(-1, h.shape[1])[real], y.ravel()[real])
+            real = np.flatnonzero(y.ravel() >= 0)
+            if len(real) < y.size:
+                states = np.take(states, real, axis=0, out=self.room("real", (len(real), h.shape[1])), mode="clip")
+            lp, _ = self.log_probabilities(states, y.ravel()[real])
             out += np.bincount(of.ravel()[real], lp, len(texts))
         return out
 
@@ -258,6 +313,8 @@ def fit_segments(model: Model, segments: Iterator[tuple[np.ndarray, np.ndarray]]
     the number of tokens."""
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
+    grads = {k: np.zeros_like(v) for k, v in model.weights.items()}
+    change = {k: np.zeros_like(v) for k, v in model.weights.items()}
     step = tokens = 0
     held: list = []
 
@@ -273,14 +330,24 @@ def fit_segments(model: Model, segments: Iterator[tuple[np.ndarray, np.ndarray]]
         h = np.zeros((len(held), model.weights["V"].shape[0]), np.float32)
         for t in range(0, T, window):
             on = int((sizes > t).sum())  # the longest first: only lanes that still run
-            _, grads = model.gradients(x[t:t + window, :on], y[t:t + window, :on], mask[t:t + window, :on], h[:on])
+            model.gradients(x[t:t + window, :on], y[t:t + window, :on], mask[t:t + window, :on], h[:on], grads)
             h = model.last
             step += 1
             for k, g in grads.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                model.weights[k] -= (rate * (first[k] / (1 - 0.9 ** step))
-                                     / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
+                a = np.subtract(g, first[k], out=change[k])
+                a *= 0.1
+                first[k] += a
+                g *= g
+                g -= second[k]
+                g *= 0.01
+                second[k] += g
+                # the change is rate * (mean / (1 - 0.9 ** step)) / (sqrt(square / (1 - 0.99 ** step)) + 1e-6)
+                np.divide(second[k], 1 - 0.99 ** step, out=a)
+                np.sqrt(a, out=a)
+                a += 1e-6
+                np.divide(first[k], a, out=a)
+                a *= rate / (1 - 0.9 ** step)
+                model.weights[k] -= a
         tokens += int(mask.sum())
 
     for segment in segments:
@@ -305,30 +372,40 @@ def segments_of(model: Model, tokens: np.ndarray, mark: int, chosen: int, rounds
         yield inputs[at], tokens[at]
 
 
-def _tokens(text: bytes | None) -> list[bytes]:
-    words = (text or b"").lower().split()
-    words.append(END)
-    return words
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``TEXT`` bytes of text, whole rows each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    train, held = Counter(), Counter()
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one after the other, and how many
+    each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    words, offsets = lists.flatten(), lists.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty one
+    upto = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False), dtype=np.int64))
+    return (words.filter(real) if upto[-1] < len(words) else words), np.diff(upto[offsets - offsets[0]])
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        words = list(train.keys() | held.keys())
-        for i in range(0, len(words), 1 << 16):
-            part = words[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(part, pa.binary()).cast(pa.string()), pa.array([train[w] for w in part], pa.int64()),
-                pa.array([held[w] for w in part], pa.int64())], ["word", "train", "held"])
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, out in zip(batch.column("text").cast(pa.binary()), batch.column("held_out").to_pylist()):
-            (held if out else train).update(_tokens(text.as_py()))
-            if len(train) + len(held) > HELD:
-                yield from rows()
-                train, held = Counter(), Counter()
-    yield from rows()
+        for part in _slices(batch):
+            words, sizes = _words(part.column("text"))
+            held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            coded = words.dictionary_encode()
+            codes, different = coded.indices.to_numpy(), len(coded.dictionary)
+            every = np.append(np.bincount(codes, minlength=different), len(held))
+            out = np.append(np.bincount(codes[np.repeat(held, sizes)], minlength=different), held.sum())
+            found = pa.concat_arrays([coded.dictionary, pa.array([END])])
+            for i in range(0, len(found), 1 << 16):
+                at = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([found[at], pa.array((every - out)[at], pa.int64()), pa.array(out[at], pa.int64())],
+                                                 ["word", "train", "held"])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -342,13 +419,14 @@ class Vocabulary:
     model's tokens (``words`` of them; that number stands for other words)."""
 
     def __init__(self, words: list[str], train: np.ndarray, lm_words: int):
-        self.places = {w.encode(): i for i, w in enumerate(words)}
+        self.places = pa.array(words, pa.string())
         self.log_count = np.append(np.log10(train + 1.0), 0.0)
         self.known = np.append(train > 0, False)
         best = sorted((i for i in range(len(words)) if train[i] > 0), key=lambda i: (-train[i], words[i]))[:lm_words]
-        end = self.places.get(END)
-        if end is not None and train[end] > 0 and end not in best:
-            best[-1] = end
+        #: The place of the end; as many as there are words stand for a word that is not there.
+        self.end = words.index(END) if END in words else len(words)
+        if self.end < len(words) and train[self.end] > 0 and self.end not in best:
+            best[-1] = self.end
         self.words = len(best)
         self.counts = [int(train[i]) for i in best]
         self.token = np.full(len(words) + 1, self.words, np.uint16)
@@ -362,25 +440,35 @@ _CODED = ("n_tokens bigint, known bigint, log_count double, n_other bigint, log_
 def _encode(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = box.value
-        get, missing = v.places.get, len(v.places)
+        missing = len(v.places)
         for batch in batches:
-            columns = [[] for _ in range(8)]
-            for text in batch.column("text").cast(pa.binary()):
-                words = _tokens(text.as_py())
-                at = np.fromiter(map(get, words, repeat(missing)), np.int64, len(words))
-                tokens = v.token[at]
+            for part in _slices(batch):
+                words, sizes = _words(part.column("text"))
+                starts = np.append(0, np.cumsum(sizes + 1))
+                is_word = np.ones(starts[-1], bool)
+                is_word[starts[1:] - 1] = False
+                at = np.full(starts[-1], v.end, np.int32)
+                at[is_word] = pc.fill_null(pc.index_in(words, value_set=v.places), missing).to_numpy(zero_copy_only=False)
+                tokens, logs, known = v.token[at], v.log_count[at], v.known[at]
                 other = tokens == v.words
-                logs = v.log_count[at]
-                rare = Counter([words[i] for i in np.flatnonzero(at == missing)])
-                for c, x in zip(columns, (len(words), int(v.known[at].sum()), float(logs.sum()), int(other.sum()),
-                                          float(logs[other].sum()), list(rare), list(rare.values()), tokens.tobytes())):
-                    c.append(x)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.binary()),
-                     pa.list_(pa.int64()), pa.binary())
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            arrays[5] = arrays[5].cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "key", "held_out")), *arrays], [
-                "doc", "key", "held_out", "n_tokens", "known", "log_count", "n_other", "log_other", "rare", "times", "tokens"])
+                sums = [np.add.reduceat(x, starts[:-1]) for x in (
+                    known.astype(np.int64), logs, other.astype(np.int64), np.where(other, logs, 0.0))]
+                # each text's words beyond the broadcast ones, and how often it has them
+                rare = np.flatnonzero(at == missing)
+                place = np.cumsum(is_word) - 1
+                place[starts[1:] - 1] = len(words)
+                coded = pa.concat_arrays([words, pa.array([END])]).take(pa.array(place[rare])).dictionary_encode()
+                row = np.searchsorted(starts, rare, "right") - 1
+                keys, times = np.unique(row * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_counts=True)
+                row, code = np.divmod(keys, max(len(coded.dictionary), 1))
+                cuts = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    *(part.column(c) for c in ("doc", "key", "held_out")), pa.array(sizes + 1, pa.int64()),
+                    *(pa.array(x) for x in sums), pa.ListArray.from_arrays(cuts, coded.dictionary.take(pa.array(code))),
+                    pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())),
+                    pa.Array.from_buffers(pa.binary(), len(sizes), [
+                        None, pa.py_buffer((starts * 2).astype(np.int32)), pa.py_buffer(tokens)])], [
+                    "doc", "key", "held_out", "n_tokens", "known", "log_count", "n_other", "log_other", "rare", "times", "tokens"])
 
     return run
 
